@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import tokens
+from . import langid, tokens
 
 #: Folder of the public tokenizers' files; nothing of it is copied here.
 TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
@@ -41,6 +41,14 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_token_budget, p1_doc_tokens, p7_ids, p7_round_trip)}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.wrong_labels(table(spark, sf_dir, "sentences"), langid.read_samples(table(spark, sf_dir, "lang_samples")))
+
+
+def p2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.label_passages(table(spark, sf_dir, "sentences"), langid.read_samples(table(spark, sf_dir, "lang_samples")))
+
+
+QUERIES = {f.__name__: f for f in (p1_token_budget, p1_doc_tokens, p2_found, p2_passages, p7_ids, p7_round_trip)}
 
 ORACLE: dict[str, str] = {}
