@@ -59,8 +59,13 @@ WORD = re.compile("[^\\W\\d_][\\u0300-\\u036f]*(?:['\\u2019-]?[^\\W\\d_][\\u0300
 _INVISIBLE = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
 
 
+def invisible_free(text: str) -> str:
+    """The text without zero-width characters and soft hyphens."""
+    return _INVISIBLE.sub("", text)
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text in reading order: folded, without invisible characters."""
     if not text:
         return []
-    return WORD.findall(fold(_INVISIBLE.sub("", text)))
+    return WORD.findall(fold(invisible_free(text)))

@@ -13,6 +13,7 @@ read whole. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,17 +21,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .canon import words
+from .canon import WORD, fold, invisible_free, words
 
 #: The codes that a text can be given.
 CODES = ["en", "enets", "mhr", "nenets", "nio", "ru", "sel", "udm", "uk"]
 ORDER = 8  # a symbol and at most seven bytes before it
-#: Bits that a change of language inside a text costs.
-SWITCH_BITS = 22.0
+#: Bits that a change of language costs between two words, and at a quotation mark, bracket or line end.
+SWITCH_BITS, BORDER_BITS = 28.0, 7.0
 #: Words that make a language present in a text.
 MIN_WORDS = 4
 
 
+_BORDERS = "«»“”„\"()[]\n"
+_TOKEN = re.compile(WORD.pattern + "|[" + re.escape(_BORDERS) + "]")
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """Words and the marks at which a language is likely to change, in reading order."""
+    return _TOKEN.findall(fold(invisible_free(text))) if text else []
+
+
 @dataclass(frozen=True)
 class Samples:
     """Training words by language, in the order of ``codes``."""
@@ -148,20 +158,21 @@ class PartialMatching:
 class Labeller:
     """Passages of texts; remembers the code lengths of at most ``memory`` words."""
 
-    def __init__(self, model: PartialMatching, switch_bits: float = SWITCH_BITS, memory: int = 400_000):
-        self.model, self.switch, self.memory = model, switch_bits, memory
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((memory + 1, len(model.codes)), np.float32)
+    def __init__(self, model: PartialMatching, switch_bits: float = SWITCH_BITS, border_bits: float = BORDER_BITS, memory: int = 400_000):
+        self.model, self.switch, self.border, self.memory = model, switch_bits, border_bits, memory
+        self.borders = {c: i for i, c in enumerate(_BORDERS)}  # rows of zero bits
+        self.known: dict[str, int] = dict(self.borders)
+        self.table = np.zeros((memory + len(self.borders) + 1, len(model.codes)), np.float32)
 
     def _ids(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Row of each word, and the table that holds the rows."""
         new = list(dict.fromkeys(w for w in flat if w not in self.known))
         if len(new) + len(self.known) > self.memory:
-            self.known.clear()
-            new = list(dict.fromkeys(flat))
+            self.known = dict(self.borders)
+            new = list(dict.fromkeys(w for w in flat if w not in self.borders))
         if len(new) > self.memory:  # more distinct words in one batch than are remembered
-            index = {w: i for i, w in enumerate(new)}
-            table = np.concatenate([self.model.bits(new[i : i + 50_000]) for i in range(0, len(new), 50_000)])
+            index = self.borders | {w: i for i, w in enumerate(new, len(self.borders))}
+            table = np.concatenate([self.table[: len(self.borders)], *(self.model.bits(new[i : i + 50_000]) for i in range(0, len(new), 50_000))])
             return np.fromiter(map(index.__getitem__, flat), np.int64, len(flat)), table
         base = len(self.known)
         for i in range(0, len(new), 50_000):
@@ -170,16 +181,23 @@ class Labeller:
         self.known.update(zip(new, range(base, base + len(new))))
         return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)), self.table
 
-    def label(self, split: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """For the words of each text: the language of every word (flat), offsets, and bits (flat)."""
+    def label(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the tokens of each text: the language of every word (flat), the words' offsets by text, and bits."""
+        lang, offsets, bits, word = self._paths(split)
+        before = np.concatenate([[0], np.cumsum(word)])
+        return lang[word], before[offsets], bits[word]
+
+    def _paths(self, split: list[list[str]]):
         size = np.fromiter(map(len, split), np.int64, len(split))
         offsets = np.concatenate([[0], np.cumsum(size)])
         flat = [w for x in split for w in x]
         n = len(self.model.codes)
         if not flat:
-            return np.zeros(0, np.int64), offsets, np.zeros((0, n), np.float32)
+            return np.zeros(0, np.int64), offsets, np.zeros((0, n), np.float32), np.zeros(0, bool)
         ids, table = self._ids(flat)
         bits = table[ids]
+        word = ids >= len(self.borders)
+        price = np.where(word, self.switch, self.border)
         lang = np.zeros(len(flat), np.int64)
         # texts in order of length; step t advances all texts that have a word t
         order = np.argsort(-size, kind="stable")
@@ -197,7 +215,7 @@ class Labeller:
             if t:
                 p = path[:k]
                 best = p.argmin(1)
-                least = p[np.arange(k), best] + self.switch
+                least = p[np.arange(k), best] + price[at]
                 s = p > least[:, None]
                 came[at], switched[at] = best, s
                 path[:k] = np.where(s, least[:, None], p)
@@ -210,7 +228,7 @@ class Labeller:
             if t:
                 s = switched[at, state[:k]]
                 state[:k] = np.where(s, came[at], state[:k])
-        return lang, offsets, bits
+        return lang, offsets, bits, word
 
 
 _MODELS: dict[int, Labeller] = {}
@@ -271,7 +289,7 @@ def label_passages(df: DataFrame, samples: Samples, id_col: str = "row_id", text
         m = _labeller(shared)
         codes = np.array(m.model.codes, object)
         for b in batches:
-            split = [words(t) for t in b.column(1).to_pylist()]
+            split = [tokens_of(t) for t in b.column(1).to_pylist()]
             lang, offsets, bits = m.label(split)
             start, end, code = _passages(lang, offsets)
             if not len(start):
@@ -311,7 +329,7 @@ def wrong_labels(
         number = {c: i for i, c in enumerate(codes)}
         n = len(codes)
         for b in batches:
-            split = [words(t) for t in b.column(2).to_pylist()]
+            split = [tokens_of(t) for t in b.column(2).to_pylist()]
             stated = np.array([number.get(s, -1) for s in b.column(1).to_pylist()], np.int64)
             lang, offsets, _ = m.label(split)
             size = np.diff(offsets)
