@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import langid, tokens
+from . import dedup, langid, lines, tokens
 
 #: Folder of the public tokenizers' files; nothing of it is copied here.
 TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
@@ -49,6 +49,26 @@ def p2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label_passages(table(spark, sf_dir, "sentences"), langid.read_samples(table(spark, sf_dir, "lang_samples")))
 
 
-QUERIES = {f.__name__: f for f in (p1_token_budget, p1_doc_tokens, p2_found, p2_passages, p7_ids, p7_round_trip)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.copies(table(spark, sf_dir, "sentences"))
+
+
+def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.collapse(table(spark, sf_dir, "sentences"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, sf_dir, "sentences"))
+
+
+def p6_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_repeated_lines(table(spark, sf_dir, "sentences"))
+
+
+def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.frequent_sequences(lines.line_table(table(spark, sf_dir, "sentences")))
+
+
+QUERIES = {f.__name__: f for f in (p1_token_budget, p1_doc_tokens, p2_found, p2_passages, p5_found, p5_collapsed, p6_found, p6_removed, p6_sequences, p7_ids, p7_round_trip)}
 
 ORACLE: dict[str, str] = {}
