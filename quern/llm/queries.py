@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import dedup, langid, lines, tokens
+from . import dedup, groups, langid, lines, mixing, tokens
 
 #: Folder of the public tokenizers' files; nothing of it is copied here.
 TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
@@ -69,6 +69,35 @@ def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.frequent_sequences(lines.line_table(table(spark, sf_dir, "sentences")))
 
 
-QUERIES = {f.__name__: f for f in (p1_token_budget, p1_doc_tokens, p2_found, p2_passages, p5_found, p5_collapsed, p6_found, p6_removed, p6_sequences, p7_ids, p7_round_trip)}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.related_pairs(table(spark, sf_dir, "corpus_records"))
 
-ORACLE: dict[str, str] = {}
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.assign_splits(table(spark, sf_dir, "corpus_records"))[0]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.unreachable(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "mix_targets"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "mix_targets"))
+
+
+def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_copies(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p1_token_budget, p1_doc_tokens, p2_found, p2_passages, p3_found, p3_splits, p4_found, p4_report, p4_copies, p5_found, p5_collapsed, p6_found, p6_removed, p6_sequences, p7_ids, p7_round_trip)}
+
+_P4_TARGETS = """
+t AS (SELECT mix, language, max_repeats, weight / sum(weight) OVER (PARTITION BY mix) * budget_tokens AS wanted FROM mix_targets),
+b AS (SELECT id, min(lower(trim(language))) AS language, max(len(list_filter(special_tokens_mask, lambda x: x = 0))) AS n
+      FROM blocks WHERE split = 'train' GROUP BY id),
+s AS (SELECT language, sum(coalesce(n, 0)) AS stock FROM b GROUP BY language)"""
+
+ORACLE: dict[str, str] = {
+    "p4_found": f"""WITH {_P4_TARGETS}
+        SELECT mix, language FROM t LEFT JOIN s USING (language) WHERE wanted > coalesce(stock, 0) * max_repeats""",
+}
