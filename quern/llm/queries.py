@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import dedup, groups, langid, leaks, lines, mixing, tokens
+from . import dedup, groups, langid, leaks, lines, mixing, reading, tokens
 
 #: Folder of the public tokenizers' files; nothing of it is copied here.
 TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
@@ -97,7 +97,15 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_token_budget, p1_doc_tokens, p2_found, p2_passages, p3_found, p3_splits, p4_found, p4_report, p4_copies, p5_found, p5_collapsed, p6_found, p6_removed, p6_sequences, p7_ids, p7_round_trip, p8_found, p8_kept)}
+def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_grades(spark, sf_dir).select("doc_id", "band")
+
+
+QUERIES = {f.__name__: f for f in (p1_token_budget, p1_doc_tokens, p2_found, p2_passages, p3_found, p3_splits, p4_found, p4_report, p4_copies, p5_found, p5_collapsed, p6_found, p6_removed, p6_sequences, p7_ids, p7_round_trip, p8_found, p8_kept, p9_found, p9_grades)}
 
 _P4_TARGETS = """
 t AS (SELECT mix, language, max_repeats, weight / sum(weight) OVER (PARTITION BY mix) * budget_tokens AS wanted FROM mix_targets),
