@@ -65,14 +65,18 @@ def html_unescape(col: Column | str) -> Column:
 
 def ngrams(words: Column, width: int) -> Column:
     """Distinct word n-grams joined by spaces; empty where there are fewer than ``width`` words."""
-    n = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
-    return F.when(n >= width, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
+        return F.when(F.size(w) >= width, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    # bound to a variable, the words are computed once rather than for every n-gram
+    return F.element_at(F.transform(F.array(words), cut), 1)
 
 
 def letter_words(col: Column | str) -> Column:
-    """Maximal runs of letters."""
-    return F.regexp_extract_all(_c(col), F.lit(r"(?U)([^\W\d_]+)"), 1)
+    """Maximal runs of letters (and of numerals that are no decimal digits)."""
+    return F.regexp_extract_all(_c(col), F.lit(r"([\p{L}\p{Nl}\p{No}]+)"), 1)
 
 
 def has_letter(col: Column | str) -> Column:

@@ -116,8 +116,8 @@ def f3_canonical_exact(spark, sf):
     return table(spark, sf, "sentences").where("text is not null").select("row_id", T.canonical_exact("text").alias("key"))
 
 
-@query(f"""WITH k AS (SELECT doc_id, {Q.canonical('text')} AS key FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, len({Q.grams('key', WIDTH)})::INT AS n_grams FROM k""")
+@query(f"""WITH k AS (SELECT doc_id, {Q.words('lower(text)')} AS w FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, len({Q.grams('w', WIDTH)})::INT AS n_grams FROM k""")
 def f4_ngrams(spark, sf):
     d = table(spark, sf, "documents").where("text is not null").select("doc_id", T.split_words(F.lower("text")).alias("w"))
     return d.select("doc_id", F.size(T.ngrams(F.col("w"), WIDTH)).alias("n_grams"))
@@ -129,9 +129,9 @@ def f5_f6_words_and_lines(spark, sf):
     return d.select("doc_id", F.size(T.split_words("text")).alias("n_words"), F.size(T.split_lines("text")).alias("n_lines"))
 
 
-@query(r"SELECT row_id, regexp_extract_all(text, '\p{L}+') AS letter_words FROM sentences WHERE text IS NOT NULL AND NOT regexp_matches(text, '\p{M}')")
+@query(r"SELECT row_id, regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]+') AS letter_words FROM sentences WHERE text IS NOT NULL")
 def f17_letter_words(spark, sf):
-    s = table(spark, sf, "sentences").where("text is not null").where(~F.col("text").rlike(r"\p{M}"))
+    s = table(spark, sf, "sentences").where("text is not null")
     return s.select("row_id", T.letter_words("text").alias("letter_words"))
 
 
@@ -214,10 +214,11 @@ def a18_split_leaks(spark, sf):
 
 
 @query(f"""WITH l AS (SELECT doc_id AS id, unnest({Q.lines('text')}) AS line, generate_subscripts({Q.lines('text')}, 1)::INT AS line_no FROM documents WHERE text IS NOT NULL),
-    k AS (SELECT id, line_no, {Q.canonical('line')} AS key FROM l), b AS (SELECT {Q.canonical('text')} AS key FROM eval_items WHERE text IS NOT NULL),
-    g AS (SELECT DISTINCT unnest({Q.grams('key', WIDTH)}) AS gram FROM b WHERE key <> '')
+    k0 AS (SELECT id, line_no, {Q.words('lower(line)')} AS w FROM l), k AS (SELECT *, array_to_string(w, ' ') AS key FROM k0),
+    b0 AS (SELECT {Q.words('lower(text)')} AS w FROM eval_items WHERE text IS NOT NULL), b AS (SELECT *, array_to_string(w, ' ') AS key FROM b0),
+    g AS (SELECT DISTINCT unnest({Q.grams('w', WIDTH)}) AS gram FROM b WHERE key <> '')
     SELECT id, line_no FROM k WHERE key IN (SELECT key FROM b WHERE key <> '')
-    UNION SELECT id, line_no FROM (SELECT id, line_no, unnest({Q.grams('key', WIDTH)}) AS gram FROM k) WHERE gram IN (SELECT gram FROM g)""")
+    UNION SELECT id, line_no FROM (SELECT id, line_no, unnest({Q.grams('w', WIDTH)}) AS gram FROM k) WHERE gram IN (SELECT gram FROM g)""")
 def j2_overlap_lines(spark, sf):
     lines = corpus.keyed_lines(table(spark, sf, "documents").where("text is not null"), "doc_id", exact=False)
     guard = table(spark, sf, "eval_items").select(T.canonical("text").alias("key")).where("key <> ''")
@@ -230,8 +231,8 @@ _STAGE = """{s}h AS (SELECT rec_no, line_no FROM k WHERE split = '{split}' AND k
 
 
 @query(f"""WITH l AS (SELECT rec_no, {_SPLIT_SQL} AS split, unnest({Q.lines('text')}) AS line, generate_subscripts({Q.lines('text')}, 1)::INT AS line_no FROM corpus_records WHERE text IS NOT NULL),
-  k0 AS (SELECT rec_no, split, line_no, line, {Q.canonical('line')} AS key FROM l), k AS (SELECT *, {Q.grams('key', WIDTH)} AS grams FROM k0 WHERE key <> ''),
-  b0 AS (SELECT {Q.canonical('text')} AS key FROM eval_items WHERE text IS NOT NULL), g1 AS (SELECT key, {Q.grams('key', WIDTH)} AS grams FROM b0 WHERE key <> ''),
+  k0 AS (SELECT rec_no, split, line_no, line, {Q.words('lower(line)')} AS w FROM l), k AS (SELECT *, array_to_string(w, ' ') AS key, {Q.grams('w', WIDTH)} AS grams FROM k0 WHERE len(w) > 0),
+  b0 AS (SELECT {Q.words('lower(text)')} AS w FROM eval_items WHERE text IS NOT NULL), g1 AS (SELECT array_to_string(w, ' ') AS key, {Q.grams('w', WIDTH)} AS grams FROM b0 WHERE len(w) > 0),
   {_STAGE.format(s='t', split='test', guard='g1')}, g2 AS (SELECT key, grams FROM g1 UNION ALL SELECT key, grams FROM ts),
   {_STAGE.format(s='v', split='validation', guard='g2')}, g3 AS (SELECT key, grams FROM g2 UNION ALL SELECT key, grams FROM vs),
   {_STAGE.format(s='r', split='train', guard='g3')}
@@ -291,7 +292,7 @@ _LID = """lid AS (SELECT row_id AS sent_id, text, lower(trim(language)) AS langu
     CASE WHEN regexp_matches(coalesce(text, ''), '[іїєґ]') THEN ['uk', 'ru', 'mhr'] ELSE ['ru', 'uk', 'mhr'] END AS labels,
     CASE WHEN row_id % 3 = 0 THEN [0.85, 0.1, 0.05] WHEN row_id % 3 = 1 THEN [0.6, 0.3, 0.1] ELSE [0.4, 0.35, 0.25] END AS probs FROM sentences)"""
 _DECIDE = rf"""{_LID},
-  w AS (SELECT sent_id, language, labels, probs, lower(coalesce(text, '')) AS low, regexp_extract_all(coalesce(text, ''), '\p{{L}}+') AS words FROM lid),
+  w AS (SELECT sent_id, language, labels, probs, lower(coalesce(text, '')) AS low, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS words FROM lid),
   w2 AS (SELECT *, list_transform(words, lambda x: lower(x)) AS lows FROM w),
   j AS (SELECT *, coalesce(regexp_matches(low, '[{cleaning.TARGET_LETTERS}]') OR {_LISTED}
       OR (language = 'udm' AND len(list_filter(lows, lambda x: regexp_matches(x, '{cleaning.UDMURT_ENDINGS}'))) > 0), false) AS keep FROM w2),
@@ -309,7 +310,6 @@ def _identified(spark, sf):
     uk = F.coalesce("text", F.lit("")).rlike("[іїєґ]")
     arr = lambda *x: F.array(*map(F.lit, x))
     third = F.col("row_id") % 3
-    # marks with combining letters decomposed would part words differently in SQL, so NFC-free texts are used as they are
     return table(spark, sf, "sentences").select(
         F.col("row_id").alias("sent_id"), "text", F.lower(F.trim("language")).alias("language"),
         F.when(uk, arr("uk", "ru", "mhr")).otherwise(arr("ru", "uk", "mhr")).alias("labels"),
@@ -474,8 +474,9 @@ def u6_distinct_sets(spark, sf):
     return table(spark, sf, "sentences").groupBy("source").agg(F.countDistinct("text").alias("texts"), F.countDistinct("article").alias("articles"))
 
 
-@query(f"""WITH b AS (SELECT DISTINCT unnest({Q.grams(Q.canonical('text'), 5)}) AS g FROM eval_items WHERE text IS NOT NULL)
-    SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({Q.grams(Q.canonical('text'), 5)}) AS g FROM documents WHERE text IS NOT NULL) WHERE g IN (SELECT g FROM b)""")
+@query(f"""WITH e AS (SELECT {Q.words('lower(text)')} AS w FROM eval_items WHERE text IS NOT NULL), b AS (SELECT DISTINCT unnest({Q.grams('w', 5)}) AS g FROM e),
+    d AS (SELECT doc_id, {Q.words('lower(text)')} AS w FROM documents WHERE text IS NOT NULL)
+    SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({Q.grams('w', 5)}) AS g FROM d) WHERE g IN (SELECT g FROM b)""")
 def u2_gram_intersection(spark, sf):
     gram = lambda df: F.explode(T.ngrams(T.split_words(F.lower("text")), 5)).alias("g")
     b = table(spark, sf, "eval_items").where("text is not null").select(gram(None)).distinct()

@@ -22,9 +22,8 @@ def lines(x: str) -> str:
     return f"CASE WHEN {s}[-1] = '' THEN {s}[1:len({s})-1] ELSE {s} END"
 
 
-def grams(key: str, width: int) -> str:
-    """Distinct n-grams of a canonical text."""
-    w = f"string_split({key}, ' ')"
+def grams(w: str, width: int) -> str:
+    """Distinct n-grams of a list of words (a column, so that it is split once)."""
     return f"CASE WHEN len({w}) >= {width} THEN list_distinct(list_transform(range(1, len({w}) - {width} + 2), lambda i: array_to_string({w}[i:i + {width} - 1], ' '))) ELSE [] END"
 
 
