@@ -52,5 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the project's parquet tables."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One of the project's parquet tables.
+
+    A table that is read in fewer tasks than there are cores (one small file) is spread over
+    them; larger ones already are, and stay as they are. Filters and columns still reach the scan.
+    """
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if tasks < cores else df
