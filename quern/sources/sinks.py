@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import file_hash, fingerprint_value
-from ..operators import treebank as S
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -37,7 +36,8 @@ def write_json(path: str, value) -> None:
 
 def write_conllu(df: DataFrame, path: str, order: list[str]) -> None:
     """Sentences as treebank text, in order over the part files."""
-    df.orderBy(*order).select(S.render(F.col("lines")).alias("value")).write.mode("errorifexists").option("lineSep", "").text(path)
+    one = F.concat(F.array_join("lines", "\n"), F.lit("\n"))  # the writer adds the line feed of the blank line
+    df.orderBy(*order).select(one.alias("value")).write.mode("errorifexists").text(path)
 
 
 def fresh(path: str) -> str:
