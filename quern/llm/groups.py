@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, group_by_shared_keys
 from ..session import cut
 from .tokens import NO_LABEL
 
@@ -43,63 +44,10 @@ def record_keys(df: DataFrame, id_col: str = "rec_no", ids_col: str = "source_id
     )
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, root)`` of a graph of ``(u, v)`` links over comparable nodes; root is the smallest node.
-
-    Each round every node takes the smallest root among its neighbours, roots are hooked to
-    smaller ones, and pointers jump, so a chain shortens by half. All steps are combining
-    aggregations and equi-joins; a node with very many links is one row for each task after
-    the partial aggregation, and what is joined to it is split by adaptive execution.
-    """
-    edges = cut(
-        links.select(F.col("u").alias("a"), F.col("v").alias("b"))
-        .unionByName(links.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        .where("a <> b")
-        .distinct()
-    )
-    parent = cut(
-        edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-    )
-    for _ in range(max_rounds):
-        # the smallest root around each node
-        near = (
-            edges.join(parent, edges["b"] == parent["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        )
-        known = parent.join(near, parent["node"] == near["a"], "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("best"))
-        # hook: a root follows the smallest root that any of its nodes has seen
-        hooks = known.groupBy("root").agg(F.min("best").alias("hook")).select(F.col("root").alias("r"), "hook")
-        hooked = cut(
-            known.join(hooks, known["root"] == hooks["r"], "left").select("node", "root", F.least("best", F.coalesce("hook", "best")).alias("best"))
-        )
-        # jump: to the pointer of the pointer
-        up = hooked.select(F.col("node").alias("n"), F.col("best").alias("up"))
-        jumped = cut(
-            hooked.join(up, hooked["best"] == up["n"], "left").select("node", F.least("best", F.coalesce("up", "best")).alias("new"), "root")
-        )
-        moved = not jumped.where("new <> root").isEmpty()
-        parent = jumped.select("node", F.col("new").alias("root"))
-        if not moved:
-            return parent
-    raise RuntimeError("components did not settle")
-
-
-def record_components(keys: DataFrame) -> DataFrame:
-    """``(rec, root)`` of all records that have a usable key; root is the smallest record.
-
-    Each key links its records to its smallest one: as many links as (record, key) rows.
-    """
-    keys = cut(keys)
-    least = keys.groupBy("key").agg(F.min("rec").alias("v"), F.count("*").alias("n")).where("n > 1")
-    links = keys.join(least.hint("merge"), "key").select(F.col("rec").alias("u"), "v").where("u <> v").distinct()
-    found = components(links)
-    alone = keys.select("rec").distinct().join(found, F.col("rec") == F.col("node"), "left_anti")
-    return found.select(F.col("node").alias("rec"), "root").unionByName(alone.select("rec", F.col("rec").alias("root")))
-
-
 def related_pairs(df: DataFrame, **columns: str) -> DataFrame:
     """``(rec_a, rec_b)``: of every component the smallest record with each other one."""
     return (
-        record_components(record_keys(df, **columns)).where("rec <> root").select(F.col("root").alias("rec_a"), F.col("rec").alias("rec_b"))
+        group_by_shared_keys(record_keys(df, **columns)).where("rec <> root").select(F.col("root").alias("rec_a"), F.col("rec").alias("rec_b"))
     )
 
 
