@@ -28,7 +28,8 @@ def sentences_from_lines(lines: DataFrame, file_col: str = "file", pos_col: str
 def metadata(lines: Column) -> Column:
     """Map of the ``# key = value`` comments; of a repeated key the last counts."""
     heads = F.filter(lines, lambda x: x.startswith("#") & x.contains(" = "))
-    pairs = F.transform(heads, lambda x: F.struct(F.regexp_replace(F.substring_index(F.substring(x, 2, 1_000_000), " = ", 1), "^ +| +$", "").alias("k"), F.substring(x, F.locate(" = ", x) + 3, F.length(x)).alias("v")))
+    key = lambda x: F.regexp_replace(F.substring_index(F.substring(x, 2, 1_000_000), " = ", 1), "^ +| +$", "")
+    pairs = F.transform(heads, lambda x: F.named_struct(F.lit("k"), key(x), F.lit("v"), F.substring(x, F.locate(" = ", x) + 3, F.length(x))))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
 
