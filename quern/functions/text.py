@@ -21,6 +21,11 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bound(col: Column, f) -> Column:
+    """``f(col)`` with the column computed once, however often a lambda inside ``f`` uses it."""
+    return F.element_at(F.transform(F.array(col), f), 1)
+
+
 def strip(col: Column | str) -> Column:
     """Without white space (any, not only U+0020) at both ends."""
     return F.regexp_replace(_c(col), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
@@ -70,8 +75,7 @@ def ngrams(words: Column, width: int) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
         return F.when(F.size(w) >= width, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
-    # bound to a variable, the words are computed once rather than for every n-gram
-    return F.element_at(F.transform(F.array(words), cut), 1)
+    return bound(words, cut)
 
 
 def letter_words(col: Column | str) -> Column:

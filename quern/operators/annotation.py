@@ -132,7 +132,7 @@ def lookup_analyses(rows: DataFrame) -> DataFrame:
     """``(form, analyses)`` from lookup output ``(form, analysis)``: unknowns (ending in ``?``) and blanks
     dropped, distinct, sorted; each analysis with its lemma, the text before the first plus sign."""
     ok = F.col("analysis").isNotNull() & (F.trim("analysis") != "") & ~F.col("analysis").endswith("?")
-    got = rows.groupBy("form").agg(F.array_sort(F.collect_set(F.when(ok, F.col("analysis")))).alias("a"))
+    got = rows.groupBy("form").agg(F.sort_array(F.collect_set(F.when(ok, F.col("analysis")))).alias("a"))
     return got.select("form", F.transform("a", lambda x: F.struct(F.substring_index(x, "+", 1).alias("lemma"), x.alias("analysis"))).alias("analyses"))
 
 
@@ -203,19 +203,21 @@ def write_predictions(lines: Column, predictions: Column) -> Column:
     number of predictions isn't that of the words.
     """
     heads = F.filter(lines, lambda x: x.startswith("#"))
-    body = F.filter(lines, lambda x: ~x.startswith("#"))
-    is_word = lambda x: F.split(x, "\t")[0].rlike("^[0-9]+$")
+    rows = F.filter(lines, lambda x: ~x.startswith("#"))
+    is_word = lambda x: F.substring_index(x, "\t", 1).rlike("^[0-9]+$")
 
-    def one(x, i):
-        c = F.split(x, "\t")
-        n = F.size(F.filter(F.slice(body, 1, i), is_word))  # words before this row
-        p = F.get(predictions, n)
-        spacing = F.when(F.array_contains(F.split(c[9], r"\|"), "SpaceAfter=No"), "SpaceAfter=No").otherwise("_")
-        word = F.array(c[0], c[1], p["lemma"], p["upos"], F.lit("_"), p["feats"], p["head"].cast("string"), p["deprel"], F.lit("_"), spacing)
-        other = F.concat(F.slice(c, 1, 2), F.array_repeat(F.lit("_"), 7), F.array(spacing))
-        return F.array_join(F.when(is_word(x), word).otherwise(other), "\t")
+    def rewrite(body: Column) -> Column:
+        def one(x, i):
+            c = F.split(x, "\t")
+            p = F.get(predictions, F.size(F.filter(F.slice(body, 1, i), is_word)))  # words before this row
+            spacing = F.when(F.array_contains(F.split(c[9], r"\|"), "SpaceAfter=No"), "SpaceAfter=No").otherwise("_")
+            word = F.array(c[0], c[1], p["lemma"], p["upos"], F.lit("_"), p["feats"], p["head"].cast("string"), p["deprel"], F.lit("_"), spacing)
+            other = F.concat(F.slice(c, 1, 2), F.array_repeat(F.lit("_"), 7), F.array(spacing))
+            return F.array_join(F.when(is_word(x), word).otherwise(other), "\t")
+
+        return F.transform(body, one)
 
-    return F.when(F.size(F.filter(body, is_word)) == F.size(predictions), F.concat(heads, F.transform(body, one)))
+    return F.when(F.size(F.filter(rows, is_word)) == F.size(predictions), F.concat(heads, T.bound(rows, rewrite)))
 
 
 def strip_boilerplate(lines: Column, pattern: str) -> Column:

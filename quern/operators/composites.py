@@ -212,7 +212,7 @@ def pick_relation(scores: Column, labels: list[str], head: Column) -> Column:
 
 def ordered_candidates(candidates: Column) -> Column:
     """Distinct analyses as JSON texts in ascending order."""
-    return F.array_sort(F.array_distinct(F.transform(candidates, lambda x: F.to_json(x))))
+    return F.sort_array(F.array_distinct(F.transform(candidates, lambda x: F.to_json(x))))
 
 
 def encoder_windows(sizes: list[int], capacity: int, overlap: int) -> list[tuple[int, int]]:

@@ -116,9 +116,9 @@ def merge_groups(records: DataFrame, roots: DataFrame, id_col: str = "id", key:
     order = F.struct(F.col(id_col), F.col("text"))
     texts = (
         rows.where("text is not null").groupBy("root", "__k").agg(F.max_by("text", order).alias("t"))
-        .groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "t"))), lambda x: x["t"]), "\n").alias("text"))
+        .groupBy("root").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__k", "t"))), lambda x: x["t"]), "\n").alias("text"))
     )
-    ids = rows.select("root", F.explode("source_ids").alias("s")).where("s is not null").groupBy("root").agg(F.array_sort(F.collect_set("s")).alias("source_ids"))
+    ids = rows.select("root", F.explode("source_ids").alias("s")).where("s is not null").groupBy("root").agg(F.sort_array(F.collect_set("s")).alias("source_ids"))
     heads = rows.groupBy("root").agg(F.min_by(F.col(id_col), order).alias("id"), F.min_by("language", order).alias("language"), F.count("*").alias("n_records"))
     return (
         heads.join(ids, "root", "left").join(texts, "root", "left")
@@ -206,7 +206,7 @@ def remove_overlap(
         gone = bad if gone is None else gone.unionByName(bad)
         if split != "train":
             guard = stay.select("key") if guard is None else guard.unionByName(stay.select("key"))
-    texts = kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("__text"))
+    texts = kept.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("__text"))
     out = records.join(texts.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id")).drop("__id", "text").withColumnRenamed("__text", "text")
     return out, gone.select("id", "split", "line_no", F.lit("protected_passage").alias("reason"), F.col("line").alias("text"))
 
@@ -215,24 +215,26 @@ def remove_overlap(
 
 
 def recover_recordings(lines: DataFrame, utterances: DataFrame, doc_col: str = "doc") -> DataFrame:
-    """``(doc, line, text, candidates, recording, method)`` for every local line.
+    """``(doc, line, text, n_candidates, recording, method)`` for every local line.
 
     Lines meet archive utterances on equal stripped text. A line with one candidate is an
     anchor; an ambiguous line takes a recording if the nearest anchors strictly before and after
-    name the same one and it is a candidate.
+    name the same one and it is a candidate. A text's candidates are counted, never gathered;
+    whether an anchor is one of them is an equi-join. Both anchors come from running windows
+    (the one after from the reversed order), linear in the lines of a document.
     """
-    cands = utterances.groupBy(T.strip("text").alias("__t")).agg(F.array_sort(F.collect_set("recording")).alias("candidates"))
+    pairs = utterances.select(T.strip("text").alias("t"), "recording").where("t is not null and recording is not null").distinct()
+    stats = pairs.groupBy("t").agg(F.count("*").alias("n"), F.min("recording").alias("only"))
     rows = lines.select(F.col(doc_col).alias("doc"), "line", T.strip("text").alias("text"))
-    rows = rows.join(cands, rows["text"] == cands["__t"], "left").drop("__t").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
-    own = F.when(F.size("candidates") == 1, F.element_at("candidates", 1))
-    w = Window.partitionBy("doc").orderBy("line")
-    before = F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("own", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("own", own).withColumn("before", before).withColumn("after", after)
-    anchored = (F.col("before") == F.col("after")) & F.array_contains("candidates", F.col("before"))
+    rows = rows.join(stats, rows["text"] == stats["t"], "left").select("doc", "line", "text", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("only")).alias("own"))
+    past = lambda order: Window.partitionBy("doc").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.last("own", ignorenulls=True).over(past(F.col("line"))))
+    rows = rows.withColumn("after", F.last("own", ignorenulls=True).over(past(F.col("line").desc())))
+    asked = F.when((F.col("n") > 1) & (F.col("before") == F.col("after")), F.col("before"))
+    known = pairs.select(F.col("t").alias("kt"), F.col("recording").alias("kr"))
+    rows = rows.withColumn("asked", asked).join(known, (F.col("text") == F.col("kt")) & (F.col("asked") == F.col("kr")), "left")
     method = (
-        F.when(F.size("candidates") == 0, "unmatched").when(F.col("own").isNotNull(), "unique_exact_recording")
-        .when(anchored, "exact_with_matching_neighbor_anchors").otherwise("ambiguous_recording")
+        F.when(F.col("n") == 0, "unmatched").when(F.col("own").isNotNull(), "unique_exact_recording")
+        .when(F.col("kr").isNotNull(), "exact_with_matching_neighbor_anchors").otherwise("ambiguous_recording")
     )
-    recording = F.coalesce("own", F.when((F.size("candidates") > 1) & anchored, F.col("before")))
-    return rows.select("doc", "line", "text", "candidates", recording.alias("recording"), method.alias("method"))
+    return rows.select("doc", "line", "text", F.col("n").alias("n_candidates"), F.coalesce("own", "kr").alias("recording"), method.alias("method"))

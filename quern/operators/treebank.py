@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import treebank as TB
 from ..functions.hashing import fingerprint_list
+from ..functions.text import bound
 
 FIELDS = ["id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc"]
 
@@ -21,7 +22,7 @@ def sentences_from_lines(lines: DataFrame, file_col: str = "file", pos_col: str
     blank = (text == "") if only_empty else ~text.rlike(r"(?U)[^\s\x1C-\x1F]")
     marked = lines.select(F.col(file_col).alias("file"), F.col(pos_col).alias("pos"), text.alias("line"), blank.cast("int").alias("blank"))
     marked = marked.withColumn("g", F.sum("blank").over(Window.partitionBy("file").orderBy("pos")))
-    rows = marked.where("blank = 0").groupBy("file", "g").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("r"))
+    rows = marked.where("blank = 0").groupBy("file", "g").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("r"))
     return rows.select("file", F.col("g").alias("sent_no"), F.transform("r", lambda x: x["line"]).alias("lines"))
 
 
@@ -30,8 +31,8 @@ def metadata(lines: Column) -> Column:
     heads = F.filter(lines, lambda x: x.startswith("#") & x.contains(" = "))
     key = lambda x: F.regexp_replace(F.substring_index(F.substring(x, 2, 1_000_000), " = ", 1), "^ +| +$", "")
     pairs = F.transform(heads, lambda x: F.named_struct(F.lit("k"), key(x), F.lit("v"), F.substring(x, F.locate(" = ", x) + 3, F.length(x))))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(bound(pairs, last))
 
 
 def words(lines: Column) -> Column:
@@ -90,7 +91,7 @@ def label_vocabulary(tokens: DataFrame) -> DataFrame:
     upos = tokens.where("upos <> '_'").select(F.lit("upos").alias("kind"), F.col("upos").alias("v"))
     rel = tokens.select(F.lit("deprel").alias("kind"), F.substring_index("deprel", ":", 1).alias("v")).where("v <> '_'")
     feats = tokens.where("feats <> '_'").select(F.explode(F.split("feats", r"\|")).alias("p")).select(F.concat(F.lit("feats:"), F.substring_index("p", "=", 1)).alias("kind"), F.substring(F.col("p"), F.locate("=", F.col("p")) + 1, F.length("p")).alias("v"))
-    sets = upos.unionByName(rel).unionByName(feats).distinct().groupBy("kind").agg(F.array_sort(F.collect_list("v")).alias("labels"))
+    sets = upos.unionByName(rel).unionByName(feats).distinct().groupBy("kind").agg(F.sort_array(F.collect_list("v")).alias("labels"))
     return sets.select("kind", F.when(F.col("kind").startswith("feats:"), F.concat(F.array(F.lit("_")), F.array_remove("labels", "_"))).otherwise(F.col("labels")).alias("labels"))
 
 
@@ -137,7 +138,7 @@ def greedy_groups(sizes: DataFrame, by: list[str], goal: Column, seed: int, key:
     nothing is selected yet; if nothing is, takes the smallest group. A fold over the groups'
     sizes (one small struct for each group), in one native expression.
     """
-    items = F.array_sort(F.collect_list(F.struct(fingerprint_list(seed, F.col(key)).alias("h"), F.col(key).alias("k"), F.col(n).cast("bigint").alias("n"))))
+    items = F.sort_array(F.collect_list(F.struct(fingerprint_list(seed, F.col(key)).alias("h"), F.col(key).alias("k"), F.col(n).cast("bigint").alias("n"))))
     folded = sizes.groupBy(*by).agg(items.alias("items"), F.max(goal).cast("bigint").alias("goal"))
     start = F.struct(F.lit(0).cast("bigint").alias("c"), F.array().cast("array<string>").alias("s"))
 
@@ -146,7 +147,7 @@ def greedy_groups(sizes: DataFrame, by: list[str], goal: Column, seed: int, key:
         take = (acc["c"] < F.col("goal")) & ~over
         return F.struct(F.when(take, acc["c"] + x["n"]).otherwise(acc["c"]).alias("c"), F.when(take, F.concat(acc["s"], F.array(x["k"]))).otherwise(acc["s"]).alias("s"))
 
-    smallest = F.array_sort(F.transform("items", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"), x["k"].alias("k"))))[0]["k"]
+    smallest = F.sort_array(F.transform("items", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"), x["k"].alias("k"))))[0]["k"]
     chosen = F.aggregate("items", start, step)["s"]
     return folded.select(*by, "goal", F.when(F.size(chosen) > 0, chosen).otherwise(F.array(smallest)).alias("selected"))
 

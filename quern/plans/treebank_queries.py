@@ -51,7 +51,7 @@ def system_tokens(gold: DataFrame) -> DataFrame:
 def _lines(tokens: DataFrame) -> DataFrame:
     """Sentences as arrays of ten-column lines with their comments."""
     row = F.concat_ws("\t", F.col("id").cast("string"), "form", "lemma", "upos", "xpos", "feats", F.col("head").cast("string"), "deprel", F.lit("_"), F.lit("_"))
-    got = tokens.groupBy("doc", "sent").agg(F.array_sort(F.collect_list(F.struct("id", row.alias("line")))).alias("r"), F.first("source_id").alias("source_id"))
+    got = tokens.groupBy("doc", "sent").agg(F.sort_array(F.collect_list(F.struct("id", row.alias("line")))).alias("r"), F.first("source_id").alias("source_id"))
     head = F.array(F.concat(F.lit("# sent_id = "), F.col("sent").cast("string")), F.concat(F.lit("# source_id = "), F.coalesce("source_id", F.lit(""))))
     return got.select("doc", "sent", F.concat(head, F.transform("r", lambda x: x["line"])).alias("lines"))
 
@@ -103,8 +103,8 @@ def a6_f9_lemma_rules(spark, sf):
     SELECT language, list_concat(p, list_filter(o, lambda x: NOT list_contains(p, x))) AS labels FROM a, b""")
 def a7_u7_extended_vocabulary(spark, sf):
     g = gold_tokens(spark, sf)
-    observed = system_tokens(g).agg(F.array_sort(F.collect_set("upos")).alias("o")).first()["o"]  # a few labels
-    parent = g.groupBy("language").agg(F.array_sort(F.collect_set("upos")).alias("p"))
+    observed = system_tokens(g).agg(F.sort_array(F.collect_set("upos")).alias("o")).first()["o"]  # a few labels
+    parent = g.groupBy("language").agg(F.sort_array(F.collect_set("upos")).alias("p"))
     return parent.select("language", S.extend_vocabulary(F.col("p"), F.array(*map(F.lit, observed))).alias("labels"))
 
 
@@ -121,7 +121,7 @@ def c20_label_indexes(spark, sf):
     SELECT sent, list_filter([CASE WHEN len(list_filter(w, lambda x: x.h = 0)) <> 1 THEN 'root_count' END,
       CASE WHEN len(list_filter(w, lambda x: (x.h = 0) <> (x.d = 'root'))) > 0 THEN 'root_relation' END], lambda x: x IS NOT NULL) AS problems FROM w""")
 def pr11_tree_violations(spark, sf):
-    t = system_tokens(gold_tokens(spark, sf)).groupBy("doc", "sent").agg(F.array_sort(F.collect_list(F.struct("id", "form", "lemma", "upos", "feats", "head", "deprel"))).alias("w"))
+    t = system_tokens(gold_tokens(spark, sf)).groupBy("doc", "sent").agg(F.sort_array(F.collect_list(F.struct("id", "form", "lemma", "upos", "feats", "head", "deprel"))).alias("w"))
     return t.select("sent", S.tree_violations(F.col("w")).alias("problems"))
 
 
@@ -136,7 +136,7 @@ def pr12_gold_violations(spark, sf):
 def _corrected(spark, sf):
     g = gold_tokens(spark, sf)
     s = table(spark, sf, "sentences").select(F.col("row_id").alias("sent"), "source_sent_id", "text", F.col("annotation_status").alias("status"))
-    words = F.array_sort(F.collect_list(F.struct("id", "form", "lemma", "upos", "feats")))
+    words = F.sort_array(F.collect_list(F.struct("id", "form", "lemma", "upos", "feats")))
     draft = g.groupBy("sent").agg(F.first("source_id").alias("source_id"), words.alias("words"))
     fixed = system_tokens(g).groupBy("sent").agg(F.first("source_id").alias("source_id"), words.alias("words"))
     both = [x.join(s, "sent").withColumn("sent_id", F.col("sent").cast("string")) for x in (draft, fixed)]
@@ -180,7 +180,7 @@ def pr16_form_only(spark, sf):
 @query(f"""WITH {Q.TOKENS} SELECT sent, string_agg(concat_ws(chr(9), id::VARCHAR, form, lemma, upos, '_', feats, head::VARCHAR, deprel, '_', '_'), chr(10) ORDER BY id) AS body FROM sys GROUP BY doc, sent""")
 def s14_predictions(spark, sf):
     g = gold_tokens(spark, sf)
-    p = system_tokens(g).groupBy("doc", "sent").agg(F.array_sort(F.collect_list(F.struct("id", "lemma", "upos", "feats", "head", "deprel"))).alias("p"))
+    p = system_tokens(g).groupBy("doc", "sent").agg(F.sort_array(F.collect_list(F.struct("id", "lemma", "upos", "feats", "head", "deprel"))).alias("p"))
     s = _lines(g).join(p, ["doc", "sent"])
     body = F.filter(A.write_predictions(F.col("lines"), F.col("p")), lambda x: ~x.startswith("#"))
     return s.select("sent", F.array_join(body, "\n").alias("body"))
@@ -201,7 +201,7 @@ def j5_key_equality(spark, sf):
     SELECT sent_id, CASE WHEN d.f IS NULL THEN 'missing_draft' ELSE 'forms' END AS problem FROM s LEFT JOIN d USING (sent_id) WHERE d.f IS NULL OR s.f <> d.f""")
 def j4_paired_sentences(spark, sf):
     g = gold_tokens(spark, sf).withColumn("sent_id", F.col("sent"))
-    make = lambda t: t.groupBy("sent_id").agg(F.max("source_id").alias("article"), F.transform(F.array_sort(F.collect_list(F.struct("id", "form"))), lambda x: x["form"]).alias("forms"))
+    make = lambda t: t.groupBy("sent_id").agg(F.max("source_id").alias("article"), F.transform(F.sort_array(F.collect_list(F.struct("id", "form"))), lambda x: x["form"]).alias("forms"))
     d = g.where(F.col("sent") % 5 != 0).withColumn("form", F.when(F.col("id") % 19 == 0, "x").otherwise(F.col("form")))
     return A.pair_violations(make(g), make(d))
 
@@ -333,7 +333,7 @@ def f24_normalized(spark, sf):
 def w9_greedy_groups(spark, sf):
     sizes = table(spark, sf, "documents").where("source is not null and lang is not null").groupBy("lang", "source").agg(F.count("*").alias("n")).withColumnRenamed("source", "key")
     total = sizes.groupBy("lang").agg(F.bround(F.sum("n") * F.lit(0.1)).cast("bigint").alias("goal"))
-    return S.greedy_groups(sizes.join(total, "lang"), ["lang"], F.col("goal"), 42).select("lang", "goal", F.array_sort("selected").alias("selected"))
+    return S.greedy_groups(sizes.join(total, "lang"), ["lang"], F.col("goal"), 42).select("lang", "goal", F.sort_array("selected").alias("selected"))
 
 
 @query(None)
