@@ -59,3 +59,10 @@ def article_id(language: Column | str, title: Column) -> Column:
     """``<language>:wiki:`` and the first 20 hex digits of the title's fingerprint."""
     lang = F.lit(language) if isinstance(language, str) else language
     return F.concat(lang, F.lit(":wiki:"), F.substring(fingerprint(title), 1, 20))
+
+
+def record_id(language: str, title: Column, record: Column, text: Column) -> Column:
+    """As :func:`article_id`; a row without a title is known by its number and text instead."""
+    untitled = F.sha2(F.concat(F.lit("["), record.cast("string"), F.lit(","), json_text(text), F.lit("]")), 256)
+    whole = F.when(F.coalesce(title, F.lit("")) == "", untitled).otherwise(fingerprint(title))
+    return F.concat(F.lit(f"{language}:wiki:"), F.substring(whole, 1, 20))

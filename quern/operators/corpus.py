@@ -24,6 +24,9 @@ WIKI_METADATA = (
 )
 
 
+MAIN_PAGES = ["Кумшо лаштык", "Кутскон бам", "Тӱҥ лаштык", "Main Page"]
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _unescape_lines(lines: pd.Series) -> pd.Series:
     return lines.map(lambda x: None if x is None else [html.unescape(v) for v in x])
@@ -72,9 +75,9 @@ def clean_wiki(df: DataFrame, text_col: str = "text", unescape: bool = True) ->
     )
 
 
-def drop_titles(df: DataFrame, titles: list[str], title_col: str = "title") -> tuple[DataFrame, DataFrame]:
+def drop_titles(df: DataFrame, titles: list[str] = MAIN_PAGES, title_col: str = "title") -> tuple[DataFrame, DataFrame]:
     """Rows without the given titles (main pages), and the audit of those dropped."""
-    hit = F.coalesce(F.col(title_col).isin(titles), F.lit(False))
+    hit = F.coalesce(T.strip(title_col).isin(titles), F.lit(False))
     return df.where(~hit), df.where(hit).withColumn("reason", F.lit("wiki_main_page"))
 
 

@@ -49,9 +49,9 @@ def u1_union_records(spark, sf):
     return u.groupBy("language").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, title FROM documents WHERE title IS NULL OR title NOT IN ('Тӱҥ лаштык', 'Кутскон бам', 'Заглавная страница', 'Main Page')")
+@query(f"SELECT doc_id, title FROM documents WHERE title IS NULL OR {Q.strip('title')} NOT IN ('Кумшо лаштык', 'Кутскон бам', 'Тӱҥ лаштык', 'Main Page')")
 def pr2_main_pages(spark, sf):
-    return corpus.drop_titles(table(spark, sf, "documents"), ["Тӱҥ лаштык", "Кутскон бам", "Заглавная страница", "Main Page"])[0].select("doc_id", "title")
+    return corpus.drop_titles(table(spark, sf, "documents"))[0].select("doc_id", "title")
 
 
 @query(f"SELECT lang, count(*) AS n FROM documents WHERE text IS NOT NULL AND {Q.strip('text')} <> '' GROUP BY lang")

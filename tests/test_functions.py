@@ -43,6 +43,12 @@ def test_fingerprint_equals_json(spark):
         H.fingerprint_value(float("nan"))
 
 
+def test_record_ids(spark):
+    df = spark.createDataFrame([("Титул", 2, "x"), ("", 3, 'q"'), (None, 4, "y")], "t string, i bigint, x string")
+    got = [r[0] for r in df.select(H.record_id("mhr", F.col("t"), F.col("i"), F.col("x"))).collect()]
+    assert got == ["mhr:wiki:" + H.fingerprint_value(v)[:20] for v in ("Титул", [3, 'q"'], [4, "y"])]
+
+
 def test_file_hash(tmp_path):
     p = tmp_path / "f"
     p.write_bytes(b"x" * (3 << 20))
