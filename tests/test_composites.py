@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,17 @@ def test_score_command(spark, tmp_path, capsys):
     capsys.readouterr()
     cli.main(["score", str(p), str(p)], spark)
     assert all(r["f1"] in (1.0, 0.0) for r in json.loads(capsys.readouterr().out))
+
+
+@pytest.mark.parametrize("name", ["o4_candidate_order", "o4_all_candidates"])
+def test_candidates_equal_sql(spark, sf, name):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as e
+
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    c = duckdb.connect()
+    c.execute(f"create view sentences as select * from '{sf}/sentences.parquet'")
+    want = sorted(c.execute(f"select sent, id, first from ({e.oracle_sql()[name]})").fetchall())
+    got = sorted(map(tuple, e.queries()[name](spark, sf).select("sent", "id", "first").collect()))
+    assert got == want and {i % 2 for _, i, _ in got} == ({1} if name == "o4_candidate_order" else {0, 1})
