@@ -1,4 +1,6 @@
+import csv
 import json
+import os
 import zipfile
 
 import pytest
@@ -212,3 +214,23 @@ def test_bootstrap(spark):
     assert scoring.paired_violations(a, a.where("source_id <> 'a1'")).first().source_id == "a1"
     with pytest.raises(ValueError):
         scoring.bootstrap_exact([(1, 1, 1)])
+
+
+def test_wiki_csv_keeps_line_ends(spark, tmp_path):
+    rows = [("A", "a\rb\nc\r\nd"), ("B", '\r"x"\r\n'), ("C", "\n\r ,\r")]
+    for k, end in enumerate(["\n", "\r\n", "\r"]):
+        p = tmp_path / f"{k}.csv"
+        with open(p, "w", encoding="utf-8", newline="") as f:
+            w = csv.writer(f, lineterminator=end, quoting=csv.QUOTE_MINIMAL if k else csv.QUOTE_ALL)
+            w.writerows([("article", "text"), *rows])
+        assert [tuple(r) for r in readers.read_wiki_csv(spark, str(p)).collect()] == rows, end
+
+
+def test_wiki_csv_of_all_documents(spark, sf):
+    from quern.plans.registry import QUERIES
+
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("title <> '' and text <> ''").select("title", "text")
+    got = sorted(map(tuple, QUERIES["s1_wiki_csv_all"](spark, sf).select("article", "text").collect()))
+    assert got == sorted(map(tuple, d.collect())) and any("\r" in t for _, t in got)
