@@ -16,6 +16,8 @@ are read by row id. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -74,12 +76,13 @@ def frequent_occurrences(lines: DataFrame, min_articles: int = MIN_ARTICLES) ->
     return lines.join(frequent_lines(lines, min_articles).select("source", "line").hint("merge"), ["source", "line"])
 
 
-def frequent_sequences(lines: DataFrame, min_articles: int = MIN_ARTICLES, max_length: int = 6) -> DataFrame:
-    """``(source, sequence, n_articles)``: frequent sequences of up to ``max_length`` lines.
+def frequent_sequences(lines: DataFrame, min_articles: int = MIN_ARTICLES, max_length: int | None = None) -> DataFrame:
+    """``(source, sequence, n_articles)``: frequent sequences, of up to ``max_length`` lines if it is given.
 
     Prefix growth: the state is, for each frequent prefix and article, the position just after
     its first occurrence; a prefix grows by the first later occurrence of each frequent line.
-    Only frequent lines take part, so the state is small against the text.
+    Only frequent lines take part, so the state is small against the text; it grows until no
+    sequence is frequent. A notice of n lines has up to 2^n - 1 frequent sequences.
     """
     spark = lines.sparkSession
     kept = cut(
@@ -88,7 +91,7 @@ def frequent_sequences(lines: DataFrame, min_articles: int = MIN_ARTICLES, max_l
     first = kept.groupBy("source", "article", "line").agg(F.min("pos").alias("pos"))
     state = cut(first.select("source", "article", F.array("line").alias("sequence"), "pos"))
     found = _support(state, ["source", "sequence"], min_articles)
-    for _ in range(max_length - 1):
+    for _ in itertools.count() if max_length is None else range(max_length - 1):
         grown = (
             state.join(kept.select("source", "article", "line", F.col("pos").alias("next")), ["source", "article"])
             .where(F.col("next") > F.col("pos"))

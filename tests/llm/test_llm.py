@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip, and on its edge cases."""
 
 import collections
+import math
 import os
 import random
 import unicodedata
@@ -301,6 +302,14 @@ def test_frequent_sequences(spark):
     assert got == {(1, 9): 2, (1, 8): 1, (2, 8): 3, (3, 8): 1}
 
 
+def test_frequent_sequences_of_any_length(spark):
+    rows = [(10 * a + k, f"строка {'абвгдежз'[k]}", "s", f"a{a}") for a in range(8) for k in range(8)]
+    lt = lines.line_table(spark.createDataFrame(rows, "row_id bigint, text string, source string, source_id string"))
+    got = collections.Counter(len(r.sequence) for r in lines.frequent_sequences(lt).collect())
+    assert got == {k: math.comb(8, k) for k in range(1, 9)}
+    assert max(len(r.sequence) for r in lines.frequent_sequences(lt, max_length=2).collect()) == 2
+
+
 # ---- leaks ------------------------------------------------------------------------------------------------
 
 
