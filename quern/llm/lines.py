@@ -8,7 +8,9 @@ that follow it in enough distinct articles. The support of a sequence is its num
 articles. Removal deletes every occurrence of a line that is itself frequent; any line of a
 longer frequent sequence is, so no sequence is left.
 
-Defined results: rows with a null source or article take no part and stay as they are; null,
+Defined results: rows with a null source take no part and stay as they are. Neither do rows with a
+null article, unless ``unnamed`` is set: then they support nothing, but the frequent lines of
+their source are found in them like in any other row. Null,
 blank and letterless lines are never removed; a null text stays null, and a text of which all
 lines go becomes empty. A line that repeats within an article supports once. Equal order keys
 are read by row id. Other columns of the input are ignored.
@@ -32,9 +34,13 @@ MIN_ARTICLES = 8
 
 
 def line_table(
-    df: DataFrame, id_col: str = "row_id", text_col: str = "text", source_col: str = "source", article_col: str = "source_id"
+    df: DataFrame, id_col: str = "row_id", text_col: str = "text", source_col: str = "source", article_col: str = "source_id",
+    unnamed: bool = False,
 ) -> DataFrame:
-    """``(source, article, row_id, line_no, line)``: the integer of every line with a letter."""
+    """``(source, article, row_id, line_no, line)``: the integer of every line with a letter.
+
+    ``unnamed`` keeps the rows without an article, with a null one.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -54,15 +60,15 @@ def line_table(
             )
 
     rows = df.select(
-        F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(article_col)).alias("article"), F.col(id_col).alias("row_id"), F.col(text_col).alias("text")
-    ).where(F.col(source_col).isNotNull() & F.col(article_col).isNotNull() & F.col(text_col).isNotNull())
+        F.col(source_col).cast("string").alias("source"), F.when(F.col(article_col).isNotNull(), F.xxhash64(F.col(article_col))).alias("article"), F.col(id_col).alias("row_id"), F.col(text_col).alias("text")
+    ).where(F.col(source_col).isNotNull() & (F.col(article_col).isNotNull() | F.lit(unnamed)) & F.col(text_col).isNotNull())
     return rows.mapInArrow(run, f"source string, article bigint, row_id {kind}, line_no int, line binary")
 
 
 def _support(occurrences: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Distinct articles of each key, counted in two combining steps so that no key is one task."""
     return (
-        occurrences.select(*keys, "article").distinct().groupBy(*keys).agg(F.count("*").alias("n_articles")).where(F.col("n_articles") >= least)
+        occurrences.where("article is not null").select(*keys, "article").distinct().groupBy(*keys).agg(F.count("*").alias("n_articles")).where(F.col("n_articles") >= least)
     )
 
 
@@ -86,7 +92,7 @@ def frequent_sequences(lines: DataFrame, min_articles: int = MIN_ARTICLES, max_l
     """
     spark = lines.sparkSession
     kept = cut(
-        frequent_occurrences(lines, min_articles).select("source", "article", "line", F.struct("row_id", "line_no").alias("pos"))
+        frequent_occurrences(lines.where("article is not null"), min_articles).select("source", "article", "line", F.struct("row_id", "line_no").alias("pos"))
     )
     first = kept.groupBy("source", "article", "line").agg(F.min("pos").alias("pos"))
     state = cut(first.select("source", "article", F.array("line").alias("sequence"), "pos"))
@@ -107,12 +113,12 @@ def frequent_sequences(lines: DataFrame, min_articles: int = MIN_ARTICLES, max_l
     return found.select("source", F.transform("sequence", lambda x: F.lower(F.hex(x))).alias("sequence"), "n_articles")
 
 
-def repeated_lines(df: DataFrame, min_articles: int = MIN_ARTICLES, **columns: str) -> DataFrame:
+def repeated_lines(df: DataFrame, min_articles: int = MIN_ARTICLES, **columns: str | bool) -> DataFrame:
     """``(row_id, line_no)`` of every occurrence of a frequent line."""
     return frequent_occurrences(line_table(df, **columns), min_articles).select("row_id", "line_no")
 
 
-def remove_repeated_lines(df: DataFrame, min_articles: int = MIN_ARTICLES, id_col: str = "row_id", text_col: str = "text", **columns: str) -> DataFrame:
+def remove_repeated_lines(df: DataFrame, min_articles: int = MIN_ARTICLES, id_col: str = "row_id", text_col: str = "text", **columns: str | bool) -> DataFrame:
     """``(id, text, n_removed)`` of every row, without the frequent lines of its source."""
     gone = (
         repeated_lines(df, min_articles, id_col=id_col, text_col=text_col, **columns)

@@ -58,11 +58,11 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeated_lines(table(spark, sf_dir, "sentences"))
+    return lines.repeated_lines(table(spark, sf_dir, "sentences"), unnamed=True)
 
 
 def p6_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.remove_repeated_lines(table(spark, sf_dir, "sentences"))
+    return lines.remove_repeated_lines(table(spark, sf_dir, "sentences"), unnamed=True)
 
 
 def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, canon, dedup, groups, langid, leaks, lines, mixing, reading, tokens
+from quern.llm import bpe, canon, dedup, groups, langid, leaks, lines, mixing, queries, reading, tokens
 
 TOK = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
 needs_vocabulary = pytest.mark.skipif(not os.path.isdir(TOK), reason="no tokenizer files")
@@ -310,6 +310,15 @@ def test_frequent_sequences_of_any_length(spark):
     assert max(len(r.sequence) for r in lines.frequent_sequences(lt, max_length=2).collect()) == 2
 
 
+def test_repeated_lines_without_article(spark, tmp_path):
+    rows = [(i, "повтор", "s", f"a{i}") for i in range(8)] + [(20, "своя\nПовтор!", "s", None), (21, "повтор", "t", None), (22, "повтор", None, None)]
+    rows += [(30 + i, "редкая", "s", f"a{i}" if i < 7 else None) for i in range(9)]
+    spark.createDataFrame(rows, "row_id bigint, text string, source string, source_id string").write.parquet(str(tmp_path / "sentences.parquet"))
+    assert {(r.row_id, r.line_no) for r in queries.p6_found(spark, str(tmp_path)).collect()} == {*((i, 1) for i in range(8)), (20, 2)}
+    out = {r.row_id: r.text for r in queries.p6_removed(spark, str(tmp_path)).collect()}
+    assert out == {i: "" if i < 8 else "своя" if i == 20 else t for i, t, _, _ in rows}
+
+
 # ---- leaks ------------------------------------------------------------------------------------------------
 
 
