@@ -4,7 +4,8 @@ Every Arrow batch of documents is a shard: its words, as integers of the test it
 get a suffix array (the order of all suffixes by their first eight words). Every suffix of every
 test item is looked up in it by binary search; each hit that can't be extended to the left is
 extended to the right into a longest verbatim match. Pairs of document and item with enough
-matched words are then checked by an exact alignment. Texts are not shuffled.
+matched words are then checked by an exact alignment. Items of one to three words are looked up
+whole. Texts are not shuffled.
 
 A passage counts if it holds at least ``min_words`` words of the item in order, or the whole item
 where that is shorter, with at most one word in eight altered, missing or added. A passage begins
@@ -32,7 +33,7 @@ from .canon import _table, fold
 
 MIN_WORDS = 12
 EDITS_PER = 8
-SEED = 4  # no admissible passage lacks a verbatim run of four words
+SEED = 4  # no admissible passage of four or more words lacks a verbatim run of four; shorter items are looked up whole
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _STRIP: dict[int, str | None] = {}
 
@@ -66,20 +67,22 @@ class Items:
         self.start = np.concatenate([[0], np.cumsum([len(w) + 1 for w in self.words])])
         at, key = _keys(self.flat, np.ones(len(self.flat), bool))
         self.suffix, self.key = at, key
+        #: Of each length below ``SEED``, the items of just so many words.
+        self.short = {size: x for size in range(1, SEED) if len(x := np.array([k for k, w in enumerate(self.words) if len(w) == size], np.int64))}
 
 
-def _keys(flat: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that begin ``SEED`` known words, and a hash of those words."""
-    n = len(flat) - SEED + 1
+def _keys(flat: np.ndarray, usable: np.ndarray, size: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that begin ``size`` known words, and a hash of those words."""
+    n = len(flat) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     known = flat > 0
     good = known[:n].copy()
-    for k in range(1, SEED):
+    for k in range(1, size):
         good &= known[k : k + n]
     at = np.flatnonzero(good)
     key = np.zeros(len(at), np.uint64)
-    for k in range(SEED):
+    for k in range(size):
         key = (key ^ flat[at + k].astype(np.uint64)) * _MIX[k]
         key ^= key >> np.uint64(29)
     return at, key
@@ -126,6 +129,25 @@ def verbatim_matches(flat: np.ndarray, items: Items) -> tuple[np.ndarray, np.nda
     return here, there, length
 
 
+def whole_matches(flat: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Shard position and item of every place that holds all words of an item of fewer than ``SEED``."""
+    here, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size, short in items.short.items():
+        at, key = _keys(flat, flat > 0, size)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        words = np.stack([items.words[k] for k in short])
+        _, wanted = _keys(np.insert(words, size, -1, 1).ravel(), words, size)
+        low = np.searchsorted(key, wanted, "left")
+        count = np.searchsorted(key, wanted, "right") - low
+        which = np.repeat(np.arange(len(short)), count)
+        place = at[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]]
+        same = (flat[place[:, None] + np.arange(size)] == words[which]).all(1)
+        here.append(place[same])
+        item.append(short[which[same]])
+    return np.concatenate(here), np.concatenate(item)
+
+
 def aligned(item: np.ndarray, window: np.ndarray, min_words: int = MIN_WORDS, per: int = EDITS_PER) -> bool:
     """Whether the window holds an admissible passage of the item."""
     n, w = len(item), len(window)
@@ -171,15 +193,19 @@ def _find(texts: list, items: Items, min_words: int) -> list[tuple[int, int]]:
         size.append(len(ids))
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    found = []
+    if items.short:
+        here, item = whole_matches(flat, items)
+        doc = np.searchsorted(start, here, side="right") - 1
+        found += map(tuple, np.unique(np.stack([doc, item], 1), axis=0).tolist())
     here, there, length = verbatim_matches(flat, items)
     if not len(here):
-        return []
+        return found
     doc = np.searchsorted(start, here, side="right") - 1
     item = items.item[there]
     order = np.lexsort((here, item, doc))
     here, there, length, doc, item = (x[order] for x in (here, there, length, doc, item))
     cut = np.flatnonzero(np.diff(doc * (len(items.ids) + 1) + item)) + 1
-    found = []
     for a, b in zip(np.append(0, cut), np.append(cut, len(here))):
         d, k = int(doc[a]), int(item[a])
         words = items.words[k]

@@ -380,6 +380,18 @@ def test_leaks_edges(spark):
     assert leaks.leaked(d.limit(0), i).count() == 0 and leaks.leaked(d, i.limit(0)).count() == 0
 
 
+def test_leaks_of_very_short_items(spark):
+    rng = random.Random(4)
+    voc = [f"w{i}" for i in range(4)]
+    items = [[rng.choice(voc) for _ in range(1 + k % 5)] for k in range(40)]
+    texts = [" ".join(rng.choice([*voc, "x"]) for _ in range(rng.randrange(9))) for _ in range(300)] + [None, ""]
+    want = {(d, k) for d, t in enumerate(texts) for k, w in enumerate(items) if f" {' '.join(w)} " in f" {t or ''} "}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, " ".join(w).upper()) for k, w in enumerate(items)], "item_id int, text string")
+    got = [(r.doc_id, r.item_id) for r in leaks.leaked(d, i).collect()]
+    assert set(got) == want and len(got) == len(want) and {len(items[k]) for _, k in want} >= {1, 2, 3, 4}
+
+
 # ---- reading -----------------------------------------------------------------------------------------------
 
 
