@@ -416,3 +416,15 @@ def test_reading_edges(spark):
     assert np.mean([got[i].band == (1 if i % 2 else 4) for i in range(160)]) > 0.97
     none = reading.reading_bands(d, labels.limit(0)).collect()
     assert {r.band for r in none} == {2} and reading.reading_bands(d.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("sources", [1, 5])
+def test_few_ratings_are_fitted(sources):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(424, 6))
+    y = np.where(x[:, 0] > 0, 4.0, 1.0)
+    g = reading.fit_grader(x[:24], y[:24], np.ones(24), np.array([f"s{i % sources}" for i in range(24)]))
+    band = g.grade(x[24:])[1]
+    assert (np.abs(band - y[24:]) <= 1).mean() > 0.85 and len(set(band)) > 1
+    for n in (1, 2):
+        assert set(reading.fit_grader(x[:n], np.full(n, 4.0), np.ones(n), np.array(["s"] * n)).grade(x)[1]) == {4}
