@@ -270,6 +270,21 @@ def f10_apply_rule(spark, sf):
     return f.select("form", TB.apply_lemma_rule(F.col("form"), F.lit('[1,1,"","ан"]')).alias("cut"), TB.apply_lemma_rule(F.col("form"), F.lit('[99,99,"",""]')).alias("unchanged"))
 
 
+@query(f"""WITH {Q.TOKENS}, m AS (SELECT sent, id, CASE WHEN feats <> '_' THEN string_split(feats || '|Zed=a=b', '|') ELSE ['_'] END AS p FROM gold)
+    SELECT sent, id, array_to_string(list_sort(p), '|') AS feats FROM m""")
+def f7_f8_all_feats(spark, sf):
+    """Features of every token, ``_`` included."""
+    g = gold_tokens(spark, sf).withColumn("feats", F.when(F.col("feats") != "_", F.concat(F.lit("Zed=a=b|"), "feats")).otherwise(F.lit("_")))
+    return g.select("sent", "id", TB.format_feats(TB.parse_feats(F.col("feats"))).alias("feats"))
+
+
+@query(f"""WITH {Q.TOKENS} SELECT form, CASE WHEN length(form) >= 2 THEN substr(form, 2, length(form) - 2) || 'ан' ELSE form END AS cut, form AS unchanged FROM (SELECT DISTINCT form FROM gold)""")
+def f10_all_forms(spark, sf):
+    """Rules applied to every distinct form; one letter is too short for the first."""
+    f = gold_tokens(spark, sf).select("form").distinct()
+    return f.select("form", TB.apply_lemma_rule(F.col("form"), F.lit('[1,1,"","ан"]')).alias("cut"), TB.apply_lemma_rule(F.col("form"), F.lit('[99,99,"",""]')).alias("unchanged"))
+
+
 @query(None)
 def f9_f10_round_trip(spark, sf):
     p = gold_tokens(spark, sf).select("form", "lemma").distinct().withColumn("rule", TB.lemma_rule("form", "lemma"))
