@@ -322,49 +322,89 @@ def test_repeated_lines_without_article(spark, tmp_path):
 # ---- leaks ------------------------------------------------------------------------------------------------
 
 
-def _slow_leak(item, doc, most_words=12):
-    """Whether some window of the document is a passage of the item, by edit distance over all spans."""
+def _edits(part, doc):
+    row = list(range(len(doc) + 1))
+    for i, x in enumerate(part, 1):
+        new = [i]
+        for j, y in enumerate(doc, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
+
+
+def _slow_leak(item, doc, min_words=12):
+    """Whether some stretch of the document is a passage of the item, by edit distance over all spans."""
     n = len(item)
-    spans = [(0, n)] if n < most_words else [(a, b) for a in range(n) for b in range(a + most_words, n + 1)]
-    for a, b in spans:
-        part, k = item[a:b], (b - a) // 8
-        row = [0] * (len(doc) + 1)
-        for i, x in enumerate(part, 1):
-            new = [i]
-            for j, y in enumerate(doc, 1):
-                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
-            row = new
-        if min(row) <= k:
-            return True
+    if n < min_words:
+        return any(_edits(item, doc[i:j]) <= n // 8 for i in range(len(doc)) for j in range(i + 1, min(len(doc), i + n + 1) + 1))
+    for a in range(n):
+        for b in range(a + min_words, n + 1):
+            k = (b - a) // 8
+            for i in (i for i, x in enumerate(doc) if x == item[a]):  # first and last word are the item's
+                for j in range(max(i + 2, i + b - a - k), min(len(doc), i + b - a + k) + 1):
+                    if doc[j - 1] == item[b - 1] and _edits(item[a + 1 : b - 1], doc[i + 1 : j - 1]) <= k:
+                        return True
     return False
 
 
-def test_leaks_against_brute_force():
+def test_leaks_against_brute_force(spark):
     rng = random.Random(9)
-    voc = [f"w{i}" for i in range(400)]
-    items = [[rng.choice(voc) for _ in range(rng.choice([9, 11, 14, 20, 30]))] for _ in range(25)]
-    it = leaks.Items([(i, " ".join(w)) for i, w in enumerate(items)])
-    texts, want = [], set()
-    for d in range(150):
-        k = rng.randrange(25)
-        w = items[k]
-        m = rng.choice([5, 7, 12, 13, 16, 20, 30, 8])
+    voc = [f"w{i}" for i in range(300)]
+    items = [[rng.choice(voc) for _ in range(rng.choice([1, 2, 3, 5, 8, 9, 11, 12, 14, 20, 30]))] for _ in range(40)]
+    items += [["the"] * 14, ["the", "a"] * 8]
+    texts = []
+    for d in range(220):
+        w = rng.choice(items)
+        m = rng.choice([5, 7, 11, 12, 13, 16, 20, 30, 8])
         a = rng.randrange(max(1, len(w) - m + 1))
         part = w[a : a + m]
-        for _ in range(rng.choice([0, 0, len(part) // 8])):
-            p = rng.randrange(1, len(part) - 1)
-            part = rng.choice([part[:p] + ["zz"] + part[p + 1 :], part[:p] + part[p + 1 :], part[:p] + ["zz"] + part[p:]])
+        for _ in range(rng.choice([0, 1, 2, len(part) // 8])):
+            p = rng.randrange(len(part))
+            part = rng.choice([part[:p] + ["zz"] + part[p + 1 :], part[:p] + part[p + 1 :], part[:p] + ["zz"] + part[p:]]) or ["zz"]
         if rng.random() < 0.15:
             part = rng.sample(part, len(part))
-        body = [rng.choice(voc) + "q" for _ in range(10)]
-        texts.append(" ".join(body[:5] + part + body[5:]))
-    got = set(leaks._find(texts, it, 12))
-    for d, t in enumerate(texts):
-        for k, w in enumerate(items):
-            if set(w) & set(t.split()) and _slow_leak(w, t.split()):
-                want.add((d, k))
-    # the operator asks that a long passage begins and ends with a word of the item
-    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 50
+        body = [rng.choice(voc) + rng.choice(["q", "q", ""]) for _ in range(10)]
+        texts.append(body[:5] + part + body[5:])
+    texts += [["the"] * 40, ["the", "a"] * 30, texts[3], texts[3]]
+    want = {(d, k) for d, t in enumerate(texts) for k, w in enumerate(items) if set(w) & set(t) and _slow_leak(w, t)}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id bigint, text string")
+    tests = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    got = [(r.doc_id, r.item_id) for r in leaks.leaked(docs, tests).collect()]
+    assert set(got) == want and len(got) == len(want) > 80
+
+
+def test_suffix_array_and_longest_matches():
+    rng = random.Random(1)
+    for _ in range(60):
+        voc = [f"w{i}" for i in range(rng.choice([1, 2, 3, 10, 50]))]
+        shard = leaks.Shard([[rng.choice(voc) for _ in range(rng.randrange(1, 40))] for _ in range(rng.randrange(1, 12))])
+        flat = shard.flat.tolist()
+        suffix = lambda p: flat[p : flat.index(0, p)]
+        assert sorted(shard.array.tolist()) == [i for i, x in enumerate(flat) if x] and shard.words == sorted(shard.words)
+        assert [suffix(p) for p in shard.array] == sorted(suffix(p) for p in shard.array)
+        items = leaks.Items([(i, " ".join(rng.choice([*voc, "zz"]) for _ in range(rng.randrange(1, 12)))) for i in range(4)])
+        wanted, _ = items.numbers_in(shard.words)
+        found = zip(*(x.tolist() for x in leaks.longest_matches(shard.flat, shard.array, wanted, np.ones(len(wanted), int))))
+        got = {(q, int(shard.array[k]), n) for q, low, high, n in found for k in range(low, high)}
+        common = lambda a, b: len(os.path.commonprefix([a, b]))
+        parts = [wanted[q : next(i for i in range(q, len(wanted)) if wanted[i] < 0)].tolist() for q in range(len(wanted))]
+        assert got == {(q, int(p), common(parts[q], suffix(p))) for q in range(len(wanted)) for p in shard.array if common(parts[q], suffix(p))}
+
+
+def test_leaks_index_and_portions(spark, monkeypatch):
+    w = [f"s{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(w[i % 25 : i % 25 + 14])) for i in range(60)] + [(60, None), (61, "—"), (None, " ".join(w))], "doc_id int, text string").repartition(2)
+    shards = leaks.suffix_shards(docs, shard_words=50).cache()
+    assert shards.count() > 10 and sum(len(r.doc_ids) for r in shards.collect()) == 61
+    items = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[10:30])), (3, "s1 s2")], "item_id int, text string")
+    got = collections.Counter((r.doc_id, r.item_id) for r in leaks.leaks_in_shards(shards, items).collect())
+    whole = {(d, k) for d in range(60) for k, (a, b) in {1: (0, 40), 2: (10, 30)}.items() if min(b, d % 25 + 14) - max(a, d % 25) >= 12}
+    assert got == collections.Counter([*whole, *((d, 3) for d in range(60) if d % 25 <= 1), (None, 1), (None, 2), (None, 3)])
+    s = leaks.Shard([leaks.item_words(r.text) for r in docs.collect() if r.text and r.text != "—"])
+    it = leaks.Items([(1, " ".join(w)), (2, " ".join(w[10:30]))])
+    whole = sorted(leaks.find(s.flat, s.array, s.words, it))
+    monkeypatch.setattr(leaks, "HITS", 7)
+    assert sorted(leaks.find(s.flat, s.array, s.words, it)) == whole
 
 
 def test_leaks_edges(spark):
@@ -375,7 +415,7 @@ def test_leaks_edges(spark):
     i = spark.createDataFrame(items, "item_id int, text string")
     want = {(1, 10), (1, 11), (5, 10), (5, 11), (7, 15)}
     assert {(r.doc_id, r.item_id) for r in leaks.leaked(d, i).collect()} == want
-    assert {(r.doc_id, r.item_id) for r in leaks.leaked(d, i, block_words=5).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked(d, i, block_bytes=40).collect()} == want
     assert {r.doc_id for r in leaks.without_leaks(d, i).collect()} == {2, 3, 4, 6}
     assert leaks.leaked(d.limit(0), i).count() == 0 and leaks.leaked(d, i.limit(0)).count() == 0
 
