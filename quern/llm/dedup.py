@@ -1,101 +1,128 @@
 """Duplicates hidden by formatting (problem 5), on dictionary-encoded records.
 
-Every field's values are canonicalised and replaced by integers, a record becomes the sorted
-tuple of its (field, value) integers, and equal tuples are grouped. The integer of a canonical
-value is its 128-bit content hash, so the dictionary needs no shuffle of the values, gives the
-same integer in every run and shard, and two values share one with a probability below 1e-17
-at a billion distinct values. Within an Arrow batch each distinct value is canonicalised once.
+The columns' values (the text, and each field of the key-value column) are dictionary-encoded:
+every distinct value of the table is canonicalised once, the distinct canonical values get
+integers, and the dictionary is stored in the shared folder. A record becomes the sorted tuple
+of its values' integers, field name and value being one entry, and equal tuples are grouped.
+
+Values travel as hashes after they were canonicalised: 96 bits for a value as written, 128 bits
+for its canonical form. Both are checked when the dictionary is built: canonical forms of one
+hash must agree in a second, independent hash of 64 bits, and a hash of a written value must lead
+to one integer only. A collision stops the job, it never merges records.
 
 Defined results: null and blank key-value fields are the same as no field; a field with an
-empty value is a field. A record whose text holds no letter is left out. Repeated rows are
-copies. ``row_id`` ties don't occur (it is unique); if it were repeated each row counts. Very
-long texts are hashed whole. Other columns of the input are ignored.
+empty value is a field, and so is one without an equals sign, and these two differ. A field named
+twice counts twice. A record whose text is null or holds no letter is left out. Repeated rows,
+also those of one id, are copies. Very long texts are canonicalised whole. Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .canon import has_letter, letters_and_digits
 
-
-def _encode_values(values: pa.Array, encode) -> list:
-    """``encode`` of every value, called once for each distinct one."""
-    d = pc.dictionary_encode(values)
-    of = [encode(v) for v in d.dictionary.to_pylist()]
-    return [None if i is None else of[i] for i in d.indices.to_pylist()]
+#: First letter of a value: what it belongs to.
+TEXT, FIELD = "t", "f"
 
 
-def _integer(canonical: str) -> bytes:
-    return xxhash.xxh3_128_digest(canonical.encode("utf-8"))
+def canonical_value(value: str) -> str | None:
+    """The canonical form of a text or field with its first letter; null for those that count for nothing."""
+    kind, raw = value[0], value[1:]
+    if kind == TEXT:
+        return TEXT + letters_and_digits(raw) if has_letter(raw) else None
+    if not raw.strip():
+        return None
+    key, eq, rest = raw.partition("=")
+    return FIELD + letters_and_digits(key) + eq + letters_and_digits(rest)
 
 
-class _Fields:
-    """Integers of ``key=value`` fields, each distinct field canonicalised once while remembered."""
+def _occurrences(df: DataFrame, id_col: str, text_col: str, meta_col: str) -> DataFrame:
+    """``(n, id, value)``: each value of each row; ``n`` tells rows apart."""
+    fields = F.transform(F.split(F.coalesce(F.col(meta_col), F.lit("")), r"\|"), lambda x: F.concat(F.lit(FIELD), x))
+    fields = F.filter(fields, lambda x: F.length(x) > 1)
+    rows = df.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), fields.alias("fields")).where("text is not null")
+    return rows.select("n", "id", F.explode(F.concat(F.array(F.concat(F.lit(TEXT), "text")), "fields")).alias("value"))
 
-    def __init__(self, memory: int = 200_000):
-        self.known: dict[str, bytes] = {}
-        self.memory = memory
 
-    def field(self, raw: str) -> bytes:
-        found = self.known.get(raw)
-        if found is None:
-            key, eq, value = raw.partition("=")
-            found = _integer(letters_and_digits(key)) + (_integer(letters_and_digits(value)) if eq else b"")
-            if len(self.known) >= self.memory:
-                self.known.clear()
-            self.known[raw] = found
-        return found
+def _written(value: str = "value") -> list:
+    return [F.xxhash64(value).alias("a"), F.hash(value).alias("b")]
 
-    def tuple_of(self, meta: str | None) -> bytes:
-        if not meta or not meta.strip():
-            return b""
-        return b"".join(sorted([self.field(x) for x in meta.split("|") if x.strip()]))
 
+def value_dictionary(df: DataFrame, text_col: str = "text", meta_col: str = "meta") -> DataFrame:
+    """``(a, b, integer)``, stored: of every distinct value as written (by its hash) the integer of its canonical form.
 
-def record_keys(df: DataFrame, id_col: str = "row_id", text_col: str = "text", meta_col: str = "meta") -> DataFrame:
-    """``(id, key)``: the compact tuple of each record as 16 bytes; texts without a letter are left out."""
-    kind = df.schema[id_col].dataType.simpleString()
+    Distinct values are combined before they move; each is canonicalised once in the whole job.
+    Values that count for nothing have no entry.
+    """
 
     def run(batches):
-        fields = _Fields()
         for b in batches:
-            texts = _encode_values(b.column(1), lambda t: _integer(letters_and_digits(t)) if has_letter(t) else None)
-            metas = _encode_values(b.column(2), fields.tuple_of)
-            at = [i for i, t in enumerate(texts) if t is not None]
-            keys = [xxhash.xxh3_128_digest(texts[i] + (metas[i] or b"")) for i in at]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.binary())], names=[id_col, "key"])
-
-    return df.select(id_col, text_col, meta_col).mapInArrow(run, f"`{id_col}` {kind}, key binary")
+            at, digest, check = [], [], []
+            for i, v in enumerate(b.column(2).to_pylist()):
+                c = canonical_value(v)
+                if c is not None:
+                    raw = c.encode("utf-8")
+                    at.append(i)
+                    digest.append(xxhash.xxh3_128_digest(raw))
+                    check.append(xxhash.xxh64_intdigest(raw))
+            rows = pa.array(at, pa.int64())
+            halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.array(check, np.uint64).view(np.int64))],
+                names=["a", "b", "c", "d", "check"],
+            )
+
+    values = _occurrences(df, text_col, text_col, meta_col).select("value").distinct().select(*_written(), "value")
+    forms = stored(values.mapInArrow(run, "a bigint, b int, c bigint, d bigint, check bigint"), "forms")
+    number = F.when(F.min("check") == F.max("check"), F.lit(0)).otherwise(F.raise_error(F.lit("two canonical values share a 128-bit hash")))
+    integers = stored(forms.groupBy("c", "d").agg(number.alias("ok")).select("c", "d", (F.monotonically_increasing_id() + F.col("ok")).alias("integer")), "integers")
+    one = F.when(F.min("integer") == F.max("integer"), F.min("integer")).otherwise(F.raise_error(F.lit("two values share a 96-bit hash")))
+    return stored(forms.join(integers, ["c", "d"]).groupBy("a", "b").agg(one.alias("integer")), "dictionary")
+
+
+def encoded_records(df: DataFrame, id_col: str = "row_id", text_col: str = "text", meta_col: str = "meta") -> DataFrame:
+    """``(id, key)``, stored: the sorted integer tuple of each record; texts without a letter are left out.
+
+    The dictionary meets the values' occurrences in a join between two stored or scanned tables,
+    which adaptive execution splits at frequent values, or turns into a broadcast where it has
+    measured the dictionary to be small.
+    """
+    dictionary = value_dictionary(df, text_col, meta_col)
+    each = _occurrences(df, id_col, text_col, meta_col).select("n", "id", *_written(), F.col("value").startswith(TEXT).alias("is_text"))
+    records = (
+        each.join(dictionary, ["a", "b"])
+        .groupBy("n", "id")
+        .agg(F.array_sort(F.collect_list("integer")).alias("key"), F.max("is_text").alias("has_text"))  # a record's own values
+        .where("has_text")
+    )
+    return stored(records.select(F.col("id").alias(id_col), "key"), "records")
 
 
-def _groups(keys: DataFrame, id_col: str) -> DataFrame:
-    return keys.groupBy("key").agg(F.min(id_col).alias("row_a"), F.count("*").alias("n_copies"))
+def _groups(records: DataFrame, id_col: str) -> DataFrame:
+    return records.groupBy("key").agg(F.min(id_col).alias("row_a"), F.count("*").alias("n_copies"))
 
 
 def collapse(df: DataFrame, id_col: str = "row_id", text_col: str = "text", meta_col: str = "meta") -> DataFrame:
     """``(id, n_copies)``: one row for each record, its smallest id and the number of its copies.
 
-    One shuffle of 24-byte rows, combined before it moves: a record with very many copies is
-    one row for each task.
+    Tuples are combined before they move: a record with very many copies is one row for each task.
     """
-    return _groups(record_keys(df, id_col, text_col, meta_col), id_col).select(F.col("row_a").alias(id_col), "n_copies")
+    return _groups(encoded_records(df, id_col, text_col, meta_col), id_col).select(F.col("row_a").alias(id_col), "n_copies")
 
 
 def copies(df: DataFrame, id_col: str = "row_id", text_col: str = "text", meta_col: str = "meta") -> DataFrame:
     """``(row_a, row_b)``: of every group of copies the smallest id with each other one.
 
-    The groups are found by a combining aggregation; each row then meets the one row of its
-    group in a join whose large side adaptive execution splits where a group is hot.
+    Groups of two and more are stored, then each record meets the one row of its group in a join
+    of two plain tables, which adaptive execution can split where a group is hot.
     """
-    keys = record_keys(df, id_col, text_col, meta_col)
-    groups = _groups(keys, id_col).where("n_copies > 1").select("key", "row_a")
-    return (
-        keys.join(groups.hint("merge"), "key")
-        .where(F.col(id_col) != F.col("row_a"))
-        .select("row_a", F.col(id_col).alias("row_b"))
-    )
+    records = encoded_records(df, id_col, text_col, meta_col)
+    groups = stored(_groups(records, id_col).where("n_copies > 1").select("key", "row_a"), "groups")
+    return records.join(groups, "key").where(F.col(id_col) != F.col("row_a")).select("row_a", F.col(id_col).alias("row_b"))

@@ -267,7 +267,27 @@ def test_copies_against_brute_force(spark):
             g[_slow_key(t, m)].append(i)
     assert {(r.row_a, r.row_b) for r in dedup.copies(df).collect()} == {(min(v), x) for v in g.values() for x in v if x != min(v)}
     assert {(r.row_id, r.n_copies) for r in dedup.collapse(df).collect()} == {(min(v), len(v)) for v in g.values()}
-    assert dedup.copies(df.limit(0)).count() == 0
+    assert dedup.copies(df.limit(0)).count() == 0 and dedup.collapse(df.limit(0)).count() == 0
+
+
+def test_fields_with_and_without_value(spark):
+    metas = ["a|b", "a=b", "a=|b", "a", "a=", "=a", "ab", "b|a", "A | B", "a=b=c", "a=bc", "a=b|", " |a=B!", "a|a", None, " ", "|"]
+    df = spark.createDataFrame([(i, "Текст", m) for i, m in enumerate(metas)] + [(50, None, "a"), (51, "12", "a"), (3, "текст", "a")], "row_id bigint, text string, meta string")
+    key = lambda m: sorted((x.partition("=")[0].strip().lower(), x.partition("=")[1], x.partition("=")[2].lower().strip("! ")) for x in (m or "").split("|") if x.strip())
+    g = collections.defaultdict(list)
+    for i, m in enumerate(metas):
+        g[str(key(m))].append(i)
+    g[str(key("a"))].append(3)  # a repeated id
+    assert {(r.row_id, r.n_copies) for r in dedup.collapse(df).collect()} == {(min(v), len(v)) for v in g.values()}
+    assert {(r.row_a, r.row_b) for r in dedup.copies(df).collect()} == {(min(v), x) for v in g.values() for x in v if x != min(v)}
+
+
+def test_values_are_canonicalised_once(spark, tmp_path, monkeypatch):
+    rows = [(i, f"Слово {i % 3}" + "!" * (i % 2), f"k={i % 5}|K = {i % 5}") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id bigint, text string, meta string").repartition(4)
+    d = dedup.value_dictionary(df).collect()
+    assert len(d) == 6 + 10 and len({r.integer for r in d}) == 3 + 5 and len({(r.a, r.b) for r in d}) == 16
+    assert dedup.collapse(df).count() == 15
 
 
 # ---- lines ------------------------------------------------------------------------------------------------
