@@ -9,8 +9,11 @@ the histogram of block sizes, of which only gradient and curvature by (mix, lang
 driver. Rates are then rounded to copies by a hash of the block, with one threshold for each
 (mix, language) that brings the sum closest to the target.
 
-Defined results: a block delivered more than once counts once, by its id, as the smallest of its
-deliveries; a null id is no block. Null and empty masks have no tokens. Blocks without a language
+Whether a target can be reached is read off its dual: where none is finite, all blocks are at their
+caps and still give less than wanted.
+
+Defined results: a block delivered more than once counts once, by its id, with the least language
+that a delivery states and the most tokens; a null id is no block. Null and empty masks have no tokens. Blocks without a language
 count for none. Targets with a null mix or language are left out, a null or negative weight
 counts as 0. A language without stock reaches nothing. Other columns are ignored.
 """
@@ -34,13 +37,15 @@ def _plain(name: str):
 
 
 def distinct_blocks(blocks: DataFrame, split: str | None = "train") -> DataFrame:
-    """``(id, language, n)``: each block once, with its number of tokens that are not special."""
+    """``(id, language, n)``: each block of the split once, with its number of tokens that are not special.
+
+    Deliveries of one block are combined before they move: its language is the least one stated, its
+    size the largest.
+    """
     n = F.coalesce(F.size(F.filter("special_tokens_mask", lambda x: x == 0)), F.lit(0)).cast("bigint")
-    rows = blocks.select("id", F.struct(_plain("language").alias("language"), F.col("split"), F.when(n < 0, 0).otherwise(n).alias("n")).alias("b"))
-    once = rows.where("id is not null").groupBy("id").agg(F.min("b").alias("b")).select("id", "b.*")
-    if split is not None:
-        once = once.where(F.col("split") == split)
-    return once.where("language is not null and language <> ''").select("id", "language", "n")
+    rows = blocks.where("id is not null" if split is None else (F.col("id").isNotNull() & (F.col("split") == split)))
+    rows = rows.select("id", F.nullif(_plain("language"), F.lit("")).alias("language"), F.greatest(n, F.lit(0)).alias("n"))
+    return rows.groupBy("id").agg(F.min("language").alias("language"), F.max("n").alias("n")).where("language is not null")
 
 
 def targets_of(targets: DataFrame) -> DataFrame:
@@ -57,11 +62,13 @@ def targets_of(targets: DataFrame) -> DataFrame:
     )
 
 
-def solve(histogram: DataFrame, targets: DataFrame, tolerance: float = 1e-6, max_steps: int = 80) -> list[dict]:
+def solve(histogram: DataFrame, targets: DataFrame, tolerance: float = 1e-6, max_steps: int = 200) -> list[dict]:
     """Duals of all targets. ``histogram`` is ``(language, n, blocks)``.
 
-    Each result has ``mix, language, share, wanted, cap, stock, mean, dual, reachable``; an
-    unreachable target has an infinite dual, which puts every block at its cap.
+    Each result has ``mix, language, share, wanted, cap, stock, mean, dual, reachable``. A target is
+    reachable if a finite dual was met at which the rates give at least what is wanted. If they
+    give less although every block is at its cap, no finite dual exists: the target is
+    unreachable, its dual infinite. Every target ends as one or the other, or an error is raised.
     """
     spark = histogram.sparkSession
     sums = {r["language"]: r for r in histogram.groupBy("language").agg(F.sum(F.col("n") * F.col("blocks")).alias("stock"), F.sum("blocks").alias("blocks")).collect()}  # one row a language
@@ -69,16 +76,14 @@ def solve(histogram: DataFrame, targets: DataFrame, tolerance: float = 1e-6, max
     for r in targets.collect():  # one row for each mix and language
         s = sums.get(r["language"])
         stock = int(s["stock"]) if s else 0
-        d = r.asDict() | {"stock": stock, "mean": max(1.0, stock / s["blocks"]) if s else 1.0, "dual": 0.0, "reachable": r["wanted"] <= stock * r["cap"]}
-        if not d["reachable"]:
-            d["dual"] = math.inf
-        elif d["wanted"] <= 0 or stock == 0:
-            d["dual"] = -math.inf
-        found.append(d | {"low": -math.inf, "high": math.inf})
-    open_ = [i for i, d in enumerate(found) if math.isfinite(d["dual"])]
+        d = {"stock": stock, "mean": max(1.0, stock / s["blocks"]) if s else 1.0, "dual": 0.0, "reachable": None, "low": -math.inf, "high": math.inf, "stride": 4.0}
+        if r["wanted"] <= 0:
+            d |= {"dual": -math.inf, "reachable": True}
+        found.append(r.asDict() | d)
     for _ in range(max_steps):
+        open_ = [i for i, d in enumerate(found) if d["reachable"] is None]
         if not open_:
-            break
+            return found
         duals = spark.createDataFrame([(i, found[i]["language"], float(found[i]["dual"] / found[i]["mean"]), float(found[i]["cap"])) for i in open_], "i int, language string, slope double, cap double")
         rate = F.exp(F.least(F.col("slope") * F.col("n"), F.lit(60.0)))
         tokens = F.col("n") * F.col("blocks")
@@ -88,26 +93,44 @@ def solve(histogram: DataFrame, targets: DataFrame, tolerance: float = 1e-6, max
             .agg(
                 F.sum(tokens * F.least(rate, F.col("cap"))).alias("value"),
                 F.sum(F.when(rate < F.col("cap"), tokens * F.col("n") * rate).otherwise(0.0)).alias("slope"),
+                F.max((rate < F.col("cap")) & (tokens > 0)).alias("below"),
             )
-            .collect()
+            .collect()  # one row for each open target
         )
-        open_ = []
-        for r in steps:
-            d = found[r["i"]]
-            gap = r["value"] - d["wanted"]
-            if abs(gap) <= tolerance * max(1.0, d["wanted"]):
-                continue
-            d["low" if gap < 0 else "high"] = d["dual"]
-            curve = r["slope"] / d["mean"]
-            new = d["dual"] - gap / curve if curve > 0 else d["dual"] + (1.0 if gap < 0 else -1.0)
-            new = min(max(new, d["dual"] - 4), d["dual"] + 4)
-            if not d["low"] < new < d["high"]:
-                new = (d["low"] + d["high"]) / 2 if math.isfinite(d["low"]) and math.isfinite(d["high"]) else d["dual"] + (1 if gap < 0 else -1)
-            if new == d["dual"] or d["high"] - d["low"] < 1e-13:
-                continue
-            d["dual"] = new
-            open_.append(r["i"])
-    return found
+        met = {r["i"]: (r["value"], r["slope"], r["below"]) for r in steps}
+        for i in open_:
+            _step(found[i], *met.get(i, (0.0, 0.0, False)), tolerance)
+    raise RuntimeError(f"no dual after {max_steps} steps: {[(d['mix'], d['language']) for d in found if d['reachable'] is None]}")
+
+
+def _step(d: dict, value: float, slope: float, below: bool, tolerance: float) -> None:
+    """One Newton step of one target, kept inside the bracket of duals tried so far."""
+    gap, dual = value - d["wanted"], d["dual"]
+    close = abs(gap) <= tolerance * max(1.0, d["wanted"])
+    if gap >= 0:
+        d["high"] = dual
+        if close:
+            d["reachable"] = True
+            return
+    elif not below:  # every block at its cap, and still too little
+        d["dual"], d["reachable"] = math.inf, False
+        return
+    else:
+        d["low"] = dual
+    if d["high"] - d["low"] <= 1e-13 * max(1.0, abs(dual)):
+        d["dual"], d["reachable"] = d["high"], True
+        return
+    curve = slope / d["mean"]
+    move = -gap / curve if curve > 0 else math.copysign(math.inf, -gap)
+    if close:  # from below: go past the dual, so that it is known to exist
+        move = max(2 * move, 1e-12 * max(1.0, abs(dual)))
+    if abs(move) > d["stride"]:
+        move = math.copysign(d["stride"], move)
+        d["stride"] *= 2
+    new = dual + move
+    if not d["low"] < new < d["high"]:
+        new = (d["low"] + d["high"]) / 2
+    d["dual"] = new
 
 
 def _solved(blocks: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[dict]]:
