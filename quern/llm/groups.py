@@ -1,21 +1,26 @@
 """Splits that keep related records together (problem 3).
 
 Records that name a common source id within one language, directly or through others, form a
-component. A persisted table holds the component and the split of every key (language, source
-id) seen so far; a new delivery is linked to it through its keys, components that it joins are
-merged by pointer jumping, and then: a component that had one split keeps it, one that had
-several is *quarantined* (its records get no split until someone decides), and new components
-fill the largest deficits against the wanted proportions.
+component. A persisted table has one row for each record and each key (language, source id)
+seen so far, with its component and the component's split. A new delivery is linked to it
+through its keys and its own record numbers; components that it joins are merged by pointer
+jumping, and then: a component that had one split keeps it, one that had several is
+*quarantined* (its records get no split until someone decides), and new components fill the
+largest deficits against the wanted proportions.
+
+A component is named after its smallest record when it is made, keeps the name, and takes the
+smallest one when several are merged. A delivery that was seen before changes nothing.
 
 Defined results: languages and ids are compared without case and surrounding blanks. Null, blank
 and placeholder ids join nothing, nor does a record whose language is null or blank; such a record
 is a component of its own. Null and empty arrays give a component of one record. A record delivered again
-(same ``rec_no``) counts once for the component. Other columns are ignored.
+(same ``rec_no``), in one delivery or in several, counts once. A record without a number belongs
+to nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components, group_by_shared_keys
@@ -32,6 +37,10 @@ def _plain(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
+def _plain_text(s: str) -> str:
+    return s.strip().lower()
+
+
 def record_keys(df: DataFrame, id_col: str = "rec_no", ids_col: str = "source_ids", lang_col: str = "language") -> DataFrame:
     """``(rec, key)``: one row for each record and usable source id; the key holds the language."""
     lang = _plain(F.col(lang_col))
@@ -51,17 +60,21 @@ def related_pairs(df: DataFrame, **columns: str) -> DataFrame:
     )
 
 
+#: Ranges along which new components are laid; a table of so many rows is broadcast.
+RANGES = 4096
+QUARANTINED = "quarantined"
+
+
 def _fill(sizes: DataFrame, taken: dict[str, float], proportions: dict[str, float]) -> DataFrame:
-    """``(root, split)``: components laid along the deficits of the splits.
+    """``(component, split)``: components laid along the deficits of the splits.
 
-    Components are taken by a hash of their root; running totals over hash ranges (a fixed
+    Components are taken by a hash of their name; running totals over hash ranges (a fixed
     number of them) and within each range give every component its place on a line of all
     records, on which each split owns a stretch as long as its deficit. A component belongs to
     the split that owns its middle. No task sees more than one range.
     """
-    n_ranges = 4096
-    placed = sizes.withColumn("h", F.pmod(F.xxhash64("root"), F.lit(n_ranges)))
-    by_range = {r["h"]: r["n"] for r in placed.groupBy("h").agg(F.sum("n").alias("n")).collect()}  # at most n_ranges rows
+    placed = sizes.withColumn("h", F.pmod(F.xxhash64("component"), F.lit(RANGES)))
+    by_range = {r["h"]: r["n"] for r in placed.groupBy("h").agg(F.sum("n").alias("n")).collect()}  # at most RANGES rows
     total_new = float(sum(by_range.values()))
     want = sum(proportions.values())
     total = total_new + sum(taken.values())
@@ -72,18 +85,24 @@ def _fill(sizes: DataFrame, taken: dict[str, float], proportions: dict[str, floa
         run += d * scale
         ends.append((s, run))
     starts, at = [], 0.0
-    for h in range(n_ranges):
-        starts.append(at)
-        at += by_range.get(h, 0)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("h").orderBy(F.xxhash64(F.col("root"), F.lit(1)), "root")
+    for h in sorted(by_range):
+        starts.append((h, at))
+        at += by_range[h]
+    starts = sizes.sparkSession.createDataFrame(starts, "h bigint, start double")
+    w = Window.partitionBy("h").orderBy(F.xxhash64(F.col("component"), F.lit(1)), "component")
     before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    middle = F.element_at(F.array(*map(F.lit, starts)), (F.col("h") + 1).cast("int")) + before + F.col("n") / 2
+    middle = F.col("start") + before + F.col("n") / 2
     split = F.lit(ends[-1][0])
     for s, end in reversed(ends[:-1]):
         split = F.when(F.col("middle") < end, F.lit(s)).otherwise(split)
-    return placed.withColumn("middle", middle).select("root", split.alias("split"))
+    return placed.join(F.broadcast(starts), "h").withColumn("middle", middle).select("component", split.alias("filled"))
+
+
+def _record_node(c: str) -> Column:
+    return F.concat(F.lit("r"), F.lpad(F.col(c).cast("string"), 20, "0"))
+
+
+STATE = "node string, component string, split string, status string, n_records bigint"
 
 
 def assign_splits(
@@ -95,62 +114,57 @@ def assign_splits(
     lang_col: str = "language",
     split_col: str | None = "split",
 ) -> tuple[DataFrame, DataFrame]:
-    """Splits of a delivery, and the key table to persist for the next one.
+    """Splits of a delivery, and the table to persist for the next one.
 
-    ``known`` is the table that the last call returned, ``(key, component, split)``; keys of one
-    component bring its records' new neighbours into it. ``split_col`` is an older assignment
-    of the records themselves; it counts like a persisted split.
+    ``known`` is the table that the last call returned, ``(node, component, split, status,
+    n_records)`` with a node for each record (``r`` and its number) and key (``k`` and its text).
+    ``split_col`` is an older assignment of the records themselves; it counts like a persisted
+    split. It may use the names in ``proportions`` and those in :data:`SPLIT_NAMES`.
 
     Returns ``(rec, component, split, status)`` with status ``kept``, ``new`` or
-    ``quarantined`` (split null), and the new key table.
+    ``quarantined`` (split null), and the new table.
     """
     proportions = proportions or PROPORTIONS
-    names = F.create_map(*[F.lit(x) for kv in SPLIT_NAMES.items() for x in kv])
-    keys = cut(record_keys(df, id_col, ids_col, lang_col))
-    recs = df.select(F.col(id_col).alias("rec"), (names[_plain(F.col(split_col))] if split_col else F.lit(None).cast("string")).alias("old"))
-    recs = cut(recs.where("rec is not null").groupBy("rec").agg(F.collect_set("old").alias("olds")))
-
-    # nodes: "k" + component of the persisted table, or "r" + record
-    def record_node(c):
-        return F.concat(F.lit("r"), F.lpad(F.col(c).cast("string"), 20, "0"))
-
-    links = keys.select("key", record_node("rec").alias("node"))
-    if known is not None:
-        links = links.unionByName(known.where("key is not null").select("key", F.concat(F.lit("k"), "component").alias("node")))
-    links = cut(links)
-    hub = links.groupBy("key").agg(F.min("node").alias("v"))
-    pairs = links.join(hub.hint("merge"), "key").select(F.col("node").alias("u"), "v").where("u <> v").distinct()
-    found = components(pairs)
-
-    nodes = recs.select(record_node("rec").alias("node"), F.col("olds"), F.lit(1).alias("n"))
-    if known is not None:
-        old = known.groupBy("component").agg(F.max("split").alias("split"), F.max("n_records").alias("n"), F.max("status").alias("s"))
-        nodes = nodes.unionByName(
-            old.select(F.concat(F.lit("k"), "component").alias("node"),
-                       F.when(F.col("s") == "quarantined", F.array(F.lit("train"), F.lit("test"))).when(F.col("split").isNotNull(), F.array("split")).otherwise(F.array().cast("array<string>")).alias("olds"),
-                       F.col("n").cast("int").alias("n"))
-        )
-    rooted = cut(nodes.join(found, "node", "left").select("node", "olds", "n", F.coalesce("root", "node").alias("root")))
-    # at most three splits exist, so a component's set is small however large it is
-    comps = cut(
-        rooted.groupBy("root").agg(
-            F.sum("n").alias("n"), *(F.max(F.array_contains("olds", s)).alias(f"has_{s}") for s in proportions)
-        )
+    spark = df.sparkSession
+    known = spark.createDataFrame([], STATE) if known is None else known
+    spelling = SPLIT_NAMES | {_plain_text(s): s for s in proportions}
+    names = F.create_map(*[F.lit(x) for kv in spelling.items() for x in kv])
+    keys = cut(record_keys(df, id_col, ids_col, lang_col).where("rec is not null").select(_record_node("rec").alias("node"), F.concat(F.lit("k"), "key").alias("key")))
+    old = names[_plain(F.col(split_col))] if split_col else F.lit(None).cast("string")
+    recs = cut(df.select(F.col(id_col).alias("rec"), old.alias("old")).where("rec is not null").groupBy("rec").agg(F.min("old").alias("low"), F.max("old").alias("high")).withColumn("node", _record_node("rec")))
+
+    # links: records of one key to its smallest record, and records to the components that know them or their keys
+    delivered = recs.select("node").unionByName(keys.select(F.col("key").alias("node")).distinct())
+    seen = cut(known.join(delivered, "node", "left_semi").select("node", F.concat(F.lit("c"), "component").alias("known")))
+    hub = keys.groupBy("key").agg(F.min("node").alias("v"))
+    links = (
+        keys.join(hub.hint("merge"), "key").select(F.col("node").alias("u"), "v").where("u <> v")
+        .unionByName(hub.join(seen, F.col("key") == F.col("node")).select(F.col("v").alias("u"), F.col("known").alias("v")))
+        .unionByName(recs.join(seen, "node").select(F.col("node").alias("u"), F.col("known").alias("v")))
     )
-    n_old = sum((F.col(f"has_{s}").cast("int") for s in proportions), F.lit(0))
-    only = F.coalesce(*(F.when(F.col(f"has_{s}"), F.lit(s)) for s in proportions))
-    comps = comps.select("root", "n", F.when(n_old == 1, "kept").when(n_old == 0, "new").otherwise("quarantined").alias("status"), F.when(n_old == 1, only).alias("split"))
-    taken = {r["split"]: float(r["n"]) for r in comps.where("status = 'kept'").groupBy("split").agg(F.sum("n").alias("n")).collect()}
-    filled = _fill(comps.where("status = 'new'").select("root", "n"), taken, proportions)
-    settled = cut(
-        comps.join(filled.withColumnRenamed("split", "filled"), "root", "left").select("root", "n", "status", F.coalesce("split", "filled").alias("split"))
-    )
-    out = (
-        rooted.where(F.col("node").startswith("r"))
-        .join(settled.hint("merge"), "root")
-        .select(F.substring("node", 2, 20).cast(df.schema[id_col].dataType).alias("rec"), F.col("root").alias("component"), "split", "status")
-    )
-    table = links.join(rooted.select("node", "root"), "node").join(settled, "root").select("key", F.col("root").alias("component"), "split", "status", F.col("n").alias("n_records")).distinct()
-    unkeyed = settled.join(table.select("component").distinct(), F.col("root") == F.col("component"), "left_anti")
-    table = table.unionByName(unkeyed.select(F.lit(None).cast("string").alias("key"), F.col("root").alias("component"), "split", "status", F.col("n").alias("n_records")))
-    return out, table
+    rooted = components(links.distinct())
+    # a component's name sorts before a record's, so it is the root where there is one
+    name = F.when(F.col("root").startswith("c"), F.substring("root", 2, 1 << 30)).otherwise(F.col("root"))
+    of_record = cut(recs.join(rooted, "node", "left").select("node", "rec", "low", "high", F.when(F.col("root").isNull(), F.col("node")).otherwise(name).alias("component")))
+    touched = seen.select(F.col("known").alias("node")).distinct().join(rooted, "node", "left").select(F.substring("node", 2, 1 << 30).alias("was"), F.when(F.col("root").isNull(), F.substring("node", 2, 1 << 30)).otherwise(name).alias("component"))
+    touched = cut(touched)
+
+    # membership of everything seen so far
+    moved = known.join(touched, known["component"] == touched["was"], "left").select("node", F.coalesce(touched["component"], known["component"]).alias("component"), "split", "status")
+    of_key = hub.join(of_record.select(F.col("node").alias("v"), "component"), "v").select(F.col("key").alias("node"), "component")
+    fresh = of_record.select("node", "component").unionByName(of_key).join(seen, "node", "left_anti")
+    nothing = F.lit(None).cast("string")
+    members = cut(moved.unionByName(fresh.select("node", "component", nothing.alias("split"), nothing.alias("status"))))
+
+    # what each component was told: by its rows in the table, and by older assignments of this delivery
+    told = members.select("component", F.col("split").alias("low"), F.col("split").alias("high"), (F.col("status") == QUARANTINED).alias("apart"), F.col("node").startswith("r").cast("bigint").alias("n"))
+    told = told.unionByName(of_record.select("component", "low", "high", F.lit(False).alias("apart"), F.lit(0).cast("bigint").alias("n")))
+    comps = told.groupBy("component").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("apart").alias("apart"))
+    apart = F.coalesce("apart", F.lit(False)) | (F.col("low") != F.col("high"))
+    status = F.when(F.coalesce(apart, F.lit(False)), QUARANTINED).when(F.col("low").isNull(), "new").otherwise("kept")
+    comps = cut(comps.select("component", "n", status.alias("status"), F.when(status == "kept", F.col("low")).alias("split")))
+    taken = {r["split"]: float(r["n"]) for r in comps.where("status = 'kept'").groupBy("split").agg(F.sum("n").alias("n")).collect()}  # one row a split
+    filled = _fill(comps.where("status = 'new'").select("component", "n"), taken, proportions)
+    settled = cut(comps.join(filled, "component", "left").select("component", F.coalesce("split", "filled").alias("split"), "status", F.col("n").alias("n_records")))
+    out = of_record.select("rec", "component").join(settled.hint("merge"), "component").select("rec", "component", "split", "status")
+    return out, members.select("node", "component").join(settled.hint("merge"), "component").select("node", "component", "split", "status", "n_records")

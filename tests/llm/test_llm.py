@@ -208,6 +208,39 @@ def test_assign_splits_incrementally(spark):
     assert three[2000].status == "quarantined" and three[2001].split == one[0].split
 
 
+def test_same_delivery_changes_nothing(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([f"s{rng.randrange(90)}", None, "hot" if i % 3 == 0 else "n/a"]) for _ in range(rng.randrange(3))], rng.choice(["mhr", "udm", None]), rng.choice([None, None, None, "train", "Dev"])) for i in range(200)]
+    df = spark.createDataFrame(rows, REC)
+    out, state = groups.assign_splits(df)
+    state = state.cache()
+    first, table = sorted(out.collect()), sorted(state.collect())
+    comps = {tuple(sorted(g)) for g in _related([r[:3] for r in rows])}
+    got = collections.defaultdict(list)
+    for r in first:
+        got[r.component].append(r.rec)
+    assert {tuple(sorted(v)) for v in got.values()} == comps and {r.component: r.n_records for r in table} == {k: len(v) for k, v in got.items()}
+    for _ in range(2):
+        out, state = groups.assign_splits(df, state)
+        state = state.cache()
+        plain = lambda rows: sorted((*r[:-1], "kept" if r[-1] == "new" else r[-1]) for r in rows)
+        assert plain(out.collect()) == plain(first)
+        assert sorted(plain((*r[:3], r[4], r[3]) for r in state.collect())) == sorted(plain((*r[:3], r[4], r[3]) for r in table))
+
+
+def test_splits_of_other_names(spark):
+    rows = [(1, ["a"], "mhr", "A"), (2, ["b"], "mhr", "b "), (3, ["c"], "mhr", None)]
+    out, state = groups.assign_splits(spark.createDataFrame(rows, REC), proportions={"a": 1, "b": 1})
+    assert {r.rec: r.split for r in out.collect()}.items() >= {1: "a", 2: "b"}.items()
+    state = state.cache()
+    out, state = groups.assign_splits(spark.createDataFrame([(4, ["a", "b"], "mhr", None)], REC), state, proportions={"a": 1, "b": 1})
+    state = state.cache()
+    assert [(r.split, r.status, r.component) for r in out.collect()] == [(None, "quarantined", "r" + "1".zfill(20))]
+    assert {(r.node, r.n_records) for r in state.collect() if r.status == "quarantined" and r.node[0] == "r"} == {("r" + str(k).zfill(20), 3) for k in (1, 2, 4)}
+    out, _ = groups.assign_splits(spark.createDataFrame([(2, None, None, "b"), (5, ["B"], "MHR", "a")], REC), state, proportions={"a": 1, "b": 1})
+    assert {r.rec: r.status for r in out.collect()} == {2: "quarantined", 5: "quarantined"}
+
+
 # ---- mixing -------------------------------------------------------------------------------------------
 
 
@@ -246,6 +279,29 @@ def test_rates_are_entropy_balanced(spark):
         assert abs(sum(n * b * rate[n] for n, b in ((10, 50), (100, 50), (60, 20))) - d["wanted"]) < 0.1
 
 
+def test_deliveries_of_one_block(spark):
+    blocks = spark.createDataFrame([("a", None, "train", [1], [0, 0]), ("a", " MHR", "train", [1], [1, 0]), ("a", "", "train", [], []), ("a", "udm", "test", [1], [0] * 9), ("b", " ", "train", [1], [0])], BLOCK)
+    assert [tuple(r) for r in mixing.distinct_blocks(blocks).collect()] == [("a", "mhr", 2)]
+
+
+def test_reachable_from_the_dual(spark):
+    rng = random.Random(5)
+    hist = [(f"l{i}", n, rng.randrange(1, 2000)) for i in range(6) for n in rng.sample(range(1, 126), rng.randrange(1, 40))]
+    stock = collections.Counter()
+    for g, n, b in hist:
+        stock[g] += n * b
+    t = [(f"m{k}", f"l{i}", cap, 0.5, float(x)) for i in range(6) for k, (cap, x) in enumerate([(3, 3 * stock[f"l{i}"]), (3, 3 * stock[f"l{i}"] + 1), (3, math.nextafter(3 * stock[f"l{i}"], math.inf)), (3, 3 * stock[f"l{i}"] - 0.5), (2, 1.0), (1, stock[f"l{i}"] / 2), (0, 1.0), (9, 4.0 * stock[f"l{i}"]), (2, 0.0)])]
+    t.append(("none", "zz", 2, 1.0, 5.0))
+    found = mixing.solve(spark.createDataFrame(hist, "language string, n bigint, blocks bigint"), spark.createDataFrame(t, "mix string, language string, cap int, share double, wanted double"))
+    for d in found:
+        assert d["reachable"] == (d["wanted"] <= stock[d["language"]] * d["cap"]) and math.isinf(d["dual"]) == (not d["reachable"] or d["wanted"] == 0), d
+        if d["reachable"] and d["wanted"]:
+            value = sum(n * b * min(d["cap"], math.exp(min(60, d["dual"] / d["mean"] * n))) for g, n, b in hist if g == d["language"])
+            assert abs(value - d["wanted"]) <= 2e-6 * max(1, d["wanted"]), d
+    with pytest.raises(RuntimeError):
+        mixing.solve(spark.createDataFrame(hist, "language string, n bigint, blocks bigint"), spark.createDataFrame(t[:1], "mix string, language string, cap int, share double, wanted double"), max_steps=1)
+
+
 # ---- duplicates -----------------------------------------------------------------------------------------
 
 
