@@ -70,7 +70,8 @@ def p6_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.frequent_sequences(lines.line_table(table(spark, sf_dir, "sentences")))
+    """The closed frequent sequences of lines of each source."""
+    return lines.named(lines.closed_sequences(stored(lines.line_table(table(spark, sf_dir, "sentences")), "lines")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -371,19 +371,50 @@ def test_repeated_lines(spark):
     assert lines.repeated_lines(df.limit(0)).count() == 0
 
 
-def test_frequent_sequences(spark):
-    rows = [(10 * a + k, x, "s", f"a{a}") for a in range(9) for k, x in enumerate(["начало", f"своё {'абвгдежзи'[a]}", "середина", "конец"] if a < 8 else ["конец", "начало"])]
-    lt = lines.line_table(spark.createDataFrame(rows, "row_id bigint, text string, source string, source_id string"))
-    got = collections.Counter((len(r.sequence), r.n_articles) for r in lines.frequent_sequences(lt).collect())
-    assert got == {(1, 9): 2, (1, 8): 1, (2, 8): 3, (3, 8): 1}
+def _sequences(spark, rows, **kw):
+    lt = lines.line_table(spark.createDataFrame(rows, "row_id bigint, text string, source string, source_id string")).cache()
+    return lines.named(lines.closed_sequences(lt, **kw)).collect()
 
 
-def test_frequent_sequences_of_any_length(spark):
-    rows = [(10 * a + k, f"строка {'абвгдежз'[k]}", "s", f"a{a}") for a in range(8) for k in range(8)]
-    lt = lines.line_table(spark.createDataFrame(rows, "row_id bigint, text string, source string, source_id string"))
-    got = collections.Counter(len(r.sequence) for r in lines.frequent_sequences(lt).collect())
-    assert got == {k: math.comb(8, k) for k in range(1, 9)}
-    assert max(len(r.sequence) for r in lines.frequent_sequences(lt, max_length=2).collect()) == 2
+def test_closed_sequences(spark):
+    rows = [(10 * a + k, x, "s", f"a{a}") for a in range(9) for k, x in enumerate(["начало", f"своё {'абвгдежзи'[a]}", "середина", "конец"] if a < 8 else ["конец", "начало"])]
+    got = collections.Counter((len(r.sequence), r.n_articles) for r in _sequences(spark, rows))
+    assert got == {(1, 9): 2, (3, 8): 1}
+
+
+@pytest.mark.parametrize("n", [12, 20])
+def test_long_notice_is_one_sequence(spark, n):
+    rows = [(100 * a + k, f"строка {chr(1072 + k)}", "s", f"a{a}") for a in range(8) for k in range(n)] + [(9000 + a, "строка а", "s", f"b{a}") for a in range(3)]
+    assert sorted((len(r.sequence), r.n_articles) for r in _sequences(spark, rows)) == [(1, 11), (n, 8)]
+
+
+def test_closed_sequences_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        text = "\n".join(rng.choice(["а", "б", "в", "г", "д", f"своя {chr(1072 + i % 32)}{chr(1072 + i // 32)}", "12", ""]) for _ in range(rng.randrange(1, 4)))
+        rows.append((i // 2 if i % 7 == 0 else i, text, rng.choice("st"), None if i % 50 == 0 else f"a{rng.randrange(45)}" if i % 3 else "hot"))
+    rows += [(1000 + i, "а\nб\nа\nб\nг", "s", f"z{i}") for i in range(9)]
+    letters = lambda x: "".join(c for c in x if c.isalpha())
+    where, seen = collections.defaultdict(list), collections.defaultdict(set)
+    for i, t, s, a in sorted((r for r in rows if r[3]), key=lambda r: r[0]):
+        for n, x in enumerate(t.split("\n"), 1):
+            if letters(x):
+                where[s, a].append((i, n, letters(x)))
+                seen[s, letters(x)].add(a)
+    support = collections.defaultdict(set)
+    for (s, a), v in where.items():
+        v = [x for _, _, x in sorted(v) if len(seen[s, x]) >= 8]
+        for i in range(len(v)):
+            for j in range(i + 1, len(v) + 1):
+                support[s, tuple(v[i:j])].add(a)
+    frequent = {k: len(v) for k, v in support.items() if len(v) >= 8}
+    longer = collections.Counter()
+    for (s, q), n in frequent.items():
+        for part in (q[1:], q[:-1]):
+            longer[s, part] = max(longer[s, part], n)
+    want = sorted((s, len(q), n) for (s, q), n in frequent.items() if longer[s, q] < n)
+    assert sorted((r.source, len(r.sequence), r.n_articles) for r in _sequences(spark, rows)) == want and max(k for _, k, _ in want) >= 3
 
 
 def test_repeated_lines_without_article(spark, tmp_path):
