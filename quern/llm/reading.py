@@ -28,8 +28,8 @@ from .canon import fold
 
 MIN_WORDS = 40
 MAX_RATED = 12_000
-#: With fewer rated documents the leaves are smaller, and folds are fitted to whatever is left.
-FEW = 50
+#: A leaf holds at least this share of the ratings' weight, and no more than ``LEAF`` need be in one.
+LEAF_SHARE, LEAF = 0.24, 12.0
 _SENTENCE = re.compile(r"[.!?…]+[\"'»“”)\]]*\s+|\n\s*\n")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’ʼ][^\W\d_]+)*")
 #: Letters whose shares tell the languages apart.
@@ -180,13 +180,17 @@ class Grader:
 
 
 def fit_grader(x: np.ndarray, y: np.ndarray, weight: np.ndarray, source: np.ndarray, folds: int = 4, **options) -> Grader:
-    """Trees on all rated documents, and cut points from folds in which no source is split."""
+    """Trees on all rated documents, and cut points from folds in which no source is split.
+
+    Where all ratings are of one source, folds are made of its documents. A fold that holds all
+    ratings is predicted by their mean.
+    """
     if not len(y):
         return Grader(None, [1.5, 2.5, 3.5], 0.0)
-    few = len(y) < FEW
-    if few:
-        options = {"least": max(1.0, 12.0 * len(y) / FEW)} | options
+    options = {"least": min(LEAF, max(1.0, LEAF_SHARE * len(y)))} | options
     names, number = np.unique(source, return_inverse=True)
+    if len(names) < 2:
+        names, number = np.arange(len(y)), np.arange(len(y))
     size = np.bincount(number)
     load, fold_of = np.zeros(folds), np.zeros(len(names), np.int64)
     for s in np.argsort(-size, kind="stable"):
@@ -195,10 +199,10 @@ def fit_grader(x: np.ndarray, y: np.ndarray, weight: np.ndarray, source: np.ndar
     part = fold_of[number]
     raw = np.full(len(y), float(np.average(y, weights=weight)))
     for k in range(folds):
-        if (part == k).any() and (part != k).sum() >= (1 if few else 30):
-            raw[part == k] = fit_trees(x[part != k], y[part != k], weight[part != k], **options).predict(x[part == k])
-    # few ratings of one source say nothing about borders
-    cuts = [1.5, 2.5, 3.5] if few and len(names) < 2 else cut_points(raw, y, weight)
+        held = part == k
+        if held.any() and not held.all():
+            raw[held] = fit_trees(x[~held], y[~held], weight[~held], **options).predict(x[held])
+    cuts = cut_points(raw, y, weight)
     band = 1 + sum((raw > c).astype(int) for c in cuts)
     return Grader(fit_trees(x, y, weight, **options), cuts, float(np.average(np.abs(band - y) < 0.5, weights=weight)))
 
