@@ -245,17 +245,12 @@ def _labeller(shared) -> Labeller:
 def read_samples(samples: DataFrame, lang_col: str = "language", text_col: str = "text", per_language: int = 2_000) -> Samples:
     """Training words of a labelled table: of each language the ``per_language`` rows with the
     least hash of the text, a bound that keeps the model's size fixed."""
-    lang = F.lower(F.trim(lang_col))
-    rows = (
-        samples.select(lang.alias("code"), F.col(text_col).alias("text"))
-        .where(F.col("code").isin(CODES) & F.col("text").isNotNull())
-        .withColumn("h", F.xxhash64("text"))
-        .groupBy("code")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, per_language).alias("r"))
-        .collect()
-    )
-    by = {r["code"]: [w for x in r["r"] for w in words(x["text"])] for r in rows}
-    return Samples(CODES, [by.get(c, []) for c in CODES])
+    rows = samples.select(F.lower(F.trim(lang_col)).alias("code"), F.col(text_col).alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
+    by: dict[str, list[str]] = {}
+    for code in CODES:  # each task keeps its per_language least rows, and so does the driver
+        taken = rows.where(F.col("code") == code).orderBy("h", "text").limit(per_language).select("text").collect()
+        by[code] = [w for r in taken for w in words(r["text"])]
+    return Samples(CODES, [by[c] for c in CODES])
 
 
 def stated_language(column: str) -> Column:
