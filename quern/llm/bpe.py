@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import unicodedata
 from array import array
 from dataclasses import dataclass
 
@@ -29,11 +30,31 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WS + r"\p{L}\p{N}]+|
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Token bytes by id, and of each merged token the two ids it was merged from."""
+    """Tokens by id, and of each merged token the two ids it was merged from.
 
-    tokens: list[bytes]
+    A token is a string of symbols, one for each byte: the character of the byte's number, or of
+    256 more for the byte that ends a word (``word_end``). ``normalizers`` are applied to a text
+    one after the other, ``pattern`` finds its pieces.
+    """
+
+    tokens: list[str]
     left: np.ndarray
     right: np.ndarray
+    pattern: str = PIECE
+    normalizers: tuple[str, ...] = ()
+    word_end: bool = False
+
+
+def _lower(text: str) -> str:
+    return text.replace("Σ", "σ").lower()  # every letter by itself, also a sigma that ends a word
+
+
+_SPACES = re.compile(f"[{WS}]+")
+NORMALIZERS = {
+    "NFC": lambda t: t if t.isascii() else unicodedata.normalize("NFC", t),
+    "Spaces": lambda t: _SPACES.sub(" ", t),
+    "Lowercase": _lower,
+}
 
 
 def _byte_letters() -> dict[str, int]:
@@ -59,32 +80,87 @@ def _merge_once(data: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]
     return parts
 
 
+def _normalizers(spec: dict | None) -> tuple[str, ...]:
+    """The normalizer of a vocabulary file as names in ``NORMALIZERS``."""
+    if spec is None:
+        return ()
+    kind = spec.get("type")
+    if kind == "Sequence":
+        return tuple(x for part in spec["normalizers"] for x in _normalizers(part))
+    if kind == "Replace" and spec.get("pattern") == {"Regex": "\\s+"} and spec.get("content") == " ":
+        return ("Spaces",)
+    if kind in ("NFC", "Lowercase"):
+        return (kind,)
+    raise ValueError(f"unknown normalizer {spec}")
+
+
+def _pattern(spec: dict | None) -> str:
+    """The pattern of a vocabulary file's pieces."""
+    kind = (spec or {}).get("type")
+    if kind == "ByteLevel" and spec.get("use_regex") and not spec.get("add_prefix_space"):
+        return PIECE
+    if kind == "Sequence" and [x.get("type") for x in spec["pretokenizers"]] == ["Split", "ByteLevel"]:
+        split, level = spec["pretokenizers"]
+        given = split["pattern"].get("Regex", "")
+        whole = (split["behavior"], split["invert"], level["use_regex"], level["add_prefix_space"]) == ("Removed", True, False, False)
+        if whole and given.count("\\s") == given.count("[^\\s"):  # white space only inside a class
+            return given.replace("\\s", WS)
+    raise ValueError(f"unknown splitting into pieces {spec}")
+
+
 def load_vocabulary(path: str) -> Vocabulary:
-    """Read a byte-level vocabulary: a ``.json`` with merges or a ``.tiktoken`` rank file."""
+    """Read a byte-level vocabulary: a ``.json`` with merges or a ``.tiktoken`` rank file.
+
+    Of ``.json`` files the normalizer, the splitting into pieces and word ends are read too. What
+    this encoder does not know, and ids that are no merge ranks, raise ValueError.
+    """
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        letters = _byte_letters()
-        ids = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if all(c in letters for c in t)}
+            spec = json.load(f)
+        model = spec["model"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "fuse_unk") if model.get(k)]
+        if model.get("type", "BPE") != "BPE" or odd:
+            raise ValueError(f"no plain byte-pair model: {model.get('type')}, {odd}")
+        letters, suffix = _byte_letters(), model.get("end_of_word_suffix") or ""
+
+        def symbols(t: str) -> str | None:
+            ends = bool(suffix) and t.endswith(suffix)
+            t = t[: len(t) - len(suffix)] if ends else t
+            if not t or any(c not in letters for c in t):
+                return None
+            plain = "".join(chr(letters[c]) for c in t)
+            return plain[:-1] + chr(256 + ord(plain[-1])) if ends else plain
+
+        ids = {s: i for t, i in model["vocab"].items() if (s := symbols(t)) is not None}
         size = max(ids.values()) + 1
         left, right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        tokens: list[bytes] = [b""] * size
+        tokens: list[str] = [""] * size
         for t, i in ids.items():
             tokens[i] = t
+        last = -1
         for m in model["merges"]:
-            a, b = m.split(" ") if isinstance(m, str) else m
-            a, b = (bytes(letters[c] for c in x) for x in (a, b))
-            left[ids[a + b]], right[ids[a + b]] = ids[a], ids[b]
+            a, b = (symbols(x) for x in (m.split(" ") if isinstance(m, str) else m))
+            i = ids[a + b]
+            if left[i] < 0:  # a second way to merge a token never gets its turn
+                left[i], right[i] = ids[a], ids[b]
+                if i <= last:
+                    raise ValueError("ids are not in the order of merges")
+                last = i
         # special tokens have neither merges nor one byte: they are no text
-        tokens = [t if len(t) == 1 or left[i] >= 0 else b"" for i, t in enumerate(tokens)]
-        return Vocabulary(tokens, left, right)
+        tokens = [t if len(t) == 1 or left[i] >= 0 else "" for i, t in enumerate(tokens)]
+        merged = left >= 0
+        if merged.any() and max((i for i, t in enumerate(tokens) if len(t) == 1), default=-1) > int(np.flatnonzero(merged)[0]):
+            raise ValueError("ids are not in the order of merges")
+        return Vocabulary(tokens, left, right, _pattern(spec.get("pre_tokenizer")), _normalizers(spec.get("normalizer")), bool(suffix))
+    if not path.endswith(".tiktoken"):
+        raise ValueError(f"no byte-level vocabulary: {path}")
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     size = max(ranks.values()) + 1
-    tokens = [b""] * size
+    tokens = [""] * size
     left, right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
     for t, i in ranks.items():
-        tokens[i] = t
+        tokens[i] = t.decode("latin-1")
         if len(t) > 1:
             a, b = _merge_once(t, ranks, i)
             left[i], right[i] = ranks[a], ranks[b]
@@ -108,10 +184,11 @@ class Encoder:
         self.merged = {(a << 20) | b: i for i, (a, b) in enumerate(zip(self.left, self.right)) if a >= 0}
         self.length = [len(t) for t in self.tokens]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self.single = [self.ids[bytes([b])] for b in range(256)]
+        self.single = [self.ids[chr(b)] for b in range(256)]
+        self.ending = [self.ids[chr(256 + b)] for b in range(256)] if vocabulary.word_end else None
         for t, i in self.ids.items():
             if len(t) > 1:
-                self.automaton.add_word(t[::-1].decode("latin-1"), i)
+                self.automaton.add_word(t[::-1], i)
         #: of each token the longest other token it begins with, -1 if none
         self.shorter = [next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), -1) for t in self.tokens]
         self.automaton.make_automaton()
@@ -119,7 +196,14 @@ class Encoder:
         self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.memory = memory
-        self.split = regex.compile(PIECE).findall
+        self.find_pieces = regex.compile(vocabulary.pattern).findall
+        self.normalizers = [NORMALIZERS[x] for x in vocabulary.normalizers]
+
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text or unit, normalized."""
+        for f in self.normalizers:
+            text = f(text)
+        return self.find_pieces(text)
 
     def _pair(self, a: int, b: int) -> bool:
         """Whether ``a`` then ``b`` is what the merges leave of their joined bytes."""
@@ -155,14 +239,19 @@ class Encoder:
 
     def piece(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
-        whole = self.ids.get(data)
+        symbols, ending = data.decode("latin-1"), self.ending
+        if ending is not None:
+            symbols = symbols[:-1] + chr(256 + data[-1])
+        whole = self.ids.get(symbols)
         if whole is not None:
             return [whole]
         # longest[i]: the longest token that starts at byte i (of several ends the first is the longest)
         single, length = self.single, self.length
         longest = [single[b] for b in data]
         last = len(data) - 1
-        for end, token in self.automaton.iter(data[::-1].decode("latin-1")):
+        if ending is not None:
+            longest[last] = ending[data[last]]
+        for end, token in self.automaton.iter(symbols[::-1]):
             if length[longest[last - end]] == 1:
                 longest[last - end] = token
         out = [longest[0]]
@@ -237,11 +326,15 @@ class Encoder:
 
 
 class Decoder:
-    """Decoding by an offset table: all tokens in one buffer, token ``i`` at ``offsets[i]``."""
+    """Decoding by an offset table: all tokens in one buffer, token ``i`` at ``offsets[i]``.
+
+    A word's last token is followed by a space where the vocabulary marks word ends.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.buffer = b"".join(vocabulary.tokens)
-        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in vocabulary.tokens])]).tolist()
+        raw = [bytes(ord(c) & 255 for c in t) + (b" " if t and ord(t[-1]) > 255 else b"") for t in vocabulary.tokens]
+        self.buffer = b"".join(raw)
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).tolist()
 
     def decode_bytes(self, ids) -> bytes:
         """Bytes of a list of ids; null gives nothing. An id outside the table raises ValueError."""
