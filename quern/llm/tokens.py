@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .bpe import UNIT, Decoder, Encoder, load_vocabulary
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -106,39 +107,24 @@ def document_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint")
 
 
-def token_budget(
-    df: DataFrame,
-    vocabulary: str,
-    text_col: str = "text",
-    source_col: str = "source",
-    lang_col: str = "lang",
-    domain_col: str = "doc_domain",
-) -> DataFrame:
-    """``(source, lang, doc_domain, n_docs, n_empty, n_chars, n_pieces, n_tokens)`` by slice.
+#: Distinct (slice, unit) pairs that a task counts before it hands them on.
+COUNTED = 400_000
+SLICE = ["source", "lang", "doc_domain"]
 
-    Each task splits its texts into the tokenizer's pieces and counts them by slice before
-    anything moves; only (slice, piece, frequency) is shuffled, by piece, so every distinct
-    piece is tokenized once in the whole job and its length meets its frequencies there. A
-    piece has one row for each task and slice at most, so a frequent piece makes no hot task.
+
+def piece_counts(docs: DataFrame, shared: _Shared) -> DataFrame:
+    """``(slice, piece, n)`` of a table ``(slice, text)``, stored: how often a slice has each piece.
+
+    A task counts over all its texts, within a bound, and its counts are combined again before
+    they move, by slice and piece, so no piece or slice is one task.
     """
-    shared = _Shared(df.sparkSession, load_vocabulary(vocabulary))
-    docs = df.select(
-        label(source_col, "none").alias("source"),
-        label(lang_col, "und").alias("lang"),
-        label(domain_col, "none").alias("doc_domain"),
-        F.col(text_col).alias("text"),
-    )
 
-    def count(batches):
+    def run(batches):
         e = _encoder(shared)
-        for b in batches:
-            slices: dict[tuple, Counter] = {}
-            for key, text in zip(zip(*(b.column(i).to_pylist() for i in range(3))), b.column(3).to_pylist()):
-                if text:
-                    seen = slices.get(key)
-                    if seen is None:
-                        seen = slices[key] = Counter()
-                    seen.update(UNIT.findall(text))
+        slices: dict[int, Counter] = {}
+        held = 0
+
+        def out():
             for key, units in slices.items():
                 pieces: Counter = Counter()
                 for u, n in units.items():
@@ -146,53 +132,67 @@ def token_budget(
                         pieces[p] += n
                 k = len(pieces)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.DictionaryArray.from_arrays(pa.array(np.zeros(k, np.int32)), pa.array([x])).cast(pa.string()) for x in key),
-                     pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())],
-                    names=["source", "lang", "doc_domain", "piece", "n"],
-                )
+                    [pa.array(np.full(k, key, np.int64)), pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], names=["slice", "piece", "n"]
+                )
+
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
+                seen = slices.get(key)
+                if seen is None:
+                    seen = slices[key] = Counter()
+                before = len(seen)
+                seen.update(UNIT.findall(text))
+                held += len(seen) - before
+                if held > COUNTED:
+                    yield from out()
+                    slices.clear()
+                    held = 0
+        yield from out()
+
+    counted = docs.where("text <> ''").mapInArrow(run, "slice bigint, piece string, n bigint")
+    return stored(counted.groupBy("slice", "piece").agg(F.sum("n").alias("n")), "pieces")
+
+
+def piece_lengths(counts: DataFrame, shared: _Shared) -> DataFrame:
+    """``(piece, size)``: the tokens of each distinct piece; each is tokenized once in the whole job."""
 
-    def measure(batches):
+    def run(batches):
         e = _encoder(shared)
-        totals: dict[tuple, list[int]] = {}
-        lengths: dict[str, int] = {}
+        for b in batches:
+            size = [len(e.piece(p.encode("utf-8"))) for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64())], names=["piece", "size"])
 
-        def out():
-            keys = list(totals)
-            cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-            cols += [pa.array([totals[k][i] for k in keys], pa.int64()) for i in range(2)]
-            return pa.RecordBatch.from_arrays(cols, names=["source", "lang", "doc_domain", "n_pieces", "n_tokens"])
+    return counts.select("piece").distinct().mapInArrow(run, "piece string, size bigint")
 
-        for b in batches:
-            for s, g, d, p, n in zip(*(b.column(i).to_pylist() for i in range(5))):
-                size = lengths.get(p)
-                if size is None:
-                    size = len(e.piece(p.encode("utf-8")))
-                    if len(lengths) >= 500_000:
-                        lengths.clear()
-                    lengths[p] = size
-                t = totals.get((s, g, d))
-                if t is None:
-                    t = totals[s, g, d] = [0, 0]
-                t[0] += n
-                t[1] += n * size
-            if len(totals) > 50_000:
-                yield out()
-                totals.clear()
-        if totals:
-            yield out()
-
-    slice_cols = "source string, lang string, doc_domain string"
-    counted = docs.mapInArrow(count, f"{slice_cols}, piece string, n bigint").repartition("piece")
-    measured = counted.mapInArrow(measure, f"{slice_cols}, n_pieces bigint, n_tokens bigint")
-    plain = docs.select(
-        "source", "lang", "doc_domain",
-        F.lit(1).cast("bigint").alias("n_docs"),
-        F.when(F.coalesce(F.col("text"), F.lit("")) == "", 1).otherwise(0).cast("bigint").alias("n_empty"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"),
-    )
-    sums = ["n_docs", "n_empty", "n_chars", "n_pieces", "n_tokens"]
-    return (
-        plain.unionByName(measured, allowMissingColumns=True)
-        .groupBy("source", "lang", "doc_domain")
-        .agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in sums))
+
+def token_budget(
+    df: DataFrame,
+    vocabulary: str,
+    text_col: str = "text",
+    source_col: str = "source",
+    lang_col: str = "lang",
+    domain_col: str = "doc_domain",
+) -> DataFrame:
+    """``(source, lang, doc_domain, n_docs, n_empty, n_chars, n_pieces, n_tokens)`` by slice.
+
+    Pieces are counted by slice, each distinct piece is tokenized once, and its length is joined
+    to its counts. A piece has at most one row for each slice there, so a frequent one is a
+    partition that adaptive execution splits. A slice travels as the hash of its labels; two
+    slices of one hash stop the job.
+    """
+    shared = _Shared(df.sparkSession, load_vocabulary(vocabulary))
+    labels = [label(source_col, "none").alias("source"), label(lang_col, "und").alias("lang"), label(domain_col, "none").alias("doc_domain")]
+    docs = df.select(*labels, F.col(text_col).alias("text")).withColumn("slice", F.xxhash64(*SLICE))
+    counts = piece_counts(docs.select("slice", "text"), shared)
+    totals = counts.join(piece_lengths(counts, shared), "piece").groupBy("slice").agg(F.sum("n").alias("n_pieces"), F.sum(F.col("n") * F.col("size")).alias("n_tokens"))
+    key = F.struct(*SLICE)
+    one = F.when(F.min(key) == F.max(key), F.min(key)).otherwise(F.raise_error(F.lit("two slices share a hash")))
+    plain = docs.groupBy("slice").agg(
+        one.alias("key"),
+        F.count("*").alias("n_docs"),
+        F.count_if(F.coalesce(F.col("text"), F.lit("")) == "").alias("n_empty"),
+        F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint").alias("n_chars"),
     )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return plain.join(totals, "slice", "left").select("key.*", "n_docs", "n_empty", "n_chars", zero("n_pieces"), zero("n_tokens"))

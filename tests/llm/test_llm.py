@@ -42,6 +42,38 @@ def test_encoder_equals_library(name):
         assert d.decode(ids) == t
 
 
+@needs_vocabulary
+def test_word_ends_equal_library():
+    from tokenizers import Tokenizer
+
+    path = os.path.join(TOK, "word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    lib.encode_special_tokens = True
+    vocabulary = bpe.load_vocabulary(path)
+    e, d = bpe.Encoder(vocabulary, memory=50), bpe.Decoder(vocabulary)
+    rng = random.Random(6)
+    texts = [x for x in ODD if x] + ["ΣΑΣ Σ İi", "it's  Don't 'S", "e\u0301 \u0308a\u2000b", "Hello, World! 12"]
+    texts += ["".join(rng.choice("abcdeғұѣ ӱҥ\n.,'1 эйABÉΣ") for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    for t in texts:
+        assert e.encode(t) == lib.encode(t, add_special_tokens=False).ids, t
+    assert d.decode(e.encode("Hello, World")) == "hello , world "
+
+
+@needs_vocabulary
+def test_unknown_vocabularies_are_refused(tmp_path):
+    import json
+
+    with pytest.raises(ValueError):
+        bpe.load_vocabulary(os.path.join(TOK, "piece_bpe_32k.model"))
+    good = json.load(open(os.path.join(TOK, "byte_bpe_50k.json"), encoding="utf-8"))
+    changes = [{"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": good["model"] | {"unk_token": "?"}}, {"model": good["model"] | {"merges": good["model"]["merges"][::-1]}}]
+    for i, change in enumerate(changes):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(good | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.load_vocabulary(str(path))
+
+
 @needs_vocabulary
 def test_encode_corpus_edges(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*ODD, LONG, ODD[4]])], "doc_id bigint, text string, ids string")
@@ -58,7 +90,7 @@ def test_encode_corpus_edges(spark):
 
 
 @needs_vocabulary
-def test_token_budget_adds_up(spark):
+def test_token_budget_adds_up(spark, monkeypatch):
     rows = [(t, s, g, d) for t in [*ODD, "мый толам мый"] for s, g, d in (("a", "MHR ", None), (None, "?", "news"), ("a", "mhr", " "))]
     df = spark.createDataFrame(rows, "text string, source string, lang string, doc_domain string").withColumn("n_docs", F.lit("clash"))
     v = os.path.join(TOK, "byte_bpe_50k.json")
@@ -68,7 +100,14 @@ def test_token_budget_adds_up(spark):
     want = sum(len(e.encode(t)) for t, *_ in rows if _[0] == "a")
     r = got["a", "mhr", "none"]
     assert (r.n_tokens, r.n_docs, r.n_empty) == (want, 2 * (len(ODD) + 1), 4)
+    assert r.n_chars == sum(len(t or "") for t, *_ in rows if _[0] == "a")
     assert tokens.token_budget(df.limit(0), v).count() == 0
+    assert [tuple(x) for x in tokens.token_budget(df.where("text is null"), v).select("source", "n_docs", "n_empty", "n_chars", "n_tokens").orderBy("source").collect()] == [("a", 2, 2, 0, 0), ("none", 1, 1, 0, 0)]
+    monkeypatch.setattr(tokens, "COUNTED", 3)  # counts handed on many times add up alike
+    assert {(r.source, r.lang, r.doc_domain): r for r in tokens.token_budget(df, v).collect()} == got
+    w = os.path.join(TOK, "word_bpe_49k.json")
+    e = bpe.Encoder(bpe.load_vocabulary(w))
+    assert {r.source: r.n_tokens for r in tokens.token_budget(df, w).collect()}["a"] == sum(len(e.encode(t)) for t, *_ in rows if _[0] == "a")
 
 
 # ---- languages ----------------------------------------------------------------------------------------
