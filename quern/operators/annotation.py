@@ -3,9 +3,6 @@ translations, spacing and predictions. Checks return the rows that violate them.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,51 +217,58 @@ def write_predictions(lines: Column, predictions: Column) -> Column:
     return F.when(F.size(F.filter(rows, is_word)) == F.size(predictions), F.concat(heads, T.bound(rows, rewrite)))
 
 
+#: Stands for a character that a match covers; no character of any text.
+_GONE = "\uffff"
+
+
 def strip_boilerplate(lines: Column, pattern: str) -> Column:
-    """Struct ``lines, changed``: matches of the pattern cut from the text and from the tokens.
+    """Struct ``lines, changed, problem``: matches of the pattern cut from the text and from the tokens.
 
-    Tokens are aligned with the text in order; a token loses the characters that a match covers
-    and goes when nothing is left. Words are renumbered, columns 3 to 9 of the remaining tokens
-    blanked and the translation dropped. ``lines`` is null where no letter or digit remains.
+    In a copy of the text every covered character is blotted out; each token, found in the text
+    behind the one before, keeps what isn't blotted out at its place and goes if nothing is left.
+    The rest is numbered anew, columns 3 to 9 are blanked (not the last), the translation is dropped.
+
+    Defined results: a sentence without a match, or without text, stays as it is. ``lines`` is null where
+    no letter or digit remains, and where ``problem`` says why the sentence can't be cut: a row
+    that is no word (a range, an empty node), a form that isn't in the text, or no token left.
+    The pattern must not match the empty text.
     """
-    compiled = re.compile(pattern)
-
-    @F.pandas_udf("lines array<string>, changed boolean")
-    def run(series: pd.Series) -> pd.DataFrame:
-        out = []
-        for x in series:
-            rows = list(x) if x is not None else []
-            text = next((r[9:] for r in rows if r.startswith("# text = ")), "")
-            spans = [m.span() for m in compiled.finditer(text)]
-            if not spans:
-                out.append((rows, False))
-                continue
-            rest = compiled.sub("", text).strip()
-            if not any(ch.isalnum() for ch in rest):
-                out.append((None, True))
-                continue
-            kept, cursor, number = [], 0, 0
-            for r in rows:
-                if r.startswith("# text_en = "):
-                    continue
-                if r.startswith("# text = "):
-                    kept.append("# text = " + rest)
-                    continue
-                if r.startswith("#"):
-                    kept.append(r)
-                    continue
-                c = r.split("\t")
-                if not c[0].isdigit():
-                    continue
-                at = text.find(c[1], cursor)
-                if at < 0:
-                    raise ValueError(f"form {c[1]!r} is absent from the text")
-                cursor = at + len(c[1])
-                left = "".join(ch for k, ch in enumerate(c[1], at) if not any(a <= k < b for a, b in spans))
-                if left:
-                    number += 1
-                    kept.append("\t".join([str(number), left, *["_"] * 7, "SpaceAfter=No" if "SpaceAfter=No" in c[9].split("|") else "_"]))
-            out.append((kept, True))
-        return pd.DataFrame(out, columns=["lines", "changed"])
-
-    return run(lines)
+    prefix = "# text = "
+    text = F.substring(F.get(F.filter(lines, lambda x: x.startswith(prefix)), F.lit(0)), len(prefix) + 1, 1 << 30)
+    parts = F.split(text, pattern, -1)
+    blots = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(_GONE), F.length(m)))
+    blotted = F.array_join(F.zip_with(parts, F.concat(blots, F.array(F.lit(""))), lambda p, b: F.concat(p, b)), "")
+    rest = T.strip(F.regexp_replace(text, pattern, ""))
+    rows = F.transform(F.filter(lines, lambda x: ~x.startswith("#")), lambda x: F.split(x, "\t"))
+    heads = F.filter(lines, lambda x: x.startswith("#") & ~x.startswith("# text_en = "))
+    none = F.array().cast("array<string>")
+    blank = "\t".join(["_"] * 7)
+
+    def cut(v: Column) -> Column:
+        start = F.struct(F.lit(1).alias("at"), F.lit(True).alias("found"), none.alias("kept"))
+
+        def step(acc, c):
+            at = F.call_function("locate", c[1], v["text"], acc["at"])
+            left = F.replace(F.call_function("substring", v["blotted"], at, F.length(c[1])), F.lit(_GONE), F.lit(""))
+            row = F.concat_ws("\t", (F.size(acc["kept"]) + 1).cast("string"), left, F.lit(blank), c[9])
+            return F.struct((at + F.length(c[1])).alias("at"), (acc["found"] & (at > 0)).alias("found"), F.when(left == "", acc["kept"]).otherwise(F.concat(acc["kept"], F.array(row))).alias("kept"))
+
+        def judged(done: Column) -> Column:
+            problem = (
+                F.when(F.exists(v["rows"], lambda c: ~c[0].rlike("^[0-9]+$")), "no_simple_words")
+                .when(~done["found"], "absent_form").when(F.size(done["kept"]) == 0, "no_token_left")
+            )
+            new = F.concat(F.transform(v["heads"], lambda x: F.when(x.startswith(prefix), F.concat(F.lit(prefix), v["rest"])).otherwise(x)), done["kept"])
+            empty = ~v["rest"].rlike(r"[\p{L}\p{N}]")
+            return (
+                F.when(~v["matched"], F.struct(v["lines"].alias("lines"), F.lit(False).alias("changed"), F.lit(None).cast("string").alias("problem")))
+                .when(empty, F.struct(F.lit(None).cast("array<string>").alias("lines"), F.lit(True).alias("changed"), F.lit(None).cast("string").alias("problem")))
+                .otherwise(F.struct(F.when(problem.isNull(), new).alias("lines"), F.lit(True).alias("changed"), problem.alias("problem")))
+            )
+
+        return T.bound(F.aggregate(F.when(v["matched"], v["rows"]).otherwise(F.array().cast("array<array<string>>")), start, step), judged)
+
+    known = F.struct(
+        lines.alias("lines"), text.alias("text"), blotted.alias("blotted"), rest.alias("rest"), rows.alias("rows"), heads.alias("heads"), F.coalesce(text.rlike(pattern), F.lit(False)).alias("matched")
+    )
+    return T.bound(known, cut)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 
 # Fixed values of the language filter: letters that only target languages have, words that
 # never count as Russian, and Russian words that the dictionary lacks.
@@ -20,6 +21,11 @@ RUSSIAN_EXTRA = """финно угроведов угроведение угро
 всерос филол докл тр авт респ пед межвуз техн студ практич межд кл волжско марийско русско историко
 северо карело гражданско романо лугово угристика ревитализации билингвальной контактологии
 деятельностного удмуртоведение фольклорно лит литературоведческий сост ред изд""".split()
+# Fixed value: the notice that one site puts behind its pages.
+BOILERPLATE = (
+    r"Торалык Яндекс\.Карт(?:е-влак(?:ын)?|ын) "
+    r"ӱзгар(?:ын|ыштын|тын) полышышт дене висалтын\."
+)
 UDMURT_ENDINGS = r"(?:ысь|лэн|лэсь|ъёс)$"
 RUSSIAN_SPELLING = "^[а-яё]+$"
 
@@ -87,5 +93,52 @@ def deduplicate(rows: DataFrame, text: Column, order: list[str], id_col: str = "
     )
 
 
-def reason_histogram(audit: DataFrame, column: str = "reason") -> DataFrame:
-    return audit.groupBy(column).agg(F.count("*").alias("n"))
+def reason_histogram(audit: DataFrame) -> DataFrame:
+    """``(reason, n)``: audit entries by reason, or by action where they have none."""
+    return audit.groupBy(F.coalesce("reason", "action").alias("reason")).agg(F.count("*").alias("n"))
+
+
+def protected_ids(rows: DataFrame, language: str = "mhr", last: int = 36, id_col: str = "sent_id", lang_col: str = "language") -> DataFrame:
+    """Adds ``protected``: rows of the language whose id's third part, between hyphens, is at most ``last``."""
+    number = F.try_element_at(F.split(id_col, "-"), F.lit(3)).try_cast("int")
+    return rows.withColumn("protected", F.coalesce((F.lower(F.trim(lang_col)) == language) & (number <= last), F.lit(False)))
+
+
+def clean_rows(
+    rows: DataFrame, dictionary: DataFrame, pattern: str = BOILERPLATE, stripped: tuple[str, ...] = ("mhr",), preferred: DataFrame | None = None, id_col: str = "sent_id", order: str = "pos"
+) -> tuple[DataFrame, DataFrame]:
+    """The cleaning steps in their order: boilerplate, language filter, then duplicates among what is left.
+
+    ``rows`` is ``(sent_id, pos, language, text, labels, probs)`` with optional ``protected``; a
+    protected row passes by the first two steps. Boilerplate is cut from rows of the ``stripped``
+    languages. Of rows with one final text the first in order is kept, or the one that
+    ``preferred``, ``(text, sent_id)``, names for it. A row that the filter removes never wins.
+
+    Returns the kept rows ``(sent_id, pos, language, text)``, and the audit ``(sent_id, text, action,
+    reason, cleaned_text, kept_sent_id)``: one entry for every row removed and every text changed.
+    A null text is kept and is no duplicate.
+    """
+    protected = F.coalesce(F.col("protected"), F.lit(False)) if "protected" in rows.columns else F.lit(False)
+    strips = ~protected & F.col("language").isin(*stripped) & F.col("text").rlike(pattern)
+    final = F.when(F.coalesce(strips, F.lit(False)), T.strip(F.regexp_replace("text", pattern, ""))).otherwise(F.col("text"))
+    read = rows.select(F.col(id_col).alias("id"), F.col(order).alias("pos"), "language", "text", "labels", "probs", protected.alias("protected"), final.alias("final"))
+    read = cut(read.withColumn("changed", F.coalesce(F.col("final") != F.col("text"), F.lit(False)))).withColumn("key", F.monotonically_increasing_id())
+    bare = F.coalesce(F.col("changed") & ~F.col("final").rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    decided = language_decision(read.where(~F.col("protected") & ~bare), dictionary, "key", "final", "language").where("reason is not null").select(F.col("id").alias("key"), "reason")
+    judged = cut(read.join(decided, "key", "left").select("id", "pos", "language", "text", "final", "changed", F.when(bare, "boilerplate_only").otherwise(F.col("reason")).alias("reason")))
+    left = judged.where("reason is null").select("id", "pos", "language", "text", "final", "changed")
+    choice = None
+    if preferred is not None:
+        wanted = preferred.select(F.col("text").alias("__pt"), F.col("sent_id").alias("__pi"), F.lit(True).alias("__p")).distinct()
+        left = left.join(wanted, (F.col("final") == F.col("__pt")) & (F.col("id") == F.col("__pi")), "left").drop("__pt", "__pi")
+        choice = F.col("__p")
+    settled = deduplicate(left, F.col("final"), ["pos"], "id", choice)
+    none = F.lit(None).cast("string")
+    entry = lambda t, action, reason, cleaned, kept: t.select(F.col("id").alias(id_col), "text", F.lit(action).alias("action"), reason.alias("reason"), cleaned.alias("cleaned_text"), kept.alias("kept_sent_id"))
+    nobody = F.lit(None).cast(rows.schema[id_col].dataType)
+    audit = (
+        entry(judged.where("reason is not null"), "remove", F.col("reason"), none, nobody)
+        .unionByName(entry(judged.where("reason is null and changed"), "strip_boilerplate", none, F.col("final"), nobody))
+        .unionByName(entry(settled.where(~F.col("is_kept")).withColumn("text", F.col("final")), "remove", F.lit("duplicate_text"), none, F.col("kept_sent_id")))
+    )
+    return settled.where("is_kept").select(F.col("id").alias(id_col), "pos", "language", F.col("final").alias("text")), audit

@@ -291,8 +291,7 @@ _LISTED = " OR ".join(f"(language = '{k}' AND list_has_any(lows, {v}))" for k, v
 _LID = """lid AS (SELECT row_id AS sent_id, text, lower(trim(language)) AS language,
     CASE WHEN regexp_matches(coalesce(text, ''), '[іїєґ]') THEN ['uk', 'ru', 'mhr'] ELSE ['ru', 'uk', 'mhr'] END AS labels,
     CASE WHEN row_id % 3 = 0 THEN [0.85, 0.1, 0.05] WHEN row_id % 3 = 1 THEN [0.6, 0.3, 0.1] ELSE [0.4, 0.35, 0.25] END AS probs FROM sentences)"""
-_DECIDE = rf"""{_LID},
-  w AS (SELECT sent_id, language, labels, probs, lower(coalesce(text, '')) AS low, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS words FROM lid),
+_RULES = rf"""w AS (SELECT sent_id, language, labels, probs, lower(coalesce(text, '')) AS low, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS words FROM lid),
   w2 AS (SELECT *, list_transform(words, lambda x: lower(x)) AS lows FROM w),
   j AS (SELECT *, coalesce(regexp_matches(low, '[{cleaning.TARGET_LETTERS}]') OR {_LISTED}
       OR (language = 'udm' AND len(list_filter(lows, lambda x: regexp_matches(x, '{cleaning.UDMURT_ENDINGS}'))) > 0), false) AS keep FROM w2),
@@ -304,6 +303,7 @@ _DECIDE = rf"""{_LID},
       count(*) FILTER (WHERE NOT (sp AND hit) AND NOT (sp AND regexp_matches(w, '^\p{{Lu}}'))) AS nn FROM k GROUP BY sent_id, p),
   dec AS (SELECT u.sent_id AS id, CASE WHEN uk THEN 'ukrainian' WHEN (known > 0 AND unknown = 0) OR (known >= 4 AND nn = 0 AND f.p >= 0.8) THEN 'russian_only' END AS reason
       FROM u LEFT JOIN f ON u.sent_id = f.sent_id)"""
+_DECIDE = f"{_LID}, {_RULES}"
 
 
 def _identified(spark, sf):
@@ -333,22 +333,51 @@ def w1_dedup_preferred(spark, sf):
     return cleaning.deduplicate(s, F.col("text"), ["sent_id"], preferred=F.col("pref")).select("sent_id", "kept_sent_id", "is_kept")
 
 
-@query(f"""WITH {_DECIDE}, {_DEDUP}, a AS (SELECT coalesce(dec.reason, CASE WHEN NOT is_kept THEN 'duplicate_text' END, 'kept') AS reason FROM dec JOIN dd ON dec.id = dd.sent_id)
-    SELECT reason, count(*) AS n FROM a GROUP BY reason""")
+_NOTICE = r"Школа для рок\.?"
+_CLEAN = rf"""base AS (SELECT row_id AS sent_id, text, lower(trim(language)) AS language, annotation_status,
+    coalesce(lower(trim(language)) = 'mhr' AND TRY_CAST(string_split(sent_id, '-')[3] AS INT) <= 36, false) AS protected,
+    CASE WHEN regexp_matches(coalesce(text, ''), '[іїєґ]') THEN ['uk', 'ru', 'mhr'] ELSE ['ru', 'uk', 'mhr'] END AS labels,
+    CASE WHEN row_id % 3 = 0 THEN [0.85, 0.1, 0.05] WHEN row_id % 3 = 1 THEN [0.6, 0.3, 0.1] ELSE [0.4, 0.35, 0.25] END AS probs FROM sentences),
+  fin AS (SELECT *, CASE WHEN NOT protected AND language = 'mhr' AND regexp_matches(text, '{_NOTICE}') THEN {Q.strip(f"regexp_replace(text, '{_NOTICE}', '', 'g')")} ELSE text END AS final FROM base),
+  chg AS (SELECT *, coalesce(final <> text, false) AS changed, coalesce(final <> text AND NOT regexp_matches(final, '[\p{{L}}\p{{N}}]'), false) AS bare FROM fin),
+  lid AS (SELECT sent_id, final AS text, language, labels, probs FROM chg WHERE NOT protected AND NOT bare), {_RULES},
+  jud AS (SELECT c.*, CASE WHEN bare THEN 'boilerplate_only' ELSE dec.reason END AS reason FROM chg c LEFT JOIN dec ON c.sent_id = dec.id),
+  pref AS (SELECT text, max(row_id) AS sent_id FROM sentences WHERE annotation_status = 'PARSER_FST_REVIEW' GROUP BY text),
+  lft AS (SELECT j.*, p.sent_id IS NOT NULL AS p FROM jud j LEFT JOIN pref p ON j.final = p.text AND j.sent_id = p.sent_id WHERE reason IS NULL),
+  won AS (SELECT *, CASE WHEN final IS NULL THEN sent_id ELSE first_value(sent_id) OVER (PARTITION BY final ORDER BY p DESC, sent_id) END AS kept FROM lft),
+  aud AS (SELECT sent_id, text, 'remove' AS action, reason, NULL::VARCHAR AS cleaned_text, NULL::BIGINT AS kept_sent_id FROM jud WHERE reason IS NOT NULL
+    UNION ALL SELECT sent_id, text, 'strip_boilerplate', NULL, final, NULL FROM jud WHERE reason IS NULL AND changed
+    UNION ALL SELECT sent_id, final, 'remove', 'duplicate_text', NULL, kept FROM won WHERE kept <> sent_id)"""
+
+
+def _cleaned(spark, sf):
+    s = table(spark, sf, "sentences")
+    protected = cleaning.protected_ids(s.select("row_id", "sent_id", "language")).select(F.col("row_id").alias("sent_id"), "protected")
+    rows = _identified(spark, sf).join(protected, "sent_id").withColumn("pos", F.col("sent_id"))
+    preferred = s.where("annotation_status = 'PARSER_FST_REVIEW'").groupBy("text").agg(F.max("row_id").alias("sent_id"))
+    return cleaning.clean_rows(rows, table(spark, sf, "dictionary"), _NOTICE, preferred=preferred)
+
+
+@query(f"WITH {_CLEAN} SELECT sent_id, language, final AS text FROM won WHERE kept = sent_id")
+def pr9_clean_rows(spark, sf):
+    """What the cleaning steps keep: boilerplate, language filter, then duplicates among the rest."""
+    return _cleaned(spark, sf)[0].select("sent_id", "language", "text")
+
+
+@query(f"WITH {_CLEAN} SELECT * FROM aud")
+def pr9_audit(spark, sf):
+    return _cleaned(spark, sf)[1]
+
+
+@query(f"WITH {_CLEAN} SELECT coalesce(reason, action) AS reason, count(*) AS n FROM aud GROUP BY 1")
 def a17_reason_histogram(spark, sf):
-    """The cleaning pipeline: language filter, deduplication, audit."""
-    s = _identified(spark, sf)
-    dec = cleaning.language_decision(s, table(spark, sf, "dictionary"))
-    dd = w1_dedup_preferred(spark, sf)
-    audit = dec.join(dd, dec["id"] == dd["sent_id"]).select(F.coalesce("reason", F.when(~F.col("is_kept"), "duplicate_text"), F.lit("kept")).alias("reason"))
-    return cleaning.reason_histogram(audit)
+    """The cleaning pipeline's audit by reason."""
+    return cleaning.reason_histogram(_cleaned(spark, sf)[1])
 
 
 @query("SELECT row_id, coalesce(lower(trim(language)) = 'mhr' AND TRY_CAST(string_split(sent_id, '-')[3] AS INT) <= 36, false) AS protected FROM sentences")
 def pr10_protected_ids(spark, sf):
-    third = F.try_element_at(F.split("sent_id", "-"), F.lit(3)).try_cast("int")
-    hit = (F.lower(F.trim("language")) == "mhr") & (third <= 36)
-    return table(spark, sf, "sentences").select("row_id", F.coalesce(hit, F.lit(False)).alias("protected"))
+    return cleaning.protected_ids(table(spark, sf, "sentences")).select("row_id", "protected")
 
 
 # ---- selection --------------------------------------------------------------------------------------------

@@ -94,9 +94,23 @@ def a6_vocabulary(spark, sf):
     return S.label_vocabulary(system_tokens(gold_tokens(spark, sf)))
 
 
-@query(None)
+_RULE = """CASE WHEN lemma = '?' THEN '[0,' || length(form) || ',"","?"]' ELSE '[0,' || length(form) - length(lemma) || ',"",""]' END"""
+
+
+@query(f"""WITH {Q.TOKENS}, r AS (SELECT {_RULE} AS rule, count(*) AS n FROM sys GROUP BY 1)
+    SELECT rule, n, (row_number() OVER (ORDER BY rule = '[0,0,"",""]' DESC, n DESC, rule) - 1)::INT AS idx FROM r""")
 def a6_f9_lemma_rules(spark, sf):
-    return S.lemma_rules(gold_tokens(spark, sf))
+    """Rules of the system's lemmas; ``?`` has nothing in common with its form."""
+    return S.lemma_rules(system_tokens(gold_tokens(spark, sf)))
+
+
+@query(f"""WITH {Q.TOKENS}, r AS (SELECT upos, {_RULE} AS rule, count(*) AS n FROM sys GROUP BY 1, 2)
+    SELECT upos, arg_min(rule, (-n, rule)) AS rule FROM r GROUP BY upos""")
+def o3_rule_order(spark, sf):
+    """The first rule of each part of speech, in the order of the vocabulary."""
+    t = system_tokens(gold_tokens(spark, sf))
+    by = t.select("upos", TB.lemma_rule("form", "lemma").alias("rule")).groupBy("upos", "rule").agg(F.count("*").alias("n"))
+    return by.groupBy("upos").agg(F.min_by("rule", F.struct(-F.col("n"), "rule")).alias("rule"))
 
 
 @query(f"""WITH {Q.TOKENS}, a AS (SELECT language, list_sort(list(DISTINCT upos)) AS p FROM gold GROUP BY language), b AS (SELECT list_sort(list(DISTINCT upos)) AS o FROM sys)
@@ -285,9 +299,9 @@ def f10_all_forms(spark, sf):
     return f.select("form", TB.apply_lemma_rule(F.col("form"), F.lit('[1,1,"","ан"]')).alias("cut"), TB.apply_lemma_rule(F.col("form"), F.lit('[99,99,"",""]')).alias("unchanged"))
 
 
-@query(None)
+@query(f"WITH {Q.TOKENS} SELECT count(*) AS n, 0::BIGINT AS n_wrong FROM (SELECT DISTINCT form, lemma FROM sys)")
 def f9_f10_round_trip(spark, sf):
-    p = gold_tokens(spark, sf).select("form", "lemma").distinct().withColumn("rule", TB.lemma_rule("form", "lemma"))
+    p = system_tokens(gold_tokens(spark, sf)).select("form", "lemma").distinct().withColumn("rule", TB.lemma_rule("form", "lemma"))
     return p.agg(F.count("*").alias("n"), F.count_if(TB.apply_lemma_rule(F.col("form"), F.col("rule")) != F.col("lemma")).alias("n_wrong"))
 
 
@@ -318,13 +332,22 @@ def f14_a22_enriched(spark, sf):
     return e.groupBy("problem").agg(F.count("*").alias("sentences"), F.sum(n).alias("adjacent"))
 
 
-@query(None)
+@query(r"""WITH s AS (SELECT row_id AS sent, text AS raw FROM sentences WHERE regexp_matches(text, 'Школа для рок\.?')),
+    t AS (SELECT sent, regexp_replace(raw, '[\r\n\t]', ' ', 'g') AS text FROM s),
+    m AS (SELECT sent, text, regexp_replace(text, 'Школа для рок\.?', '', 'g') AS rest,
+      regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\t-\r\x1c-\x20\x85\p{Z}\p{L}\p{M}\p{N}]') AS forms,
+      regexp_extract_all(text, 'Школа для рок\.?') AS hits FROM t)
+    SELECT sent, CASE WHEN regexp_matches(rest, '[\p{L}\p{N}]') THEN (len(forms) - list_sum(list_transform(hits, lambda h: len(regexp_extract_all(h, '[\p{L}\p{M}\p{N}]+|[^\t-\r\x1c-\x20\x85\p{Z}\p{L}\p{M}\p{N}]')))))::BIGINT END AS n_tokens,
+      NULL::VARCHAR AS problem FROM m""")
 def f15_boilerplate(spark, sf):
-    """The fixed site line of one source cut from text and tokens."""
-    g = _lines(gold_tokens(spark, sf)).join(table(spark, sf, "sentences").select(F.col("row_id").alias("sent"), F.translate("text", "\r\n\t", "   ").alias("text")), "sent")
-    s = g.where("text is not null").withColumn("lines", F.concat(F.array(F.concat(F.lit("# text = "), "text")), "lines"))
-    done = s.select("sent", A.strip_boilerplate(F.col("lines"), r"Школа для рок\.?").alias("b"))
-    return done.where("b.changed").select("sent", F.size("b.lines").alias("n_lines"))
+    """The fixed site line of one source cut from text and tokens: tokens left in each sentence."""
+    forms = F.regexp_extract_all("text", F.lit(r"(?U)([\p{L}\p{M}\p{N}]+|[^\s\x1C-\x1F\p{L}\p{M}\p{N}])"), 1)
+    row = lambda f, i: F.concat_ws("\t", (i + 1).cast("string"), f, *[F.lit("_")] * 8)
+    s = table(spark, sf, "sentences").where("text is not null").select("row_id", F.translate("text", "\r\n\t", "   ").alias("text"))
+    s = s.select(F.col("row_id").alias("sent"), F.concat(F.array(F.concat(F.lit("# text = "), "text")), F.transform(forms, row)).alias("lines"))
+    done = s.select("sent", A.strip_boilerplate(F.col("lines"), r"Школа для рок\.?").alias("b")).where("b.changed")
+    n = F.size(F.filter("b.lines", lambda x: ~x.startswith("#"))).cast("bigint")
+    return done.select("sent", F.when(F.col("b.lines").isNotNull(), n).alias("n_tokens"), F.col("b.problem").alias("problem"))
 
 
 @query(None)

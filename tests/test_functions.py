@@ -147,3 +147,17 @@ def test_decoder_larger_is_a_tree():
 def test_common_subsequence():
     assert TB.common_subsequence(["A", "b", "c"], ["a", "c"]) == [(0, 0), (2, 1)]
     assert TB.common_subsequence([], ["a"]) == []
+
+
+def test_lemma_rule_without_common_part():
+    assert TB.lemma_rule_value("abc", "xyz") == '[0,3,"","xyz"]'
+    assert TB.lemma_rule_value("", "xyz") == '[0,0,"","xyz"]' and TB.lemma_rule_value("abc", "") == '[0,3,"",""]'
+    assert TB.lemma_rule_value("abxab", "zzaby") == '[0,3,"zz","y"]'
+
+
+@given(st.text(alphabet="abc", max_size=9), st.text(alphabet="abc", max_size=9))
+def test_lemma_rule_keeps_the_longest_common_part(word, lemma):
+    a, b, c, d = json.loads(TB.lemma_rule_value(word, lemma))
+    parts = [(-(j - i), i) for i in range(len(word)) for j in range(i + 1, len(word) + 1) if word[i:j] in lemma]
+    size, at = min(parts) if parts else (0, 0)
+    assert (a, len(word) - a - b) == (at, -size) and c + word[a : len(word) - b] + d == lemma and len(c) == lemma.find(word[at : at - size])
