@@ -6,6 +6,7 @@ written. ``require_clean`` turns violations into an error at the edge of a pipel
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,26 +221,23 @@ def encoder_windows(sizes: list[int], capacity: int, overlap: int) -> list[tuple
 
     ``sizes`` are the pieces of each word. A word longer than a window is cut. The next window
     starts at the last word border that repeats at least ``overlap`` pieces, and always later.
+    Where a window that starts at a piece ends, and where the one behind it starts, is worked out
+    for all pieces at once; the windows are the way from piece 0 along these.
     """
-    from bisect import bisect_right
-    from itertools import accumulate
-
-    borders = [0, *accumulate(sizes)]
-    total, at, out = borders[-1], 0, []
-    floor = lambda x: borders[bisect_right(borders, x) - 1]
+    border = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+    total = int(border[-1])
+    piece = np.arange(total)
+    border_before = lambda x: border[np.searchsorted(border, x, "right") - 1]
+    full = np.minimum(piece + capacity, total)
+    end = np.where(border_before(full) > piece, border_before(full), full)
+    repeat = np.maximum(piece + 1, end - overlap)
+    behind = border[np.searchsorted(border, piece, "right")]
+    start = np.select([border_before(repeat) > piece, behind < end], [border_before(repeat), behind], repeat)
+    way, at = [], 0
     while at < total:
-        end = floor(min(at + capacity, total))
-        end = end if end > at else min(at + capacity, total)
-        out.append((at, end))
-        if end == total:
-            break
-        wanted = max(at + 1, end - overlap)
-        begin = floor(wanted)
-        if begin <= at:
-            following = borders[bisect_right(borders, at)]
-            begin = following if following < end else wanted
-        at = begin
-    return out
+        way.append((at, int(end[at])))
+        at = int(start[at]) if end[at] < total else total
+    return way
 
 
 def window_table(words: DataFrame, capacity: int, overlap: int, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..functions.hashing import fingerprint_list
 from ..session import cut
 from .components import group_by_shared_keys, rank_by_hash
+from .running import running
 
 # What makes a line of a wiki page metadata, and titles of main pages.
 WIKI_METADATA = (
@@ -223,16 +224,14 @@ def recover_recordings(lines: DataFrame, utterances: DataFrame, doc_col: str = "
     Lines meet archive utterances on equal stripped text. A line with one candidate is an
     anchor; an ambiguous line takes a recording if the nearest anchors strictly before and after
     name the same one and it is a candidate. A text's candidates are counted, never gathered;
-    whether an anchor is one of them is an equi-join. Both anchors come from running windows
-    (the one after from the reversed order), linear in the lines of a document.
+    whether an anchor is one of them is an equi-join. Both anchors are carried over pieces of the
+    document, so a long one is many tasks.
     """
     pairs = utterances.select(T.strip("text").alias("t"), "recording").where("t is not null and recording is not null").distinct()
     stats = pairs.groupBy("t").agg(F.count("*").alias("n"), F.min("recording").alias("only"))
     rows = lines.select(F.col(doc_col).alias("doc"), "line", T.strip("text").alias("text"))
     rows = rows.join(stats, rows["text"] == stats["t"], "left").select("doc", "line", "text", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("only")).alias("own"))
-    past = lambda order: Window.partitionBy("doc").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.last("own", ignorenulls=True).over(past(F.col("line"))))
-    rows = rows.withColumn("after", F.last("own", ignorenulls=True).over(past(F.col("line").desc())))
+    rows = running(rows, ["doc"], ["line"], {"before": ("last", F.col("own")), "after": ("next", F.col("own"))}, others=True)
     asked = F.when((F.col("n") > 1) & (F.col("before") == F.col("after")), F.col("before"))
     known = pairs.select(F.col("t").alias("kt"), F.col("recording").alias("kr"))
     rows = rows.withColumn("asked", asked).join(known, (F.col("text") == F.col("kt")) & (F.col("asked") == F.col("kr")), "left")

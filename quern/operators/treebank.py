@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import treebank as TB
 from ..functions.hashing import fingerprint_list
 from ..functions.text import bound
+from .running import running
 
 FIELDS = ["id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc"]
 
@@ -16,12 +17,13 @@ def sentences_from_lines(lines: DataFrame, file_col: str = "file", pos_col: str
     """``(file, sent_no, lines)``: runs of lines between blank ones; the last needs no blank line.
 
     A line of white space ends a sentence too, unless ``only_empty``. The running count of blank
-    lines is a window within each file; sentences keep the order of their lines.
+    lines goes over pieces of each file, so a long file is many tasks; sentences keep the order
+    of their lines.
     """
     text = F.regexp_replace(F.col(line_col), "[\r\n]+$", "")
     blank = (text == "") if only_empty else ~text.rlike(r"(?U)[^\s\x1C-\x1F]")
     marked = lines.select(F.col(file_col).alias("file"), F.col(pos_col).alias("pos"), text.alias("line"), blank.cast("int").alias("blank"))
-    marked = marked.withColumn("g", F.sum("blank").over(Window.partitionBy("file").orderBy("pos")))
+    marked = running(marked, ["file"], ["pos"], {"g": ("sum", F.col("blank"))})
     rows = marked.where("blank = 0").groupBy("file", "g").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("r"))
     return rows.select("file", F.col("g").alias("sent_no"), F.transform("r", lambda x: x["line"]).alias("lines"))
 

@@ -86,7 +86,7 @@ def c15_merged_translations(spark, sf):
 @query(None)
 def c18_parser_evaluation(spark, sf):
     g = gold_tokens(spark, sf).withColumn("source_id", F.coalesce("source_id", F.lit("")))
-    return C.evaluate_parser(g, system_tokens(g), 200)["intervals"]
+    return C.evaluate_parser(g, system_tokens(g))["intervals"]
 
 
 @query(None)

@@ -456,19 +456,19 @@ def a10_macro_las(spark, sf):
     SELECT round(x[(0.025 * (len(x) - 1))::DOUBLE::INT + (CASE WHEN (0.025 * (len(x) - 1))::DOUBLE::INT > 0.025 * (len(x) - 1) THEN 0 ELSE 1 END)], 9) AS low,
       round(x[(0.975 * (len(x) - 1))::DOUBLE::INT + (CASE WHEN (0.975 * (len(x) - 1))::DOUBLE::INT > 0.975 * (len(x) - 1) THEN 0 ELSE 1 END)], 9) AS high FROM v""")
 def a15_interval(spark, sf):
-    v = _articles(spark, sf).agg(scoring.interval(F.sort_array(F.collect_list(F.col("head_ok") / F.col("tokens")))).alias("i"))
-    return v.select(F.round("i.low", 9).alias("low"), F.round("i.high", 9).alias("high"))
+    v = scoring.interval_of(_articles(spark, sf).select((F.col("head_ok") / F.col("tokens")).alias("x")), "x")
+    return v.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query(None)
 def a13_bootstrap(spark, sf):
-    return scoring.bootstrap(_articles(spark, sf), 200)
+    return scoring.bootstrap(_articles(spark, sf))
 
 
 @query(None)
 def a14_paired_bootstrap(spark, sf):
     a = _articles(spark, sf)
-    return scoring.paired_difference(a, a.withColumn("head_ok", F.col("tokens")).withColumn("both_ok", F.col("tokens")), 200)
+    return scoring.paired_difference(a, a.withColumn("head_ok", F.col("tokens")).withColumn("both_ok", F.col("tokens")))
 
 
 @query(f"WITH {_ARTICLES} SELECT source_id FROM a WHERE both_ok % 2 = 1")
