@@ -38,17 +38,30 @@ def metadata(lines: Column) -> Column:
 
 
 def words(lines: Column) -> Column:
-    """Array of word structs: the rows whose id is all digits (no ranges, no empty nodes)."""
+    """Array of word structs: the rows whose id is all digits (no ranges, no empty nodes).
+
+    Words in the range of a multi-word token carry its first id and its form, others nulls.
+    """
     rows = F.filter(lines, lambda x: ~x.startswith("#"))
-    cols = F.transform(rows, lambda x: F.split(x, "\t"))
-    cols = F.filter(cols, lambda c: F.element_at(c, 1).rlike("^[0-9]+$") & (F.size(c) == 10))
-    return F.transform(
-        cols,
-        lambda c: F.struct(
-            c[0].cast("int").alias("id"), c[1].alias("form"), c[2].alias("lemma"), c[3].alias("upos"), c[5].alias("feats"),
-            F.when(c[6] != "_", c[6].try_cast("int")).alias("head"), c[7].alias("deprel"), c[9].alias("misc"),
-        ),
-    )
+    cols = F.filter(F.transform(rows, lambda x: F.split(x, "\t")), lambda c: F.size(c) == 10)
+
+    def build(cols: Column) -> Column:
+        ranges = F.transform(
+            F.filter(cols, lambda c: c[0].rlike("^[0-9]+-[0-9]+$")),
+            lambda c: F.struct(F.substring_index(c[0], "-", 1).cast("int").alias("first"), F.substring_index(c[0], "-", -1).cast("int").alias("last"), c[1].alias("form")),
+        )
+
+        def one(c: Column) -> Column:
+            number = c[0].cast("int")
+            span = F.get(F.filter(ranges, lambda r: number.between(r["first"], r["last"])), F.lit(0))
+            return F.struct(
+                number.alias("id"), c[1].alias("form"), c[2].alias("lemma"), c[3].alias("upos"), c[4].alias("xpos"), c[5].alias("feats"),
+                F.when(c[6] != "_", c[6].try_cast("int")).alias("head"), c[7].alias("deprel"), c[9].alias("misc"), span["first"].alias("span_first"), span["form"].alias("span_form"),
+            )
+
+        return F.transform(F.filter(cols, lambda c: c[0].rlike("^[0-9]+$")), one)
+
+    return bound(cols, build)
 
 
 def bad_columns(lines: Column) -> Column:

@@ -4,7 +4,7 @@ its left neighbour, and the system differs from gold where a remainder says so."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import treebank as TB
@@ -13,7 +13,7 @@ from ..operators import annotation as A
 from ..operators import scoring
 from ..operators import selection
 from ..operators import treebank as S
-from ..session import table
+from ..session import cut, table
 from . import sqltext as Q
 from .registry import query
 
@@ -404,35 +404,82 @@ def j8_alignment(spark, sf):
     return a.where("g_sent = s_sent and g_id = s_id").select(F.col("g_sent").alias("sent"), F.col("g_id").alias("id"))
 
 
-@query(f"WITH {Q.TOKENS} SELECT count(*) AS gold_total, count(*) AS system_total, count(*) AS correct FROM gold")
+def _multiword(tokens, parity: int, every: int):
+    """Every so many pairs of neighbouring words are one multi-word token."""
+    w = Window.partitionBy("doc", "sent").orderBy("id")
+    begins = (F.col("id") % 2 == parity) & ((F.col("sent") + F.col("id")) % every == 0) & F.lead("id").over(w).isNotNull()
+    t = tokens.withColumn("b", begins).withColumn("c", F.coalesce(F.lag(begins).over(w), F.lit(False)))
+    first = F.when(F.col("b"), F.col("id")).when(F.col("c"), F.col("id") - 1)
+    form = F.when(F.col("b"), F.concat("form", F.lead("form").over(w))).when(F.col("c"), F.concat(F.lag("form").over(w), "form"))
+    return t.withColumn("span_first", first).withColumn("span_form", form).drop("b", "c")
+
+
+def _spans_sql(name: str, table: str, parity: int, every: int) -> str:
+    """The surface tokens as (sent, first, last)."""
+    return f"""{name}m AS (SELECT a.doc, a.sent, a.id AS f, a.id + 1 AS l FROM {table} a JOIN {table} b ON a.doc = b.doc AND a.sent = b.sent AND b.id = a.id + 1 WHERE a.id % 2 = {parity} AND (a.sent + a.id) % {every} = 0),
+    {name}t AS (SELECT * FROM {name}m UNION ALL SELECT doc, sent, id, id FROM {table} t WHERE NOT EXISTS (SELECT 1 FROM {name}m m WHERE m.doc = t.doc AND m.sent = t.sent AND t.id IN (m.f, m.l)))"""
+
+
+_SPANS = f"{Q.TOKENS}, {_spans_sql('g', 'gold', 1, 4)}, {_spans_sql('s', 'sys', 0, 5)}"
+
+
+def _two_tokenizations(spark, sf):
+    g = gold_tokens(spark, sf)
+    return _multiword(g, 1, 4), _multiword(system_tokens(g), 0, 5)
+
+
+@query(f"WITH {_SPANS} SELECT (SELECT count(*) FROM gt) AS gold_total, (SELECT count(*) FROM st) AS system_total, (SELECT count(*) FROM gt JOIN st USING (doc, sent, f, l)) AS correct")
 def j10_span_join(spark, sf):
-    g = scoring.char_spans(gold_tokens(spark, sf))
-    return scoring.span_score(g, g, ["doc", "start", "end", "ordinal"])
+    """Surface tokens of two tokenizations that cut alike."""
+    g, s = _two_tokenizations(spark, sf)
+    return scoring.span_score(scoring.char_spans(g), scoring.char_spans(s), ["doc", "start", "end"])
 
 
-_CONTENT = ", ".join(repr(x) for x in scoring.CONTENT_RELATIONS)
+@query(f"WITH {_SPANS} SELECT sent, id AS g_id, id AS s_id FROM gold")
+def j9_lcs_islands(spark, sf):
+    """Words of two tokenizations aligned, inside multi-word tokens by their forms."""
+    g, s = _two_tokenizations(spark, sf)
+    return scoring.align(cut(scoring.char_spans(g)), cut(scoring.char_spans(s))).where("g_sent = s_sent").select(F.col("g_sent").alias("sent"), "g_id", "s_id")
 
 
-@query(f"""WITH {_PAIR}, q AS (SELECT *, split_part(deprel, ':', 1) AS gd, split_part(s_deprel, ':', 1) AS sd FROM p),
-    m AS (SELECT count(*) AS n, count(*) FILTER (WHERE gd IN ({_CONTENT})) AS gc, count(*) FILTER (WHERE sd IN ({_CONTENT})) AS sc,
-      count(*) FILTER (WHERE upos = s_upos) AS u, count(*) FILTER (WHERE lemma = s_lemma OR lemma = '_') AS l, count(*) FILTER (WHERE head = s_head) AS uas,
-      count(*) FILTER (WHERE head = s_head AND gd = sd) AS las, count(*) FILTER (WHERE head = s_head AND gd = sd AND gd IN ({_CONTENT})) AS clas,
-      count(*) FILTER (WHERE head = s_head AND gd = sd AND gd IN ({_CONTENT}) AND (lemma = s_lemma OR lemma = '_')) AS blex FROM q),
-    r AS (SELECT 'UPOS' AS metric, u AS correct, n AS gold_total, n AS system_total, n AS aligned_total FROM m UNION ALL SELECT 'UFeats', n, n, n, n FROM m UNION ALL SELECT 'Lemmas', l, n, n, n FROM m
-      UNION ALL SELECT 'UAS', uas, n, n, n FROM m UNION ALL SELECT 'LAS', las, n, n, n FROM m UNION ALL SELECT 'CLAS', clas, gc, sc, gc FROM m UNION ALL SELECT 'BLEX', blex, gc, sc, gc FROM m)
+_CONTENT = ", ".join(repr(x) for x in scoring.CONTENT_RELATIONS)
+_FUNCTIONAL = ", ".join(repr(x) for x in scoring.FUNCTIONAL_RELATIONS)
+
+
+def _metrics_sql(prefix: str, tokens: str) -> str:
+    """All thirteen metrics by definition; ``tokens`` are the three counts of the surface tokens."""
+    las = "head = s_head AND gd = sd"
+    lemma = "(lemma = s_lemma OR lemma = '_')"
+    rows = [("Words", "n", "n", "n", "NULL"), ("UPOS", "u", "n", "n", "n"), ("XPOS", "n", "n", "n", "n"), ("UFeats", "n", "n", "n", "n"), ("AllTags", "u", "n", "n", "n"), ("Lemmas", "l", "n", "n", "n"), ("UAS", "uas", "n", "n", "n"),
+            ("LAS", "las", "n", "n", "n"), ("CLAS", "clas", "gc", "sc", "gc"), ("MLAS", "mlas", "gc", "sc", "gc"), ("BLEX", "blex", "gc", "sc", "gc"), ("Sentences", "ns", "ns", "ns", "NULL")]
+    union = " UNION ALL ".join(f"SELECT '{m}' AS metric, {c} AS correct, {g} AS gold_total, {s} AS system_total, {a}::BIGINT AS aligned_total FROM m" for m, c, g, s, a in rows)
+    return f"""WITH {prefix}, p AS (SELECT g.*, s.head AS s_head, s.deprel AS s_deprel, s.upos AS s_upos, s.lemma AS s_lemma FROM gold g JOIN sys s USING (doc, sent, id)),
+    q0 AS (SELECT *, split_part(deprel, ':', 1) AS gd, split_part(s_deprel, ':', 1) AS sd FROM p),
+    gk AS (SELECT doc, sent, head AS id, list({{'i': id, 'd': gd, 'u': upos, 'f': feats}} ORDER BY id) AS kids FROM q0 WHERE gd IN ({_FUNCTIONAL}) AND head > 0 GROUP BY doc, sent, head),
+    sk AS (SELECT doc, sent, s_head AS id, list({{'i': id, 'd': sd, 'u': s_upos, 'f': feats}} ORDER BY id) AS kids FROM q0 WHERE sd IN ({_FUNCTIONAL}) AND s_head > 0 GROUP BY doc, sent, s_head),
+    q AS (SELECT q0.*, gk.kids IS NOT DISTINCT FROM sk.kids AS same_kids FROM q0 LEFT JOIN gk USING (doc, sent, id) LEFT JOIN sk USING (doc, sent, id)),
+    m AS (SELECT count(*) AS n, count(DISTINCT (doc, sent)) AS ns, count(*) FILTER (WHERE gd IN ({_CONTENT})) AS gc, count(*) FILTER (WHERE sd IN ({_CONTENT})) AS sc,
+      count(*) FILTER (WHERE upos = s_upos) AS u, count(*) FILTER (WHERE {lemma}) AS l, count(*) FILTER (WHERE head = s_head) AS uas, count(*) FILTER (WHERE {las}) AS las,
+      count(*) FILTER (WHERE {las} AND gd IN ({_CONTENT})) AS clas, count(*) FILTER (WHERE {las} AND gd IN ({_CONTENT}) AND upos = s_upos AND same_kids) AS mlas,
+      count(*) FILTER (WHERE {las} AND gd IN ({_CONTENT}) AND {lemma}) AS blex FROM q),
+    r AS ({union} UNION ALL SELECT 'Tokens', correct, gold_total, system_total, NULL FROM ({tokens}))
     SELECT metric, correct, gold_total, system_total, aligned_total, round(correct / system_total, 6) AS precision, round(correct / gold_total, 6) AS recall,
-      round(2 * correct / (system_total + gold_total), 6) AS f1, round(correct / aligned_total, 6) AS aligned_accuracy FROM r""")
-def a8_metrics(spark, sf):
-    g = gold_tokens(spark, sf)
-    return scoring.metrics(g, system_tokens(g)).where(F.col("metric").isin("UPOS", "UFeats", "Lemmas", "UAS", "LAS", "CLAS", "BLEX"))
+      round(2 * correct / (system_total + gold_total), 6) AS f1, round(correct / aligned_total, 6) AS aligned_accuracy FROM r"""
 
 
-@query(None)
-def a8_all_metrics(spark, sf):
+@query(_metrics_sql(Q.TOKENS, "SELECT n AS correct, n AS gold_total, n AS system_total FROM m"))
+def a8_metrics(spark, sf):
+    """All thirteen metrics."""
     g = gold_tokens(spark, sf)
     return scoring.metrics(g, system_tokens(g))
 
 
+@query(_metrics_sql(_SPANS, "SELECT (SELECT count(*) FROM gt JOIN st USING (doc, sent, f, l)) AS correct, (SELECT count(*) FROM gt) AS gold_total, (SELECT count(*) FROM st) AS system_total"))
+def a8_multiword_metrics(spark, sf):
+    """The same where both sides join words to multi-word tokens, each its own."""
+    return scoring.metrics(*_two_tokenizations(spark, sf))
+
+
 _ARTICLES = f"{_PAIR}, a AS (SELECT coalesce(source_id, '') AS source_id, count(*) AS tokens, count(*) FILTER (WHERE head = s_head) AS head_ok, count(*) FILTER (WHERE head = s_head AND split_part(deprel, ':', 1) = split_part(s_deprel, ':', 1)) AS both_ok FROM p GROUP BY 1)"
 
 
@@ -477,13 +524,6 @@ def j12_paired_articles(spark, sf):
     return scoring.paired_violations(a, a.withColumn("tokens", F.col("tokens") + F.col("both_ok") % 2))
 
 
-@query(None)
-def j9_lcs_islands(spark, sf):
-    """Words of each sentence against the words that the system kept of it."""
-    g = gold_tokens(spark, sf).select("sent", F.col("id").alias("pos"), "form")
-    return scoring.lcs_alignment(g, g.where(F.col("pos") % 4 != 0), ["sent"]).groupBy("sent").agg(F.count("*").alias("aligned"))
-
-
 @query(f"""WITH {_ARTICLES}, o AS (SELECT source_id, arg_min_null(language, row_id) AS language, min(annotation_status) AS annotation_status FROM sentences WHERE source_id IS NOT NULL GROUP BY source_id)
     SELECT a.source_id, o.language, o.annotation_status, a.tokens FROM a LEFT JOIN o USING (source_id)""")
 def j13_run_summary(spark, sf):

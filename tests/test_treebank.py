@@ -197,6 +197,59 @@ def test_retokenized_system(spark):
     assert m["UPOS"].correct == 2 and m["Lemmas"].correct == 1 and m["UAS"].correct == 0 and m["Sentences"].correct == 1 and m["UPOS"].aligned_accuracy == 1.0
 
 
+def _multiword(spark, words):
+    """``abc a b c`` is the token abc of the words a, b, c."""
+    rows = []
+    for w in words:
+        form, *parts = w.split(" ")
+        first = len(rows) + 1
+        for x in parts or [form]:
+            rows.append(("d", 0, len(rows) + 1, x, "_", "_", "_", "_", int(len(rows) > 0), "_", first if parts else None, form if parts else None))
+    return spark.createDataFrame(rows, TOK + ", span_first int, span_form string")
+
+
+@pytest.mark.parametrize("gold, system, correct", [
+    (["a"], ["a"], 1), (["a", "b", "c"], ["a", "b", "c"], 3), (["abc a b c"], ["a", "b", "c"], 3), (["a", "bc b c", "d"], ["a", "b", "c", "d"], 4), (["abcd a b c d"], ["ab a b", "cd c d"], 4),
+    (["abc a b c", "de d e"], ["a", "bcd b c d", "e"], 5), (["abcd"], ["a", "b", "c", "d"], 0), (["abc", "d"], ["a", "b", "c", "d"], 1), (["a", "bc", "d"], ["a", "b", "c", "d"], 2),
+    (["a", "bc b c", "d"], ["a", "b", "cd"], 2), (["abc a BX c", "def d EX f"], ["ab a b", "cd c d", "ef e f"], 4), (["ab a b", "cd bc d"], ["a", "bc", "d"], 2), (["a", "bc b c", "d"], ["ab AX BX", "cd CX a"], 1),
+])
+def test_multiword_alignment(spark, gold, system, correct):
+    g, s = _multiword(spark, gold), _multiword(spark, system)
+    a, b = scoring.char_spans(g), scoring.char_spans(s)
+    assert scoring.align(a, b).count() == correct
+    if (gold, system) in ((["abc a b c"], ["a", "b", "c"]), (["a", "bc b c", "d"], ["ab AX BX", "cd CX a"])):
+        m = {r.metric: r for r in scoring.metrics(g, s).collect()}
+        size = lambda words: sum(max(1, len(w.split(" ")) - 1) for w in words)
+        assert (m["Words"].correct, m["Words"].gold_total, m["Words"].system_total) == (correct, size(gold), size(system))
+        assert (m["Tokens"].gold_total, m["Tokens"].system_total) == (len(gold), len(system)) and m["Sentences"].correct == 1
+
+
+def test_text_differences(spark):
+    same = [["abc a b c", "d"], ["ab", "cd"]], [["a", "b"], ["ab q r"]]
+    for g, s in same:
+        assert scoring.text_differences(_multiword(spark, g), _multiword(spark, s)).count() == 0
+    for g, s in ([["a"], ["b"]], [["ab"], ["ba"]], [["ab"], ["abc"]], [["aab"], ["abb"]]):
+        assert [r.doc for r in scoring.text_differences(_multiword(spark, g), _multiword(spark, s)).collect()] == ["d"]
+
+
+def test_reader_keeps_multiword_tokens(spark, tmp_path):
+    w = S.word_table(readers.read_conllu(spark, _bank(spark, tmp_path, TWO)), ["sent_no"]).orderBy("id").collect()
+    assert [(r.form, r.span_first, r.span_form) for r in w] == [("в", 1, "дома"), ("доме", 1, "дома")]
+
+
+def test_interval_of_many_rows(spark):
+    df = spark.createDataFrame([(float((i * 7919) % 1000),) for i in range(1000)], "x double").repartition(5)
+    assert tuple(scoring.interval_of(df, "x").first()) == (24.0, 974.0) and tuple(scoring.interval_of(df.limit(0), "x").first()) == (None, None)
+
+
+def test_hashed_resamples(spark, monkeypatch):
+    a = spark.createDataFrame([(f"a{i}", 10 + i % 5, 8 + i % 3, 6 + i % 3) for i in range(60)], "source_id string, tokens bigint, head_ok bigint, both_ok bigint")
+    exact = scoring.bootstrap(a, 300).first()
+    monkeypatch.setattr(scoring, "GATHERED", 10)
+    hashed = scoring.bootstrap(a, 300).first()
+    assert all(abs(x - y) < 0.01 for x, y in zip(exact, hashed)) and exact.articles == hashed.articles == 60
+
+
 def test_lcs_islands(spark):
     mk = lambda w: spark.createDataFrame([("d", i, x) for i, x in enumerate(w)], "doc string, pos int, form string")
     assert [(r.g_pos, r.s_pos) for r in scoring.lcs_alignment(mk(["a", "b", "c"]), mk(["A", "C"]), ["doc"]).orderBy("g_pos").collect()] == [(0, 0), (2, 1)]
