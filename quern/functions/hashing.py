@@ -6,7 +6,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,11 @@ def file_hash(path: str, block: int = 1 << 20) -> str:
     return h.hexdigest()
 
 
+def file_hashes(files: DataFrame, keep: list[str]) -> DataFrame:
+    """``(keep, digest)``: SHA-256 of the bytes in ``content``, as the binary file reader gives them."""
+    return files.select(*keep, F.sha2("content", 256).alias("digest"))
+
+
 def article_id(language: Column | str, title: Column) -> Column:
     """``<language>:wiki:`` and the first 20 hex digits of the title's fingerprint."""
     lang = F.lit(language) if isinstance(language, str) else language

@@ -167,13 +167,58 @@ def enriched_drafts(originals: DataFrame, drafts: DataFrame, translations: DataF
     return {"sentences": e.where("problem is null").select("sent_id", F.col("enriched").alias("lines")), "violations": bad.unionByName(ids).unionByName(e.where("problem is not null").select("sent_id", "problem"))}
 
 
+def review_drafts(tokens: DataFrame, analyses: DataFrame) -> dict[str, DataFrame]:
+    """Drafts reviewed against two analyzers.
+
+    ``tokens`` is ``(sent_id, id, form, lemma, misc)``, ``analyses`` ``(sent_id, id, form, first,
+    second)`` with the lemmas that each analyzer offers. Words that don't pair are violations.
+    """
+    bad = A.alignment_violations(tokens, analyses)
+    rows = A.review_tokens(tokens.join(analyses.drop("form"), ["sent_id", "id"]))
+    summary = rows.groupBy("status").agg(F.count("*").alias("n"))
+    return {"tokens": rows, "summary": summary, "violations": bad}
+
+
+def analyzed_sentences(sentences: DataFrame, lookup: DataFrame) -> dict[str, DataFrame]:
+    """Sentences with an analyzer's analyses of every word, by its output for the distinct forms.
+
+    ``sentences`` is ``(sent_id, source_id, source_sent_id, words)``, ``lookup`` ``(form, analysis)``.
+    Returns the sentences with ``tokens``, an array of ``id, form, analyses``; the ``forms`` that the
+    analyzer is to be asked for; the ``coverage``; and as violations the forms it wasn't asked.
+    """
+    each = sentences.select("sent_id", F.explode("words").alias("w")).select("sent_id", "w.id", "w.form")
+    found = A.lookup_analyses(lookup)
+    rows = each.join(found.withColumn("asked", F.lit(True)), "form", "left")
+    known = rows.withColumn("analyses", F.coalesce("analyses", F.array().cast(found.schema["analyses"].dataType)))
+    tokens = known.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("id", "form", "analyses"))).alias("tokens"))  # a sentence's words
+    empty = F.array().cast(tokens.schema["tokens"].dataType)
+    out = sentences.select("sent_id", "source_id", "source_sent_id").join(tokens, "sent_id", "left").withColumn("tokens", F.coalesce("tokens", empty))
+    missing = rows.where("asked is null").select("form").distinct().select("form", F.lit("no lookup").alias("problem"))
+    return {"sentences": out, "forms": each.select("form").distinct(), "coverage": A.coverage(known), "violations": missing}
+
+
+def word_analyses(tokens: DataFrame, candidates: DataFrame) -> dict[str, DataFrame]:
+    """Words with a second analyzer's candidates in canonical order.
+
+    ``tokens`` is ``(sent_id, id, form)``, ``candidates`` ``(sent_id, id, wf, lemma, gramm)``, a row for
+    each candidate. A single candidate with neither lemma nor grammar is none; one of another form
+    is a violation.
+    """
+    real = candidates.where((F.coalesce("lemma", F.lit("")) != "") | (F.coalesce("gramm", F.lit("")) != ""))
+    listed = real.groupBy("sent_id", "id").agg(F.sort_array(F.collect_list(F.to_json(F.struct("gramm", "lemma", "wf")))).alias("analyses"))  # a word's candidates
+    rows = tokens.join(listed, ["sent_id", "id"], "left").withColumn("analyses", F.coalesce("analyses", F.array().cast("array<string>")))
+    other = tokens.join(real.select("sent_id", "id", "wf"), ["sent_id", "id"]).where(~F.col("wf").eqNullSafe(F.col("form"))).select("sent_id", "id", F.lit("form").alias("problem"))
+    return {"tokens": rows, "coverage": A.coverage(rows), "violations": other}
+
+
 def evaluate_parser(gold: DataFrame, system: DataFrame, repeats: int = 1000, seed: int = 1729) -> dict[str, DataFrame]:
     """Metrics, article counts and intervals of one language's predictions over gold tokenization."""
     pairs = gold.select("doc", "sent", "id", "source_id", F.col("head").alias("g_head"), F.col("deprel").alias("g_deprel")).join(
         system.select("doc", "sent", "id", F.col("head").alias("s_head"), F.col("deprel").alias("s_deprel")), ["doc", "sent", "id"]
     )
     articles = scoring.article_counts(pairs)
-    return {"metrics": scoring.metrics(gold, system), "articles": articles, "intervals": scoring.bootstrap(articles, repeats, seed)}
+    different = scoring.text_differences(gold, system).select("doc", F.lit("text").alias("problem"))
+    return {"metrics": scoring.metrics(gold, system), "articles": articles, "intervals": scoring.bootstrap(articles, repeats, seed), "violations": different}
 
 
 def compare_runs(first: DataFrame, second: DataFrame, repeats: int = 1000, seed: int = 1729) -> dict[str, DataFrame]:

@@ -28,23 +28,14 @@ def w8_encoder_windows(spark, sf):
     return C.window_table(d, 510, 64, ["doc_id"])
 
 
-def _first_candidates(g):
+@query(f"""WITH {Q.TOKENS} SELECT sent, id, to_json({{'lemma': lemma, 'upos': upos}})::VARCHAR AS first FROM gold""")
+def o4_candidate_order(spark, sf):
+    """The first candidate of every token, of three of which two are alike."""
+    g = gold_tokens(spark, sf)
     s = lambda c: F.struct(F.col("lemma"), F.when(F.lit(c), F.col("upos")).otherwise(F.lit("~")).alias("upos"))
     return g.select("sent", "id", F.element_at(C.ordered_candidates(F.array(s(False), s(True), s(True))), 1).alias("first"))
 
 
-@query(f"""WITH {Q.TOKENS} SELECT sent, id, to_json({{'lemma': lemma, 'upos': upos}})::VARCHAR AS first FROM gold WHERE id % 2 = 1""")
-def o4_candidate_order(spark, sf):
-    """The odd tokens of :func:`o4_all_candidates`, as this SQL has them."""
-    return _first_candidates(gold_tokens(spark, sf).where("id % 2 = 1"))
-
-
-@query(f"""WITH {Q.TOKENS} SELECT sent, id, to_json({{'lemma': lemma, 'upos': upos}})::VARCHAR AS first FROM gold""")
-def o4_all_candidates(spark, sf):
-    """The first candidate of every token."""
-    return _first_candidates(gold_tokens(spark, sf))
-
-
 @query(None)
 def c4_treebank(spark, sf):
     """Sentences of one language split by whole articles, with their violations."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -606,7 +605,7 @@ def stream_event_totals(spark, sf):
     from ..streaming.exposure import event_totals_stream, run_once
 
     schema = table(spark, sf, "events").schema
-    folder = tempfile.mkdtemp(prefix="quern-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else os.path.join(shared_dir(spark), f"stream-{os.getpid()}-{os.urandom(4).hex()}")
+    folder = os.path.join(shared_dir(spark), f"stream-{os.getpid()}-{os.urandom(4).hex()}")
     df = event_totals_stream(spark, os.path.join(sf, "events.parquet"), schema, "ts", "event_type", "value")
     out = run_once(df, f"quern_events_{os.urandom(4).hex()}", "complete", folder)
     return out.select("event_type", "n", F.round("total", 2).alias("total"))
@@ -626,14 +625,8 @@ def _wiki_round_trip(spark, sf):
     return readers.read_wiki_csv(spark, path)
 
 
-@query("SELECT title AS article, text FROM documents WHERE title IS NOT NULL AND text IS NOT NULL AND text <> '' AND NOT regexp_matches(text, '\\r') AND title <> ''")
-def s1_wiki_csv(spark, sf):
-    """Of :func:`s1_wiki_csv_all`, the texts without a carriage return, as this SQL has them."""
-    return _wiki_round_trip(spark, sf).where(~F.col("text").contains("\r"))
-
-
 @query("SELECT title AS article, text FROM documents WHERE title IS NOT NULL AND text IS NOT NULL AND text <> '' AND title <> ''")
-def s1_wiki_csv_all(spark, sf):
+def s1_wiki_csv(spark, sf):
     """All documents with title and text written as CSV and read again by the wiki reader."""
     return _wiki_round_trip(spark, sf)
 

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import composite_queries, corpus_queries, treebank_queries  # noqa: E402, F401
+from . import composite_queries, corpus_queries, io_queries, treebank_queries  # noqa: E402, F401

@@ -84,18 +84,29 @@ def load_verified(spark: SparkSession, folder: str, name: str, schema: str) -> D
     return spark.read.schema(schema).json(os.path.join(folder, name))
 
 
-def publish(sources: dict[str, str], target: str) -> dict[str, str]:
-    """Copy files into an empty folder and check each copy's hash; returns the hashes."""
+def publish(sources: dict[str, str], target: str, recorded: dict[str, str] | None = None) -> dict[str, str]:
+    """Copy files into an empty folder and check each copy's hash; returns the hashes.
+
+    ``recorded`` are the hashes that the files' own manifest names: a file that has changed since,
+    or that changes while it is copied, is an error, and then nothing is left in the folder.
+    """
     fresh(target)
+    hashes = {name: file_hash(path) for name, path in sources.items()}
+    changed = [name for name in sources if recorded is not None and recorded.get(name) != hashes[name]]
+    if changed:
+        raise ValueError(f"{changed} differ from their manifest; nothing was published")
     os.makedirs(target, exist_ok=True)
-    hashes = {}
-    for name, path in sources.items():
-        before = file_hash(path)
-        copy = os.path.join(target, name)
-        shutil.copyfile(path, copy)
-        if file_hash(copy) != before:
-            raise OSError(f"the copy of {path} differs")
-        hashes[name] = before
+    copies = {name: os.path.join(target, name) for name in sources}
+    try:
+        for name, path in sources.items():
+            shutil.copyfile(path, copies[name])
+            if not file_hash(copies[name]) == hashes[name] == file_hash(path):
+                raise OSError(f"the copy of {path} differs")
+    except BaseException:
+        for copy in copies.values():
+            if os.path.exists(copy):
+                os.remove(copy)
+        raise
     return hashes
 
 

@@ -285,11 +285,11 @@ def test_wiki_csv_of_all_documents(spark, sf):
     if not os.path.isdir(sf):
         pytest.skip("no tables")
     d = spark.read.parquet(f"{sf}/documents.parquet").where("title <> '' and text <> ''").select("title", "text")
-    got = sorted(map(tuple, QUERIES["s1_wiki_csv_all"](spark, sf).select("article", "text").collect()))
+    got = sorted(map(tuple, QUERIES["s1_wiki_csv"](spark, sf).select("article", "text").collect()))
     assert got == sorted(map(tuple, d.collect())) and any("\r" in t for _, t in got)
 
 
-@pytest.mark.parametrize("name", ["f7_f8_all_feats", "f10_all_forms"])
+@pytest.mark.parametrize("name", ["f7_f8_feats", "f10_apply_rule"])
 def test_whole_functions_equal_sql(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     from quern.plans.registry import ORACLE, QUERIES
@@ -301,4 +301,4 @@ def test_whole_functions_equal_sql(spark, sf, name):
     got = QUERIES[name](spark, sf)
     rows = sorted(map(tuple, got.collect()))
     assert rows == sorted(c.execute(f"select {', '.join(got.columns)} from ({ORACLE[name]})").fetchall())
-    assert any(r[2] == "_" for r in rows) if name == "f7_f8_all_feats" else {1, 2} <= {len(r[0]) for r in rows}
+    assert any(r[2] == "_" for r in rows) if name == "f7_f8_feats" else {1, 2} <= {len(r[0]) for r in rows}
