@@ -101,3 +101,8 @@ def usable_forms(forms: Column) -> Column:
     blocks, and those at least three quarters of all."""
     cyrillic = F.size(F.filter(forms, lambda x: x.rlike("[Ѐ-ԯ]")))
     return ~F.exists(forms, lambda x: x.rlike("[A-Za-z|]")) & (cyrillic >= 3) & (4 * cyrillic >= 3 * F.size(forms))
+
+
+def valid_name(col: Column | str) -> Column:
+    """Whether a name of a round is made of ASCII letters, digits, hyphens and underscores only; null is none."""
+    return F.coalesce(_c(col), F.lit("")).rlike("^[A-Za-z0-9_-]+$")

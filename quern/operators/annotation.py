@@ -83,6 +83,12 @@ def repeated_sources(batches: DataFrame) -> DataFrame:
     return batches.groupBy("source_id", "source_sent_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def retained_rows(rows: DataFrame, reviewed: DataFrame, key: str = "sent_id", id_col: str = "row_id") -> DataFrame:
+    """``(id, kept)``: of each row the id of the first reviewed row with its key, if that has its text unchanged."""
+    first = reviewed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(id_col, "text")).alias("r"))
+    return rows.join(first, key, "left").select(id_col, F.when(F.col("r.text") == F.col("text"), F.col(f"r.{id_col}")).alias("kept"))
+
+
 def consensus(first: Column, second: Column) -> Column:
     """Struct ``lemma, status`` from two analyzers' lemmas (nulls and empty ones don't count)."""
     clean = lambda x: F.array_distinct(F.filter(x, lambda v: v.isNotNull() & (v != "")))

@@ -218,6 +218,18 @@ def remove_overlap(
 # ---- recovery of recordings -------------------------------------------------------------
 
 
+def text_candidates(lines: DataFrame, utterances: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """``(doc, line, text, n, only)``: how many recordings hold each line's stripped text, and which if it is one.
+
+    Candidates are counted by text before the join, never gathered.
+    """
+    pairs = utterances.select(T.strip("text").alias("t"), "recording").where("t is not null and recording is not null").distinct()
+    stats = pairs.groupBy("t").agg(F.count("*").alias("n"), F.min("recording").alias("only"))
+    rows = lines.select(F.col(doc_col).alias("doc"), "line", T.strip("text").alias("text"))
+    found = rows.join(stats, rows["text"] == stats["t"], "left")
+    return found.select("doc", "line", "text", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("only")).alias("only"))
+
+
 def recover_recordings(lines: DataFrame, utterances: DataFrame, doc_col: str = "doc") -> DataFrame:
     """``(doc, line, text, n_candidates, recording, method)`` for every local line.
 
@@ -228,9 +240,7 @@ def recover_recordings(lines: DataFrame, utterances: DataFrame, doc_col: str = "
     document, so a long one is many tasks.
     """
     pairs = utterances.select(T.strip("text").alias("t"), "recording").where("t is not null and recording is not null").distinct()
-    stats = pairs.groupBy("t").agg(F.count("*").alias("n"), F.min("recording").alias("only"))
-    rows = lines.select(F.col(doc_col).alias("doc"), "line", T.strip("text").alias("text"))
-    rows = rows.join(stats, rows["text"] == stats["t"], "left").select("doc", "line", "text", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("only")).alias("own"))
+    rows = text_candidates(lines, utterances, doc_col).withColumnRenamed("only", "own")
     rows = running(rows, ["doc"], ["line"], {"before": ("last", F.col("own")), "after": ("next", F.col("own"))}, others=True)
     asked = F.when((F.col("n") > 1) & (F.col("before") == F.col("after")), F.col("before"))
     known = pairs.select(F.col("t").alias("kt"), F.col("recording").alias("kr"))
@@ -240,3 +250,32 @@ def recover_recordings(lines: DataFrame, utterances: DataFrame, doc_col: str = "
         .when(F.col("kr").isNotNull(), "exact_with_matching_neighbor_anchors").otherwise("ambiguous_recording")
     )
     return rows.select("doc", "line", "text", F.col("n").alias("n_candidates"), F.coalesce("own", "kr").alias("recording"), method.alias("method"))
+
+
+# ---- small steps ------------------------------------------------------------------------
+
+
+def union_records(*frames: DataFrame) -> DataFrame:
+    """The records of several languages or sources; columns that one lacks are null there."""
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def drop_blank(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The records whose text is more than white space."""
+    return df.where(T.strip(text_col) != "")
+
+
+def distinct_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Of each group the number of distinct values of each column, nulls left out.
+
+    Each column is made distinct by itself before it is counted, so no group is one task.
+    """
+    out = df.select(*by).distinct()
+    for c in columns:
+        n = df.where(F.col(c).isNotNull()).select(*by, c).distinct().groupBy(*by).agg(F.count("*").alias(c)).select(*[F.col(b).alias(f"__{b}") for b in by], F.col(c).alias(f"__n_{c}"))
+        on = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+        out = out.join(n, on, "left").drop(*[f"__{b}" for b in by]).withColumn(c, F.coalesce(f"__n_{c}", F.lit(0)).cast("bigint")).drop(f"__n_{c}")
+    return out

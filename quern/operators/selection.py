@@ -6,8 +6,9 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import text as T
+from ..functions import text as TX
 from ..functions import treebank as TB
 from ..functions.hashing import article_id, fingerprint_list, fingerprint_value
 
@@ -25,7 +26,7 @@ def best_of_group(df: DataFrame, by: list[str], rank: Column, keep: list[str]) -
 
 def excerpts(df: DataFrame, k: int, seed: int, low: int = 8, high: int = 40, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``k`` texts of ``low`` to ``high`` words, by fingerprint([seed, id])."""
-    n = F.size(T.split_words(text_col))
+    n = F.size(TX.split_words(text_col))
     return top_by_hash(df.where(n.between(low, high)), fingerprint_list(seed, F.col(id_col)), k, [id_col])
 
 
@@ -51,7 +52,7 @@ def eligible(
         n.between(low, high)
         & (F.col("ids") == F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
         & ~F.exists("forms", lambda f: f.isNull() | (f == "") | (f == "_"))
-        & T.usable_forms(F.col("forms"))
+        & TX.usable_forms(F.col("forms"))
     )
     rows = rows.where(shaped).withColumn("adjacent", TB.spaces_after(F.col("forms"), F.col("text"))).where("adjacent is not null")
     rows = rows.join(splits.where("split = 'train'").select("source_id"), "source_id", "left_semi")
@@ -60,19 +61,27 @@ def eligible(
     return rows.select("source_id", "sent_id", "forms", "text", "adjacent")
 
 
+def numbered_ids(rows: DataFrame, digest: Column, tie: list[str], count: int, prefix: str, name: str = "number") -> DataFrame:
+    """The ``count`` rows first by digest, with ids that number them from 1."""
+    top = top_by_hash(rows, digest, count, tie)
+    w = Window.orderBy(digest, *tie)  # at most ``count`` rows
+    return top.withColumn(name, F.format_string(f"{prefix}-%04d", F.row_number().over(w)))
+
+
 def select_batch(rows: DataFrame, language: str, round_id: str, count: int, seed: int) -> DataFrame:
     """One sentence of each article, the ``count`` articles first by hash, numbered from 1."""
     rank = fingerprint_list(seed, F.col("source_id"), F.col("sent_id"), F.col("forms"))
     best = best_of_group(rows, ["source_id"], rank, ["sent_id", "forms", "text", "adjacent"])
-    chosen = top_by_hash(best, fingerprint_list(seed, F.col("source_id")), count, ["source_id"])
-    w = Window.orderBy(fingerprint_list(seed, F.col("source_id")), "source_id")  # at most ``count`` rows
-    number = F.format_string(f"{language}-fewshot-{round_id}-%04d", F.row_number().over(w))
-    return chosen.select(number.alias("sent_id"), "source_id", F.col("sent_id").alias("source_sent_id"), "forms", "text", "adjacent")
+    chosen = numbered_ids(best, fingerprint_list(seed, F.col("source_id")), ["source_id"], count, f"{language}-fewshot-{round_id}")
+    return chosen.select(F.col("number").alias("sent_id"), "source_id", F.col("sent_id").alias("source_sent_id"), "forms", "text", "adjacent")
 
 
 def held_out_drafts(sentences: DataFrame, splits: DataFrame, per_language: int, seed: int, language: str) -> DataFrame:
-    """One sentence of at least three words of each test article, the first ``per_language`` by hash."""
-    rows = sentences.where((F.size("forms") >= 3) & (F.col("article") != "")).withColumn("source_id", article_id(language, F.col("article")))
+    """One sentence of at least three words of each test article, the first ``per_language`` by hash.
+
+    Sentences without an id take no part.
+    """
+    rows = sentences.where((F.size("forms") >= 3) & (F.col("article") != "") & F.col("sent_id").isNotNull()).withColumn("source_id", article_id(language, F.col("article")))
     rows = rows.join(splits.where("split = 'test'").select("source_id"), "source_id", "left_semi")
     best = best_of_group(rows, ["source_id"], fingerprint_list(seed, F.col("source_id"), F.col("sent_id")), ["sent_id", "forms"])
     return top_by_hash(best, fingerprint_list(seed, F.col("source_id")), per_language, ["source_id"]).withColumn("annotation_status", F.lit("DRAFT_AUTOMATIC"))
@@ -109,6 +118,12 @@ def tempered_weights(df: DataFrame, by: str, alpha: float) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n")).withColumn("weight", F.pow(F.col("n"), F.lit(alpha)) / F.sum(F.pow(F.col("n"), F.lit(alpha))).over(w))
 
 
+def normalized_weights(df: DataFrame, by: str, weight: str = "weight", name: str = "share") -> DataFrame:
+    """Each weight as a share of its group's sum; null where that is 0."""
+    total = df.groupBy(by).agg(F.sum(weight).alias("__w")).withColumnRenamed(by, "__by")
+    return df.join(total, F.col(by).eqNullSafe(F.col("__by"))).withColumn(name, F.when(F.col("__w") != 0, F.col(weight) / F.col("__w"))).drop("__by", "__w")
+
+
 def few_shot_mix(weights: DataFrame, targets: list[str], fraction: float) -> DataFrame:
     """Source weights times ``1 - fraction``, and the fraction in equal parts for the targets."""
     spark = weights.sparkSession
@@ -117,6 +132,10 @@ def few_shot_mix(weights: DataFrame, targets: list[str], fraction: float) -> Dat
     return source.unionByName(spark.createDataFrame([(t, fraction / len(targets)) for t in targets], f"`{lang}` string, weight double"))
 
 
+#: Groups that a weighted draw tells apart by their stretch of the weights' line.
+MOST_LANGUAGES = 1_000
+
+
 def hash_draw(df: DataFrame, weights: DataFrame, draws: int, seed: int, by: str = "language", id_col: str = "id") -> DataFrame:
     """``(draw, by, id)``: weighted draws with replacement, language first, then a uniform row.
 
@@ -132,7 +151,14 @@ def hash_draw(df: DataFrame, weights: DataFrame, draws: int, seed: int, by: str
     total = line.agg(F.sum("weight")).first()[0]
     u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("draw")), F.lit(1 << 40)) / float(1 << 40)
     points = spark.range(draws).withColumnRenamed("id", "draw").withColumn("__u", u(1) * total)
-    picked = points.join(F.broadcast(line), (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi")))  # one row for each language
+    ends = [(r[by], float(r["__lo"]), int(r["__n"])) for r in line.orderBy("__lo").collect()]  # one row for each language
+    if len(ends) > MOST_LANGUAGES:
+        raise ValueError(f"{len(ends)} groups to draw from; at most {MOST_LANGUAGES} are laid on one line")
+    names = spark.createDataFrame([(i, x, n) for i, (x, _, n) in enumerate(ends)], T.StructType([T.StructField("__i", T.IntegerType()), T.StructField(by, df.schema[by].dataType), T.StructField("__n", T.LongType())]))
+    place = F.lit(0)
+    for i, (_, low, _) in enumerate(ends[1:], 1):
+        place = F.when(F.col("__u") >= low, i).otherwise(place)
+    picked = points.withColumn("__i", place).join(names, "__i")
     picked = picked.withColumn("__rank", (F.floor(u(2) * F.col("__n")) + 1).cast("bigint")).select("draw", by, "__rank")
     ranked = rank_by_hash(df.select(by, id_col), [by], F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")), 256), [id_col], "__rank")
     return picked.join(ranked, [by, "__rank"]).select("draw", by, id_col)

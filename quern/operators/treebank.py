@@ -132,6 +132,11 @@ def index_labels(tokens: DataFrame, vocabulary: DataFrame, column: str, name: st
     return tokens.join(v, F.col(column) == F.col("__label"), "left").withColumn(name, F.coalesce("__idx", F.lit(-100))).drop("__label", "__idx")
 
 
+def first_seen_forms(tokens: DataFrame, order: list[str], form: str = "form") -> DataFrame:
+    """``(form, first)``: each distinct form with the place where it is first met, by a combining aggregation."""
+    return tokens.groupBy(form).agg(F.min(F.struct(*order)).alias("first"))
+
+
 # ---- groups --------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -44,8 +44,7 @@ def u1_union_records(spark, sf):
     d = table(spark, sf, "documents").select(F.col("lang").alias("language"), "text")
     s = table(spark, sf, "sentences").select("language", "text", "article")
     r = table(spark, sf, "corpus_records").select("language", "text", "recording_id")
-    u = d.unionByName(s, allowMissingColumns=True).unionByName(r, allowMissingColumns=True)
-    return u.groupBy("language").agg(F.count("*").alias("n"))
+    return corpus.union_records(d, s, r).groupBy("language").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, title FROM documents WHERE title IS NULL OR {Q.strip('title')} NOT IN ('Кумшо лаштык', 'Кутскон бам', 'Тӱҥ лаштык', 'Main Page')")
@@ -55,7 +54,7 @@ def pr2_main_pages(spark, sf):
 
 @query(f"SELECT lang, count(*) AS n FROM documents WHERE text IS NOT NULL AND {Q.strip('text')} <> '' GROUP BY lang")
 def pr3_nonempty(spark, sf):
-    return table(spark, sf, "documents").where(T.strip("text") != "").groupBy("lang").agg(F.count("*").alias("n"))
+    return corpus.drop_blank(table(spark, sf, "documents")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("SELECT rec_no, 'identity' AS name, '1' AS version FROM corpus_records")
@@ -110,7 +109,7 @@ def f3_canonical(spark, sf):
     return table(spark, sf, "sentences").where("text is not null").select("row_id", T.canonical("text").alias("key"))
 
 
-@query(None)
+@query(f"SELECT row_id, {Q.canonical('nfc_normalize(text)')} AS key FROM sentences WHERE text IS NOT NULL")
 def f3_canonical_exact(spark, sf):
     return table(spark, sf, "sentences").where("text is not null").select("row_id", T.canonical_exact("text").alias("key"))
 
@@ -141,7 +140,7 @@ def f16_f11_lexical_and_base(spark, sf):
 
 @query("SELECT row_id, regexp_matches(coalesce(annotation_status, ''), '^[A-Za-z0-9_-]+$') AS valid FROM sentences")
 def f26_round_id(spark, sf):
-    return table(spark, sf, "sentences").select("row_id", F.coalesce("annotation_status", F.lit("")).rlike("^[A-Za-z0-9_-]+$").alias("valid"))
+    return table(spark, sf, "sentences").select("row_id", T.valid_name("annotation_status").alias("valid"))
 
 
 # ---- duplicate groups and splits -----------------------------------------------------------------
@@ -189,9 +188,13 @@ def w3_ranked_split(spark, sf):
     return corpus.ranked_splits(_merged(spark, sf), targets=_TARGETS).select("root", "language", "split")
 
 
-@query(None)
+@query("""SELECT lang AS language, count(DISTINCT source) AS n, greatest(0, count(DISTINCT source) - 2 * greatest(1, round_even(count(DISTINCT source) * 0.05, 0)))::BIGINT AS n_train
+    FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY lang HAVING count(DISTINCT source) < 3""")
 def c1_split_violations(spark, sf):
-    return corpus.split_violations(corpus.ranked_splits(_merged(spark, sf), targets=_TARGETS), _TARGETS)
+    """Languages whose sources, as groups, are too few for three splits."""
+    g = table(spark, sf, "documents").where("source is not null and lang is not null").select(F.col("lang").alias("language"), F.col("source").alias("root"), F.array("source").alias("source_ids")).distinct()
+    targets = [r[0] for r in g.select("language").distinct().collect()]  # a few languages
+    return corpus.split_violations(corpus.ranked_splits(g, targets=targets), targets)
 
 
 @query("""SELECT source_id FROM (SELECT DISTINCT s AS source_id, lower(split) AS split FROM (SELECT unnest(source_ids) AS s, split FROM corpus_records) WHERE s IS NOT NULL AND split IS NOT NULL)
@@ -201,12 +204,12 @@ def c5_split_conflicts(spark, sf):
     return selection.source_splits(r)[1]
 
 
-@query("""SELECT article, count(DISTINCT lower(split)) AS n_splits FROM corpus_records WHERE article IS NOT NULL GROUP BY article HAVING count(DISTINCT lower(split)) > 1""")
+@query("""SELECT source, count(DISTINCT lower(split)) AS n_splits FROM corpus_records WHERE source IS NOT NULL GROUP BY source HAVING count(DISTINCT lower(split)) > 1""")
 def a18_split_leaks(spark, sf):
     from ..operators.treebank import split_leaks
 
-    r = table(spark, sf, "corpus_records").where("article is not null").withColumn("split", F.lower("split"))
-    return split_leaks(r, "article")
+    r = table(spark, sf, "corpus_records").where("source is not null").withColumn("split", F.lower("split"))
+    return split_leaks(r, "source")
 
 
 # ---- overlap --------------------------------------------------------------------------------------
@@ -231,22 +234,16 @@ _STAGE = """{s}h AS (SELECT rec_no, line_no FROM k WHERE split = '{split}' AND k
 
 @query(f"""WITH l AS (SELECT rec_no, {_SPLIT_SQL} AS split, unnest({Q.lines('text')}) AS line, generate_subscripts({Q.lines('text')}, 1)::INT AS line_no FROM corpus_records WHERE text IS NOT NULL),
   k0 AS (SELECT rec_no, split, line_no, line, {Q.words('lower(line)')} AS w FROM l), k AS (SELECT *, array_to_string(w, ' ') AS key, {Q.grams('w', WIDTH)} AS grams FROM k0 WHERE len(w) > 0),
-  b0 AS (SELECT {Q.words('lower(text)')} AS w FROM eval_items WHERE text IS NOT NULL), g1 AS (SELECT array_to_string(w, ' ') AS key, {Q.grams('w', WIDTH)} AS grams FROM b0 WHERE len(w) > 0),
+  b0 AS (SELECT {Q.words("lower(split_part(text, chr(10), 1))")} AS w FROM corpus_records WHERE contains(text, chr(10))), g1 AS (SELECT array_to_string(w, ' ') AS key, {Q.grams('w', WIDTH)} AS grams FROM b0 WHERE len(w) > 0),
   {_STAGE.format(s='t', split='test', guard='g1')}, g2 AS (SELECT key, grams FROM g1 UNION ALL SELECT key, grams FROM ts),
   {_STAGE.format(s='v', split='validation', guard='g2')}, g3 AS (SELECT key, grams FROM g2 UNION ALL SELECT key, grams FROM vs),
   {_STAGE.format(s='r', split='train', guard='g3')}
   SELECT k.rec_no AS id, k.split, k.line_no FROM k JOIN (SELECT * FROM th UNION ALL SELECT * FROM vh UNION ALL SELECT * FROM rh) USING (rec_no, line_no)""")
 def j2_three_stage(spark, sf):
+    """The first line of every record of several lines is protected."""
     r = table(spark, sf, "corpus_records").where("text is not null").select("rec_no", "text", _split().alias("split"))
-    return corpus.remove_overlap(r, table(spark, sf, "eval_items").where("text is not null"), WIDTH, "rec_no", exact=False)[1].select("id", "split", "line_no")
-
-
-@query(None)
-def c2_prepared_corpus(spark, sf):
-    """Grouping, ranked splits and overlap removal, end to end; counts by language and split."""
-    g = corpus.ranked_splits(_merged(spark, sf).where("text is not null"), targets=_TARGETS)
-    kept, _ = corpus.remove_overlap(g, table(spark, sf, "eval_items").where("text is not null"), WIDTH, "id", exact=True)
-    return corpus.counts(corpus.stamp_representation(kept), ["language", "split"])
+    guard = r.where(F.col("text").contains("\n")).select(F.substring_index("text", "\n", 1).alias("text"))
+    return corpus.remove_overlap(r, guard, WIDTH, "rec_no", exact=False)[1].select("id", "split", "line_no")
 
 
 # ---- recovery -----------------------------------------------------------------------------------------
@@ -277,11 +274,13 @@ def a2_recovery_methods(spark, sf):
     return _recovered(spark, sf).groupBy("method").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH c AS (SELECT {Q.strip('text')} AS t, count(DISTINCT source_id) AS n_recordings FROM sentences WHERE text IS NOT NULL AND source_id IS NOT NULL GROUP BY 1)
-    SELECT n_recordings, count(*) AS n FROM c GROUP BY 1""")
+@query(f"""WITH c AS (SELECT {Q.strip('text')} AS t, count(DISTINCT source_id) AS n, min(source_id) AS r FROM sentences WHERE text IS NOT NULL AND source_id IS NOT NULL GROUP BY 1),
+    l AS (SELECT source AS doc, row_id AS line, {Q.strip('text')} AS t FROM sentences WHERE text IS NOT NULL AND source IS NOT NULL)
+    SELECT doc, line, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN r END AS recording FROM l LEFT JOIN c USING (t)""")
 def j1_exact_text_join(spark, sf):
-    s = table(spark, sf, "sentences").where("text is not null and source_id is not null").select(T.strip("text").alias("t"), "source_id")
-    return s.groupBy("t").agg(F.countDistinct("source_id").alias("n_recordings")).groupBy("n_recordings").agg(F.count("*").alias("n"))
+    s = table(spark, sf, "sentences").where("text is not null")
+    lines = s.where("source is not null").select(F.col("source").alias("doc"), F.col("row_id").alias("line"), "text")
+    return corpus.text_candidates(lines, s.where("source_id is not null").select("text", F.col("source_id").alias("recording"))).select("doc", "line", "n", F.col("only").alias("recording"))
 
 
 # ---- language filter and deduplication ---------------------------------------------------------------------
@@ -396,9 +395,8 @@ def w4_best_per_article(spark, sf):
 
 @query(f"""SELECT row_id FROM sentences WHERE text IS NOT NULL AND len({Q.words('text')}) BETWEEN 8 AND 40 ORDER BY sha256('[7,"' || row_id || '"]'), row_id LIMIT 50""")
 def pr7_excerpts(spark, sf):
-    s = table(spark, sf, "sentences").where("text is not null").select("row_id", "text", F.col("row_id").cast("string").alias("key"))
-    n = F.size(T.split_words("text"))
-    return selection.top_by_hash(s.where(n.between(8, 40)), fingerprint_list(7, F.col("key")), 50, ["row_id"]).select("row_id")
+    s = table(spark, sf, "sentences").where("text is not null").select(F.col("row_id").cast("string").alias("id"), "text")
+    return selection.excerpts(s, 50, 7).select(F.col("id").cast("bigint").alias("row_id"))
 
 
 _FORMS = r"[\p{L}\p{M}\p{N}]+"
@@ -422,10 +420,14 @@ def j7_not_drafted(spark, sf):
     return table(spark, sf, "sentences").join(_drafted(spark, sf), ["source_id", "source_sent_id"], "left_anti").select("row_id").distinct()
 
 
-@query("""SELECT s.row_id FROM sentences s WHERE s.article IN (SELECT article FROM corpus_records WHERE lower(split) = 'train')""")
+@query("""WITH m AS (SELECT DISTINCT source_id, CASE WHEN lower(trim(language)) = 'mhr' THEN 'train' ELSE 'test' END AS split FROM sentences WHERE source_id IS NOT NULL),
+    o AS (SELECT source_id FROM m GROUP BY source_id HAVING count(*) = 1 AND min(split) = 'train') SELECT row_id FROM sentences WHERE source_id IN (SELECT source_id FROM o)""")
 def j3_train_articles(spark, sf):
-    train = table(spark, sf, "corpus_records").where(F.lower("split") == "train").select("article")
-    return table(spark, sf, "sentences").join(train, "article", "left_semi").select("row_id")
+    """Rows of articles that a split map holds in one split only, the training one."""
+    s = table(spark, sf, "sentences")
+    split = F.when(F.lower(F.trim("language")) == "mhr", "train").otherwise("test")
+    known, _ = selection.source_splits(s.select(F.array("source_id").alias("source_ids"), split.alias("split")))
+    return s.join(known.where("split = 'train'"), "source_id", "left_semi").select("row_id")
 
 
 def _eligible(spark, sf, language="mhr"):
@@ -437,19 +439,29 @@ def _eligible(spark, sf, language="mhr"):
     return selection.eligible(s, language, splits, none, none, 5, 35)
 
 
-@query(None)
+_TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\t-\r\x20\x85\p{Z}\p{L}\p{M}\p{N}]"
+_ELIGIBLE = rf"""el0 AS (SELECT 'mhr:wiki:' || substr(sha256(to_json(article)::VARCHAR), 1, 20) AS source_id, source_sent_id AS sent_id, text, regexp_extract_all(text, '{_TOKEN}') AS forms
+      FROM sentences WHERE lower(trim(language)) = 'mhr' AND text IS NOT NULL AND article <> '' AND source_sent_id <> ''),
+    el AS (SELECT source_id, sent_id, text, forms FROM el0 WHERE len(forms) BETWEEN 5 AND 35 AND NOT list_contains(forms, '_') AND {_USABLE}
+)"""
+
+
+@query(f"WITH {_ELIGIBLE} SELECT source_id, sent_id, len(forms)::INT AS n_forms FROM el")
 def pr6_eligible(spark, sf):
     return _eligible(spark, sf).select("source_id", "sent_id", F.size("forms").alias("n_forms"))
 
 
-@query(None)
+@query(f"WITH {_ELIGIBLE} SELECT count(*) AS eligible_sentences, count(DISTINCT source_id) AS eligible_articles FROM el")
 def a23_selection_sizes(spark, sf):
     return _eligible(spark, sf).agg(F.count("*").alias("eligible_sentences"), F.countDistinct("source_id").alias("eligible_articles"))
 
 
-@query(None)
+@query(f"""WITH {_ELIGIBLE}, r AS (SELECT *, sha256('[42,' || to_json(source_id)::VARCHAR || ',' || to_json(sent_id)::VARCHAR || ',' || to_json(forms)::VARCHAR || ']') AS h FROM el),
+    b AS (SELECT source_id, arg_min(sent_id, (h, sent_id)) AS source_sent_id, arg_min(text, (h, sent_id)) AS text FROM r GROUP BY source_id)
+    SELECT 'mhr-fewshot-r1-' || lpad(row_number() OVER (ORDER BY sha256('[42,' || to_json(source_id)::VARCHAR || ']'), source_id)::VARCHAR, 4, '0') AS sent_id, source_id, source_sent_id, text FROM b
+    ORDER BY sha256('[42,' || to_json(source_id)::VARCHAR || ']'), source_id LIMIT 20""")
 def c9_new_batch(spark, sf):
-    return selection.select_batch(_eligible(spark, sf), "mhr", "r1", 20, 42)
+    return selection.select_batch(_eligible(spark, sf), "mhr", "r1", 20, 42).select("sent_id", "source_id", "source_sent_id", "text")
 
 
 @query("""SELECT lang, n, round(pow(n, 0.5) / sum(pow(n, 0.5)) OVER (), 6) AS weight FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)""")
@@ -459,15 +471,20 @@ def a20_weights(spark, sf):
 
 @query("""SELECT mix, language, round(weight / sum(weight) OVER (PARTITION BY mix), 6) AS share FROM mix_targets""")
 def a21_normalized_weights(spark, sf):
-    w = Window.partitionBy("mix")
-    return table(spark, sf, "mix_targets").select("mix", "language", F.round(F.col("weight") / F.sum("weight").over(w), 6).alias("share"))
+    t = table(spark, sf, "mix_targets").select("mix", "language", "weight")
+    return selection.normalized_weights(t, "mix").select("mix", "language", F.round("share", 6).alias("share"))
 
 
-@query(None)
+@query("SELECT count(*) AS n_draws, 0::BIGINT AS n_far FROM blocks WHERE language IS NOT NULL")
 def o5_weighted_draws(spark, sf):
-    d = table(spark, sf, "blocks").where("language is not null").groupBy("id").agg(F.min(F.lower(F.trim("language"))).alias("language"))
+    """As many draws as rows; languages drawn more than five standard deviations off their weight are counted."""
+    rows = table(spark, sf, "blocks").where("language is not null")
+    d = rows.groupBy("id").agg(F.min(F.lower(F.trim("language"))).alias("language"))
     w = selection.tempered_weights(d, "language", 0.5).select("language", "weight")
-    return selection.hash_draw(d, w, 2000, 42).groupBy("language").agg(F.count("*").alias("n"))
+    n = rows.count()
+    drawn = selection.hash_draw(d, w, n, 42).groupBy("language").agg(F.count("*").alias("n"))
+    far = F.abs(F.coalesce("n", F.lit(0)) - F.col("weight") * n) > 5 * F.sqrt(F.col("weight") * (1 - F.col("weight")) * n)
+    return w.join(drawn, "language", "left").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n_draws"), F.count_if(far).alias("n_far"))
 
 
 @query("""SELECT lang, arg_min(doc_id, (-n_chars, doc_id)) AS doc_id, max(n_chars) AS size FROM documents WHERE n_chars IS NOT NULL GROUP BY lang""")
@@ -480,26 +497,45 @@ def o6_longest(spark, sf):
 def w11_numbering(spark, sf):
     d = table(spark, sf, "sentences").where("source_id is not null").select("source_id").distinct()
     digest = fingerprint_list(42, F.col("source_id"))
-    top = selection.top_by_hash(d, digest, 200, ["source_id"])
-    return top.select("source_id", F.format_string("mhr-fewshot-%04d", F.row_number().over(Window.orderBy(digest, "source_id"))).alias("number"))
+    return selection.numbered_ids(d, digest, ["source_id"], 200, "mhr-fewshot")
 
 
-@query(None)
+def _dev_sql(statuses: list[str], cap: int) -> str:
+    """Batches one after the other: new articles, the first of them to the development set."""
+    parts, known, devs = [], "SELECT NULL::VARCHAR AS source_id, NULL::VARCHAR AS split WHERE false", "0"
+    for i, status in enumerate(statuses):
+        parts.append(f"r{i} AS (SELECT source_id, source_sent_id FROM sentences WHERE source_id IS NOT NULL AND annotation_status = '{status}')")
+        parts.append(f"f{i} AS (SELECT source_id, row_number() OVER (ORDER BY sha256('[42,\"mhr\",' || to_json(source_id)::VARCHAR || ']'), source_id) AS n FROM (SELECT DISTINCT source_id FROM r{i} WHERE source_id NOT IN (SELECT source_id FROM ({known})))) ")
+        parts.append(f"s{i} AS (SELECT source_id, CASE WHEN n <= greatest(0, least((SELECT round_even(count(*) * 0.1, 0) FROM r{i}), {cap} - ({devs}))) THEN 'dev' ELSE 'train' END AS split FROM f{i})")
+        known = " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(i + 1))
+        parts.append(f"d{i} AS (SELECT {i} AS batch, r{i}.*, split FROM r{i} JOIN ({known}) USING (source_id))")
+        devs = " + ".join(f"(SELECT count(*) FROM d{j} WHERE split = 'dev')" for j in range(i + 1))
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT * FROM d{i}" for i in range(len(statuses)))
+
+
+_ROUNDS = ["ZERO_SHOT_DRAFT", "PARSER_DRAFT", "PARSER_FST_REVIEW"]
+
+
+@query(_dev_sql(_ROUNDS, 1_000_000))
 def w10_dev_batches(spark, sf):
     s = table(spark, sf, "sentences").where("source_id is not null and annotation_status is not null").select("source_id", "source_sent_id", "annotation_status")
-    batches = [s.where(F.col("annotation_status") == x) for x in ("ZERO_SHOT_DRAFT", "PARSER_DRAFT", "PARSER_FST_REVIEW")]
-    return selection.assign_dev_batches(batches, "mhr", dev_cap=1_000_000)
+    return selection.assign_dev_batches([s.where(F.col("annotation_status") == x) for x in _ROUNDS], "mhr", dev_cap=1_000_000)
 
 
-@query("""SELECT s AS source_id FROM (SELECT DISTINCT source_id AS s FROM sentences EXCEPT SELECT DISTINCT s FROM (SELECT unnest(source_ids) AS s FROM corpus_records)) WHERE s IS NOT NULL""")
+@query("""WITH a AS (SELECT id, count(*) AS n FROM blocks WHERE id IS NOT NULL GROUP BY id), b AS (SELECT id, count(*) AS n FROM blocks WHERE id IS NOT NULL AND split = 'train' GROUP BY id)
+    SELECT id, a.n AS n_left, coalesce(b.n, 0) AS n_right FROM a LEFT JOIN b USING (id) WHERE a.n <> coalesce(b.n, 0)""")
 def u4_set_difference(spark, sf):
-    a = table(spark, sf, "sentences").select("source_id").where("source_id is not null").distinct()
-    return a.exceptAll(table(spark, sf, "corpus_records").select(F.explode("source_ids").alias("source_id")).distinct().intersect(a))
+    """Block ids that the training blocks hold otherwise than all blocks."""
+    from ..operators.annotation import key_differences
+
+    b = table(spark, sf, "blocks").where("id is not null").select("id", "split")
+    return key_differences(b, b.where("split = 'train'"), ["id"])
 
 
 @query("SELECT source, count(DISTINCT text) AS texts, count(DISTINCT article) AS articles FROM sentences GROUP BY source")
 def u6_distinct_sets(spark, sf):
-    return table(spark, sf, "sentences").groupBy("source").agg(F.countDistinct("text").alias("texts"), F.countDistinct("article").alias("articles"))
+    got = corpus.distinct_counts(table(spark, sf, "sentences").select("source", "text", "article"), ["source"], ["text", "article"])
+    return got.select("source", F.col("text").alias("texts"), F.col("article").alias("articles"))
 
 
 @query(f"""WITH e AS (SELECT {Q.words('lower(text)')} AS w FROM eval_items WHERE text IS NOT NULL), b AS (SELECT DISTINCT unnest({Q.grams('w', 5)}) AS g FROM e),

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import treebank as TB
-from ..functions.hashing import fingerprint_list
 from ..operators import annotation as A
-from ..operators import scoring
+from ..operators import composites, scoring
 from ..operators import selection
 from ..operators import treebank as S
 from ..session import cut, table
@@ -139,7 +138,12 @@ def pr11_tree_violations(spark, sf):
     return t.select("sent", S.tree_violations(F.col("w")).alias("problems"))
 
 
-@query(None)
+@query(f"""WITH {Q.TOKENS}, s AS (SELECT doc, sent, coalesce(min(source_id), '') AS source_id FROM gold GROUP BY doc, sent),
+    t AS (SELECT DISTINCT source_id FROM (SELECT unnest(source_ids) AS source_id, split FROM corpus_records) WHERE lower(split) = 'test'),
+    v AS (SELECT 'status' AS problem, count(*) AS n FROM s UNION ALL SELECT 'source', count(*) FROM s WHERE NOT starts_with(source_id, 'mhr:')
+      UNION ALL SELECT 'split', count(*) FROM s WHERE source_id NOT IN (SELECT source_id FROM t WHERE source_id IS NOT NULL)
+      UNION ALL SELECT 'article_twice', count(*) FROM (SELECT source_id FROM s GROUP BY source_id HAVING count(*) > 1) UNION ALL SELECT 'count', count(*) FROM (SELECT count(*) AS n FROM s) WHERE n <> 200)
+    SELECT problem, n FROM v WHERE n > 0""")
 def pr12_gold_violations(spark, sf):
     """A gold file in which nothing is adjudicated: every sentence is reported."""
     s = _lines(gold_tokens(spark, sf))
@@ -237,11 +241,31 @@ def _reviewed(spark, sf):
     return A.review_tokens(g.withColumn("first", first).withColumn("second", second).withColumn("misc", F.lit("_")))
 
 
-@query(None)
-def f19_c14_review(spark, sf):
+_REVIEW = f"""{Q.TOKENS}, l AS (SELECT sent, id, form, lemma, CASE WHEN length(form) % 3 = 0 THEN [] WHEN id % 2 = 0 THEN [lemma, form] ELSE [lemma] END AS a,
+      CASE WHEN id % 5 = 0 THEN [] WHEN id % 7 = 0 THEN ['zz'] ELSE [lemma, form] END AS b, regexp_matches(form, '[\\p{{L}}\\p{{Nd}}²³¹⁰⁴-⁹₀-₉]') AS lexical FROM gold),
+    c AS (SELECT *, list_intersect(list_distinct(a), list_distinct(b)) AS m FROM l), k AS (SELECT *, CASE WHEN lexical AND len(m) = 1 THEN m[1] END AS own FROM c)"""
+
+
+@query(f"""WITH {_REVIEW} SELECT sent, id, form, CASE WHEN NOT lexical THEN lemma WHEN own IS NULL THEN lemma || '?' WHEN own <> lemma THEN lemma || '?' || own ELSE lemma END AS review_lemma,
+    coalesce(own, '_') AS copy_lemma, CASE WHEN own IS NULL THEN '_' ELSE 'LemmaSource=FST' END AS copy_misc,
+    CASE WHEN NOT lexical THEN 'nonlexical_exempt' WHEN len(m) = 1 THEN 'consensus' WHEN len(a) = 0 OR len(b) = 0 THEN 'unanalyzed' WHEN len(m) > 1 THEN 'ambiguous_common' ELSE 'disjoint' END AS status FROM k""")
+def f19_review(spark, sf):
     return _reviewed(spark, sf).select("sent", "id", "form", "review_lemma", "copy_lemma", "copy_misc", "status")
 
 
+@query(f"""WITH {_REVIEW} SELECT 'status' AS kind, CASE WHEN NOT lexical THEN 'nonlexical_exempt' WHEN len(m) = 1 THEN 'consensus' WHEN len(a) = 0 OR len(b) = 0 THEN 'unanalyzed'
+      WHEN len(m) > 1 THEN 'ambiguous_common' ELSE 'disjoint' END AS name, count(*) AS n FROM k WHERE upos <> 'ADP' GROUP BY 1, 2
+    UNION ALL SELECT 'violation', 'no_analysis', count(*) FROM gold WHERE upos = 'ADP'""".replace("SELECT sent, id, form, lemma, CASE WHEN length(form) % 3 = 0 THEN []", "SELECT sent, id, upos, form, lemma, CASE WHEN length(form) % 3 = 0 THEN []"))
+def c14_reviewed_drafts(spark, sf):
+    """Drafts against two analyzers that leave out one part of speech: statuses and violations."""
+    from ..operators import composites
+
+    t = _reviewed(spark, sf).withColumn("sent_id", F.col("sent"))
+    out = composites.review_drafts(t.select("sent_id", "id", "form", "lemma", "misc"), t.where("upos <> 'ADP'").select("sent_id", "id", "form", "first", "second"))
+    bad = out["violations"].groupBy(F.col("problem").alias("name")).agg(F.count("*").alias("n"))
+    return out["summary"].select(F.lit("status").alias("kind"), F.col("status").alias("name"), "n").unionByName(bad.select(F.lit("violation").alias("kind"), "name", "n"))
+
+
 @query(f"""WITH {Q.TOKENS} SELECT count(*) AS tokens, count(*) FILTER (WHERE length(form) % 3 <> 0) AS analyzed, sum(CASE WHEN length(form) % 3 = 0 THEN 0 WHEN id % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS candidates FROM gold""")
 def a16_coverage(spark, sf):
     return A.coverage(_reviewed(spark, sf).withColumnRenamed("first", "analyses"))
@@ -256,16 +280,14 @@ def f18_lookup(spark, sf):
 
 @query(f"WITH {Q.TOKENS} SELECT form, min(struct_pack(s := sent, i := id)).s AS first_sent FROM gold GROUP BY form")
 def u5_distinct_forms(spark, sf):
-    return gold_tokens(spark, sf).groupBy("form").agg(F.min(F.struct("sent", "id"))["sent"].alias("first_sent"))
+    return S.first_seen_forms(gold_tokens(spark, sf), ["sent", "id"]).select("form", F.col("first.sent").alias("first_sent"))
 
 
 @query("""SELECT o.row_id, CASE WHEN r.text = o.text THEN r.row_id END AS kept FROM sentences o LEFT JOIN (SELECT sent_id, min(row_id) AS row_id, arg_min(text, row_id) AS text
     FROM sentences WHERE annotation_status IS NOT NULL AND sent_id IS NOT NULL GROUP BY sent_id) r ON o.sent_id = r.sent_id""")
 def j15_retained_rows(spark, sf):
     s = table(spark, sf, "sentences")
-    r = s.where("annotation_status is not null and sent_id is not null").groupBy("sent_id").agg(F.min(F.struct("row_id", "text")).alias("r"))
-    j = s.select("row_id", "sent_id", "text").join(r, "sent_id", "left")
-    return j.select("row_id", F.when(F.col("r.text") == F.col("text"), F.col("r.row_id")).alias("kept"))
+    return A.retained_rows(s.select("row_id", "sent_id", "text"), s.where("annotation_status is not null"))
 
 
 # ---- functions ------------------------------------------------------------------------------------------
@@ -308,7 +330,8 @@ def f13_spacing(spark, sf):
     return s.withColumn("a", TB.spaces_after(F.col("forms"), F.col("text"))).where("a is not null").select("row_id", F.size("a").alias("n_forms"))
 
 
-@query(None)
+@query(f"""WITH s AS (SELECT len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}]+|[^\\t-\\r\\x1c-\\x20\\x85\\p{{Z}}\\p{{L}}\\p{{M}}\\p{{N}}]')) AS n, len({Q.words('text')}) AS w FROM sentences WHERE text IS NOT NULL)
+    SELECT CASE WHEN n = 0 THEN 'spacing' END AS problem, count(*) AS sentences, CASE WHEN min(n) > 0 THEN sum(n - w)::BIGINT END AS adjacent FROM s GROUP BY 1""")
 def f14_a22_enriched(spark, sf):
     """Sentences with text, translation and spacing; words and adjacent ones counted."""
     forms = F.regexp_extract_all("text", F.lit(r"(?U)([\p{L}\p{M}\p{N}]+|[^\s\x1C-\x1F\p{L}\p{M}\p{N}])"), 1)
@@ -367,7 +390,12 @@ def c3_internal_split(spark, sf):
     return S.internal_split(s, "yrk", 42).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("key").alias("groups"))
 
 
-@query(None)
+_TEXT = "to_json(coalesce(text, ''))::VARCHAR"
+for _c in "CDEF":
+    _TEXT = f"replace({_TEXT}, '\\u001{_c}', '\\u001{_c.lower()}')"
+
+
+@query(f"SELECT row_id AS pos FROM sentences ORDER BY sha256('[42,' || coalesce(to_json(sent_id)::VARCHAR, 'null') || ',' || {_TEXT} || ']'), row_id LIMIT 500")
 def o1_eval_subset(spark, sf):
     s = table(spark, sf, "sentences").select(F.col("row_id").alias("pos"), "sent_id", F.coalesce("text", F.lit("")).alias("text"))
     return selection.eval_subset(s, 500, 42).select("pos")
@@ -517,7 +545,7 @@ def j13_run_summary(spark, sf):
     """Articles with the summary that exists for some of them."""
     s = table(spark, sf, "sentences").where("source_id is not null")
     o = s.groupBy("source_id").agg(F.min_by("language", "row_id").alias("language"), F.min("annotation_status").alias("annotation_status"))
-    return _articles(spark, sf).join(o, "source_id", "left").select("source_id", "language", "annotation_status", "tokens")
+    return composites.with_summaries(_articles(spark, sf), o, "source_id").select("source_id", "language", "annotation_status", "tokens")
 
 
 @query(f"""WITH {_PAIR}, l AS (SELECT coalesce(language, '') AS language, count(*) AS n, count(*) FILTER (WHERE head = s_head) AS a, count(*) FILTER (WHERE upos = s_upos) AS b FROM p GROUP BY 1)
@@ -527,10 +555,12 @@ def j14_three_reports(spark, sf):
     g = gold_tokens(spark, sf).withColumn("language", F.coalesce("language", F.lit("")))
     s = system_tokens(g).select("doc", "sent", "id", F.col("head").alias("h"), F.col("upos").alias("u"))
     j = g.join(s, ["doc", "sent", "id"])
-    rep = lambda c, name: j.groupBy("language").agg(F.round(F.count_if(c) / F.count("*"), 6).alias(name))
-    return rep(F.col("head") == F.col("h"), "first").join(rep(F.col("upos") == F.col("u"), "second"), "language").join(rep(F.lit(True), "third"), "language")
+    report = lambda c: j.groupBy("language").agg(F.round(F.count_if(c) / F.count("*"), 6).alias("share"))
+    return composites.side_by_side({"first": report(F.col("head") == F.col("h")), "second": report(F.col("upos") == F.col("u")), "third": report(F.lit(True))}, "language", "share")
 
 
-@query("""SELECT doc_id, sha256('[1729,"' || doc_id || '"]') AS signature FROM documents""")
+@query("""SELECT mix, language, sha256('[1729,' || to_json(mix)::VARCHAR || ',' || to_json(language)::VARCHAR || ',' || max_repeats || ']') AS signature FROM mix_targets""")
 def c25_run_identity(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", fingerprint_list(1729, F.col("doc_id").cast("string")).alias("signature"))
+    """The identity of a run for each target of a mix."""
+    rows = table(spark, sf, "mix_targets").select("mix", "language", "max_repeats").collect()  # a few targets
+    return spark.createDataFrame([(r["mix"], r["language"], selection.run_signature(1729, *r)) for r in rows], "mix string, language string, signature string")
