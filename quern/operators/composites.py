@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import article_id, fingerprint_list
+from ..session import cut
 from . import annotation as A
 from . import blocks as B
 from . import corpus, scoring, selection
@@ -129,11 +130,11 @@ def assembled_batch(model: DataFrame, analyzers: DataFrame, originals: DataFrame
     rows = model.join(keep, "sent_id", "left").join(translations, "sent_id", "left")
     merged = A.add_translation(rows.withColumn("text_en", F.coalesce("text_en", F.lit(""))))
     lines = F.when(F.col("old").isNotNull(), F.col("old")).otherwise(F.coalesce("translated", "lines"))
-    out = merged.select("sent_id", lines.alias("lines"), F.col("old").isNotNull().alias("preserved"))
-    m = S.metadata(F.col("lines"))
-    issues = out.select("sent_id", "preserved", F.explode(S.tree_violations(S.words(F.col("lines")))).alias("problem"))
-    facts = lambda df: df.select("sent_id", *[F.try_element_at(m, F.lit(k)).alias(k) for k in ("text", "source_id", "source_sent_id")], F.transform(S.words(F.col("lines")), lambda w: w["form"]).alias("forms"))
-    a, b = facts(out), facts(analyzers)
+    read = lambda df: cut(df.withColumn("m", S.metadata(F.col("lines"))).withColumn("w", S.words(F.col("lines"))))  # noqa: E731  # every check below reads them
+    out, copy = read(merged.select("sent_id", lines.alias("lines"), F.col("old").isNotNull().alias("preserved"))), read(analyzers.select("sent_id", "lines"))
+    issues = out.select("sent_id", "preserved", F.explode(S.tree_violations(F.col("w"))).alias("problem"))
+    facts = lambda df: df.select("sent_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("text", "source_id", "source_sent_id")], F.transform("w", lambda w: w["form"]).alias("forms"))
+    a, b = facts(out), facts(copy)
     differ = a.join(b.select("sent_id", *[F.col(c).alias(f"b_{c}") for c in b.columns[1:]]), "sent_id", "full").where(
         " or ".join(f"not ({c} <=> b_{c})" for c in ("text", "source_id", "source_sent_id", "forms"))
     )
@@ -141,7 +142,7 @@ def assembled_batch(model: DataFrame, analyzers: DataFrame, originals: DataFrame
         A.key_differences(translations, requests, ["sent_id"]).select("sent_id", F.lit("translation ids").alias("problem")),
         issues.where("not preserved").select("sent_id", "problem"),
         differ.select("sent_id", F.lit("differs from the analyzers' copy").alias("problem")),
-        out.where(F.try_element_at(m, F.lit("text_en")).isNull()).select("sent_id", F.lit("no translation").alias("problem")),
+        out.where(F.try_element_at("m", F.lit("text_en")).isNull()).select("sent_id", F.lit("no translation").alias("problem")),
         a.groupBy("text").agg(F.count("*").alias("n"), F.min("sent_id").alias("sent_id")).where("n > 1").select("sent_id", F.lit("duplicate text").alias("problem")),
         out.agg(F.count("*").alias("n")).where(F.col("n") != count).select(F.lit(None).cast("string").alias("sent_id"), F.lit("count").alias("problem")),
     ]

@@ -176,6 +176,17 @@ def seeded_schedule(sizes: dict[str, int], weights: dict[str, float], draws: int
     return out
 
 
+def epoch_draws(sizes: dict[str, int], weights: dict[str, float], seed: int, epoch: int) -> list[tuple[str, int]]:
+    """The draws of one epoch, as many as there are rows: first all languages, in alphabetical order of
+    their names, then a row number for each. The generator is seeded with fingerprint([seed, epoch, "sampling"])."""
+    names = sorted(weights)
+    if missing := [n for n in names if not sizes.get(n)]:
+        raise ValueError(f"no rows for {missing}")
+    rng = random.Random(int(fingerprint_value([seed, epoch, "sampling"]), 16))
+    languages = rng.choices(names, [weights[n] for n in names], k=sum(sizes.values()))
+    return [(n, rng.randrange(sizes[n])) for n in languages]
+
+
 def longest_of_group(df: DataFrame, by: str, size: Column, id_col: str) -> DataFrame:
     """Of each group the row of greatest size (ties: smallest id), for smoke runs."""
     return df.groupBy(by).agg(F.min_by(F.col(id_col), F.struct((-size).alias("s"), F.col(id_col))).alias(id_col), F.max(size).alias("size"))

@@ -152,24 +152,35 @@ def recording_key(sent_id: Column, language: Column, doc_title: Column, sound_ur
 
 
 def greedy_groups(sizes: DataFrame, by: list[str], goal: Column, seed: int, key: str = "key", n: str = "n") -> DataFrame:
-    """``(by, selected)``: groups taken in the order of fingerprint([seed, key]) up to a goal.
+    """``(by, goal, key)``: groups taken in the order of fingerprint([seed, key]) up to a goal.
 
     Stops once the goal is met; skips a group that would pass max(1.2 goal, goal + 2) unless
-    nothing is selected yet; if nothing is, takes the smallest group. A fold over the groups'
-    sizes (one small struct for each group), in one native expression.
+    nothing is selected yet; if nothing is, takes the smallest group.
+
+    While the goal isn't met, a group no larger than max(0.2 goal, 2) never passes the limit. So
+    only the larger ones, of which a total has few (50 where the goal is a tenth of it), are decided one
+    after the other; sums of the small ones before each, and then of all taken, are running sums.
     """
-    items = F.sort_array(F.collect_list(F.struct(fingerprint_list(seed, F.col(key)).alias("h"), F.col(key).alias("k"), F.col(n).cast("bigint").alias("n"))))
-    folded = sizes.groupBy(*by).agg(items.alias("items"), F.max(goal).cast("bigint").alias("goal"))
-    start = F.struct(F.lit(0).cast("bigint").alias("c"), F.array().cast("array<string>").alias("s"))
+    order = ["__h", "__k"]
+    rows = sizes.select(*by, F.col(key).alias("__k"), F.col(n).cast("bigint").alias("__n"), fingerprint_list(seed, F.col(key)).alias("__h"), goal.cast("bigint").alias("goal"))
+    limit = F.greatest(F.col("goal") * 1.2, (F.col("goal") + 2).cast("double"))
+    rows = rows.withColumn("__big", F.col("__n") > limit - F.col("goal"))
+    small = running(rows, by, order, {"__small": ("sum", F.when(F.col("__big"), 0).otherwise(F.col("__n")))}, others=True)
+    bigs = small.where("__big").groupBy(*by).agg(F.max("goal").alias("goal"), F.sort_array(F.collect_list(F.struct("__h", "__k", "__n", "__small"))).alias("bigs"))
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<string>").alias("keys"))
 
     def step(acc, x):
-        over = (acc["c"] > 0) & ((acc["c"] + x["n"]).cast("double") > F.greatest(F.col("goal") * 1.2, (F.col("goal") + 2).cast("double")))
-        take = (acc["c"] < F.col("goal")) & ~over
-        return F.struct(F.when(take, acc["c"] + x["n"]).otherwise(acc["c"]).alias("c"), F.when(take, F.concat(acc["s"], F.array(x["k"]))).otherwise(acc["s"]).alias("s"))
+        so_far = acc["sum"] + x["__small"]
+        take = (so_far < F.col("goal")) & ((so_far == 0) | ((so_far + x["__n"]).cast("double") <= limit))
+        return F.when(take, F.struct((acc["sum"] + x["__n"]).alias("sum"), F.concat(acc["keys"], F.array(x["__k"])).alias("keys"))).otherwise(acc)
 
-    smallest = F.sort_array(F.transform("items", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"), x["k"].alias("k"))))[0]["k"]
-    chosen = F.aggregate("items", start, step)["s"]
-    return folded.select(*by, "goal", F.when(F.size(chosen) > 0, chosen).otherwise(F.array(smallest)).alias("selected"))
+    taken = bigs.select(*[F.col(c).alias(f"__t{i}") for i, c in enumerate(by)], F.explode(F.aggregate("bigs", start, step)["keys"]).alias("__tk"))
+    on = [F.col("__k") == F.col("__tk"), *[F.col(c).eqNullSafe(F.col(f"__t{i}")) for i, c in enumerate(by)]]
+    marked = rows.join(taken, on, "left").withColumn("__in", ~F.col("__big") | F.col("__tk").isNotNull()).drop("__tk", *[f"__t{i}" for i in range(len(by))])
+    summed = running(marked, by, order, {"__before": ("sum", F.when(F.col("__in"), F.col("__n")).otherwise(0))}, others=True)
+    chosen = summed.where(F.col("__in") & (F.col("__before") < F.col("goal"))).select(*by, "goal", F.col("__k").alias("key"))
+    least = rows.where("goal <= 0").groupBy(*by).agg(F.max("goal").alias("goal"), F.min(F.struct("__n", "__h", "__k"))["__k"].alias("key"))
+    return chosen.unionByName(least)
 
 
 def internal_split(sentences: DataFrame, language: str, seed: int, key: str = "key", fraction: float = 0.10, forbidden: tuple[str, ...] = ("brat_2018",)) -> DataFrame:
@@ -183,7 +194,7 @@ def internal_split(sentences: DataFrame, language: str, seed: int, key: str = "k
     goal = F.bround(F.lit(total * fraction))
 
     def pick(of: DataFrame, s: int) -> DataFrame:
-        return greedy_groups(of.withColumn("one", F.lit(1)), ["one"], goal, s).select(F.explode("selected").alias("key"))
+        return greedy_groups(of.withColumn("one", F.lit(1)), ["one"], goal, s).select("key")
 
     if language == "myv":
         dev = pick(sizes.where(~F.col("key").isin(list(forbidden))), seed).withColumn("split", F.lit("dev"))

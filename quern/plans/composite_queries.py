@@ -11,7 +11,7 @@ from ..session import table
 from . import sqltext as Q
 from .corpus_queries import _ELIGIBLE, _MERGED, _USABLE, _eligible
 from .registry import query
-from .treebank_queries import _lines, gold_tokens, system_tokens
+from .treebank_queries import _internal_sql, _lines, gold_tokens, system_tokens
 
 _LABELS = ["nsubj", "root", "obj", "obl", "det"]
 
@@ -37,7 +37,8 @@ def o4_candidate_order(spark, sf):
     return g.select("sent", "id", F.element_at(C.ordered_candidates(F.array(s(False), s(True), s(True))), 1).alias("first"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {Q.TOKENS}, {_internal_sql("SELECT coalesce(min(source_id), '') AS key FROM gold WHERE lower(trim(language)) = 'nenets' GROUP BY doc, sent HAVING coalesce(min(source_id), '') <> ''")}
+    SELECT split, count(*) AS n, count(DISTINCT key) AS groups FROM split GROUP BY split""")
 def c4_treebank(spark, sf):
     """Sentences of one language split by whole articles, with their violations."""
     s = _lines(gold_tokens(spark, sf).where(F.lower(F.trim("language")) == "nenets"))
@@ -90,7 +91,11 @@ def c18_parser_evaluation(spark, sf):
     return C.evaluate_parser(g, system_tokens(g))["intervals"]
 
 
-@query(None)
+@query("""WITH b AS (SELECT id, min(lower(trim(language))) AS language, min(split) AS split, max(len(input_ids)) AS n FROM blocks WHERE language IS NOT NULL AND input_ids IS NOT NULL GROUP BY id),
+    c AS (SELECT *, row_number() OVER (PARTITION BY language, split ORDER BY sha256('[1729,' || coalesce(to_json(id)::VARCHAR, 'null') || ']'), id) AS k FROM b),
+    s AS (SELECT language, split, unnest(['base', 'best']) AS checkpoint, n FROM c WHERE k <= 64 AND n > 0),
+    g AS (SELECT language, split, checkpoint, sum(n)::BIGINT AS n, sum(n * CASE WHEN checkpoint = 'base' THEN 4.0 ELSE 2.5 END) AS l, sum(n // 3) AS t1, sum(n // 2) AS t5 FROM s GROUP BY ALL)
+    SELECT language, split, checkpoint, n, round((l / n)::DOUBLE, 6) AS loss, round(t1 / n, 6) AS accuracy, round(t5 / n, 6) AS top5_accuracy, round(exp((l / n)::DOUBLE), 6) AS perplexity FROM g""")
 def c19_model_evaluation(spark, sf):
     """Masked metrics of two checkpoints over the same selected blocks (losses by arithmetic)."""
     b = table(spark, sf, "blocks").where("language is not null and input_ids is not null").groupBy("id").agg(F.min(F.lower(F.trim("language"))).alias("language"), F.min("split").alias("split"), F.max(F.size("input_ids")).alias("n"))

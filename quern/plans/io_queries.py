@@ -83,12 +83,23 @@ def s7_archive_members(spark, sf):
     return readers.archive_members(_archives(spark, sf)).select("member")
 
 
-@query(r"""WITH s AS (SELECT row_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+') AS w FROM sentences WHERE text IS NOT NULL)
-    SELECT array_to_string(w, ' ') AS text, 'r' || row_id AS recording, 'u' || row_id AS utterance_id, 'S' || (row_id % 3) AS speaker, 'r' || row_id || '_tei.xml' AS member FROM s WHERE len(w) > 0""")
-def s8_x3_utterances(spark, sf):
+_UTTERANCES = r"""WITH s AS (SELECT row_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+') AS w FROM sentences WHERE text IS NOT NULL)
+    SELECT array_to_string(w, ' ') AS text, 'r' || row_id AS recording, 'u' || row_id AS utterance_id, 'S' || (row_id % 3) AS speaker, 'r' || row_id || '_tei.xml' AS member FROM s WHERE len(w) > 0"""
+
+
+@query(_UTTERANCES)
+def s8_utterances(spark, sf):
     return readers.archive_utterances(_archives(spark, sf))
 
 
+@query(_UTTERANCES)
+def x3_utterances(spark, sf):
+    """The same by a table function, joined laterally to the archives' files."""
+    readers.register(spark)
+    members = readers.archive_members(_archives(spark, sf))
+    return spark.sql("SELECT u.* FROM {m} AS m, LATERAL tei_utterances(m.content, m.member) AS u", m=members)
+
+
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def s12_json(spark, sf):
     """Counts written as one JSON file and read again."""

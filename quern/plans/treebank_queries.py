@@ -377,14 +377,34 @@ def f24_normalized(spark, sf):
 # ---- groups ---------------------------------------------------------------------------------------------
 
 
-@query(None)
+def _greedy_sql(name: str, sizes: str, goal: str, seed: int) -> str:
+    """Groups of ``sizes`` (b, key, n) one after the other, as ``{name}`` (b, goal, key); ``goal`` is (b, goal)."""
+    take = "f.c < f.goal AND NOT (f.c > 0 AND f.c + o.n > greatest(f.goal * 1.2, f.goal + 2))"
+    return f"""{name}o AS (SELECT *, sha256('[{seed},' || to_json(key)::VARCHAR || ']') AS h, row_number() OVER (PARTITION BY b ORDER BY sha256('[{seed},' || to_json(key)::VARCHAR || ']'), key) AS k FROM ({sizes})),
+    {name}f AS (SELECT b, goal::BIGINT AS goal, 0::BIGINT AS k, 0::BIGINT AS c, NULL::VARCHAR AS key FROM ({goal})
+      UNION ALL SELECT f.b, f.goal, o.k, CASE WHEN {take} THEN f.c + o.n ELSE f.c END, CASE WHEN {take} THEN o.key END FROM {name}f f JOIN {name}o o ON o.b = f.b AND o.k = f.k + 1),
+    {name} AS (SELECT b, goal, key FROM {name}f WHERE key IS NOT NULL
+      UNION ALL SELECT b, goal, arg_min(key, (n, h, key)) FROM {name}o JOIN ({goal}) USING (b) WHERE goal <= 0 GROUP BY b, goal)"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT lang AS b, source AS key, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2),
+    {_greedy_sql('g', 'SELECT * FROM s', 'SELECT b, round_even(sum(n) * 0.1, 0)::BIGINT AS goal FROM s GROUP BY b', 42)} SELECT b AS lang, goal, key FROM g""")
 def w9_greedy_groups(spark, sf):
     sizes = table(spark, sf, "documents").where("source is not null and lang is not null").groupBy("lang", "source").agg(F.count("*").alias("n")).withColumnRenamed("source", "key")
     total = sizes.groupBy("lang").agg(F.bround(F.sum("n") * F.lit(0.1)).cast("bigint").alias("goal"))
-    return S.greedy_groups(sizes.join(total, "lang"), ["lang"], F.col("goal"), 42).select("lang", "goal", F.sort_array("selected").alias("selected"))
+    return S.greedy_groups(sizes.join(total, "lang"), ["lang"], F.col("goal"), 42)
 
 
-@query(None)
+def _internal_sql(sentences: str) -> str:
+    """The split of ``sentences`` (key) for a treebank that needs test and development sets, as ``split`` (key, split)."""
+    goal = f"SELECT 1 AS b, round_even(count(*) * 0.1, 0)::BIGINT AS goal FROM ({sentences})"
+    sizes = f"SELECT 1 AS b, key, count(*) AS n FROM ({sentences}) GROUP BY key"
+    rest = f"SELECT * FROM ({sizes}) WHERE key NOT IN (SELECT key FROM tests_)"
+    return f"""{_greedy_sql('tests_', sizes, goal, 42)}, {_greedy_sql('devs_', rest, goal, 43)},
+    split AS (SELECT key, CASE WHEN key IN (SELECT key FROM tests_) THEN 'test' WHEN key IN (SELECT key FROM devs_) THEN 'dev' ELSE 'train' END AS split FROM ({sentences}))"""
+
+
+@query(f"""WITH RECURSIVE {_internal_sql('SELECT source_id AS key FROM sentences WHERE source_id IS NOT NULL')} SELECT split, count(*) AS n, count(DISTINCT key) AS groups FROM split GROUP BY split""")
 def c3_internal_split(spark, sf):
     s = table(spark, sf, "sentences").where("source_id is not null").select("row_id", F.col("source_id").alias("key"))
     return S.internal_split(s, "yrk", 42).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("key").alias("groups"))

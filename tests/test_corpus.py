@@ -162,3 +162,40 @@ def test_arrays(spark):
 
 def test_text_canonical_native(spark):
     assert spark.createDataFrame([("  A b ",)], "x string").select(T.canonical("x")).first()[0] == "a b"
+
+
+def test_epoch_draws():
+    got = selection.epoch_draws({"b": 3, "a": 5}, {"b": 1.0, "a": 3.0}, 42, 1)
+    assert len(got) == 8 and got == selection.epoch_draws({"a": 5, "b": 3}, {"a": 3.0, "b": 1.0}, 42, 1) != selection.epoch_draws({"a": 5, "b": 3}, {"a": 3.0, "b": 1.0}, 42, 2)
+    assert all(0 <= i < {"a": 5, "b": 3}[n] for n, i in got)
+    many = selection.epoch_draws({"a": 3000, "b": 1000}, {"a": 1.0, "b": 1.0}, 7, 0)
+    assert abs(sum(n == "a" for n, _ in many) - 2000) < 200
+    for bad in ({"a": 3}, {"a": 3, "b": 0}):
+        with pytest.raises(ValueError):
+            selection.epoch_draws(bad, {"a": 1.0, "b": 1.0}, 1, 1)
+    again = selection.seeded_schedule({"a": 5, "b": 3}, {"a": 3.0, "b": 1.0}, 50, 42)
+    assert again == selection.seeded_schedule({"a": 5, "b": 3}, {"a": 3.0, "b": 1.0}, 50, 42) and {n for n, _ in again} == {"a", "b"}
+
+
+def test_greedy_groups_against_a_loop(spark):
+    import random
+
+    from quern.functions.hashing import fingerprint_value
+    from quern.operators.treebank import greedy_groups
+
+    rng = random.Random(8)
+    rows, want = [], set()
+    for b in range(12):
+        sizes = {f"k{i}": rng.choice([1, 1, 2, 3, 30, rng.randrange(1, 60)]) for i in range(rng.randrange(1, 60))}
+        goal = rng.choice([0, 1, round(sum(sizes.values()) * 0.1), round(sum(sizes.values()) * 0.4), 10_000])
+        rows += [(b, k, n, goal) for k, n in sizes.items()]
+        taken, total = [], 0
+        for k in sorted(sizes, key=lambda k: (fingerprint_value([42, k]), k)):
+            if total >= goal:
+                break
+            if not total or total + sizes[k] <= max(1.2 * goal, goal + 2):
+                taken.append(k)
+                total += sizes[k]
+        want |= {(b, k) for k in taken or [min(sizes, key=lambda k: (sizes[k], fingerprint_value([42, k]), k))]}
+    df = spark.createDataFrame(rows, "b int, key string, n int, goal bigint")
+    assert {(r.b, r.key) for r in greedy_groups(df, ["b"], F.col("goal"), 42).collect()} == want
