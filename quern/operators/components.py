@@ -11,34 +11,39 @@ from ..session import cut
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` of a graph of ``(u, v)`` links over comparable nodes; root is the smallest node.
 
-    Each round every node takes the smallest root among its neighbours, roots are hooked to
-    smaller ones, and pointers jump, so a chain shortens by half. All steps are combining
-    aggregations and equi-joins; a node with very many links is one row for each task after
-    the partial aggregation, and what is joined to it is split by adaptive execution.
+    In each round every node points to its smallest neighbour, if that is smaller, and then to
+    where that one points. Nodes that point to one node are drawn together into it, links inside
+    are dropped, and the next round sees only what is left: components that are done, and most
+    nodes of the others, take no further part. At the end the pointers are followed back from the last
+    round to the first. All steps are combining aggregations and equi-joins; a node with very many
+    links is one row for each task after the partial aggregation, and what is joined to it is
+    split by adaptive execution.
     """
-    edges = cut(
-        links.select(F.col("u").alias("a"), F.col("v").alias("b"))
-        .unionByName(links.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        .where("a <> b")
-        .distinct()
-    )
-    parent = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    both = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links.select(F.col("v").alias("a"), F.col("u").alias("b")))
+    edges = cut(both.where("a <> b").distinct())
+    drawn: list[DataFrame] = []
     for _ in range(max_rounds):
-        near = edges.join(parent, edges["b"] == parent["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        known = parent.join(near, parent["node"] == near["a"], "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("best"))
-        hooks = known.groupBy("root").agg(F.min("best").alias("hook")).select(F.col("root").alias("r"), "hook")
-        hooked = cut(
-            known.join(hooks, known["root"] == hooks["r"], "left").select("node", "root", F.least("best", F.coalesce("hook", "best")).alias("best"))
-        )
-        up = hooked.select(F.col("node").alias("n"), F.col("best").alias("up"))
-        jumped = cut(
-            hooked.join(up, hooked["best"] == up["n"], "left").select("node", F.least("best", F.coalesce("up", "best")).alias("new"), "root")
-        )
-        moved = not jumped.where("new <> root").isEmpty()
-        parent = jumped.select("node", F.col("new").alias("root"))
-        if not moved:
-            return parent
-    raise RuntimeError("components did not settle")
+        if edges.isEmpty():
+            break
+        least = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
+        up = least.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        pointer = cut(least.join(up, "to").select("node", F.col("up").alias("to")))
+        drawn.append(pointer)
+        # a node that others point to stays linked to where it points itself
+        kept = pointer.join(pointer.where("to <> node").select(F.col("to").alias("node")).distinct(), "node", "left_semi")
+        ends = lambda c: pointer.select(F.col("node").alias(c), F.col("to").alias(f"{c}2"))
+        moved = edges.where("a < b").join(ends("a"), "a").join(ends("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
+        one_way = moved.unionByName(kept.select(F.col("node").alias("a"), F.col("to").alias("b"))).where("a <> b")
+        edges = cut(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    else:
+        raise RuntimeError("components did not settle")
+    if not drawn:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = drawn.pop().withColumnRenamed("to", "root")
+    while drawn:
+        later = found.select(F.col("node").alias("to"), F.col("root").alias("last"))
+        found = drawn.pop().join(later, "to", "left").select("node", F.coalesce("last", "to").alias("root"))
+    return found
 
 
 def group_by_shared_keys(keys: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Running values within long groups, so that no task holds a whole group.
 
-A plain window sends each group to one task, however long it is. Here the rows are sorted into
-ranges of (group, order), which cut long groups into pieces; every piece is worked through by
-itself, and what the earlier pieces of its group amount to is carried into it. Only one row for
-each group and range is needed for that, and a group has at most as many of them as there are ranges.
+A plain window sends each group to one task, however long it is. Where a group is longer than a
+task should be, the rows are sorted into ranges of (group, order), which cut it into pieces; every
+piece is worked through by itself, and what the earlier pieces of its group amount to is carried into
+it. Only one row for each group and range is needed for that, and a group has at most as many of
+them as there are ranges. Where no group is so long, all of them are windows. Values are the same.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Rows of a group that one task may work through.
+LONG = 1_000_000
 #: Of each kind: the value of a frame, the value of a whole piece, and how a carried value meets one.
 _ADD = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 KINDS = {
     "sum": (F.sum, lambda c, o: F.sum(c), _ADD),
     "max": (F.max, lambda c, o: F.max(c), F.greatest),
     "last": (lambda c: F.last(c, ignorenulls=True), lambda c, o: F.max_by(c, F.when(F.col(c).isNotNull(), o)), lambda carried, own: F.coalesce(own, carried)),
-    "next": (lambda c: F.first(c, ignorenulls=True), lambda c, o: F.min_by(c, F.when(F.col(c).isNotNull(), o)), lambda carried, own: F.coalesce(own, carried)),
+    "next": (lambda c: F.last(c, ignorenulls=True), lambda c, o: F.min_by(c, F.when(F.col(c).isNotNull(), o)), lambda carried, own: F.coalesce(own, carried)),
 }
 
 
@@ -28,6 +31,13 @@ def in_ranges(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return cut(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)).withColumn("__part", F.spark_partition_id())
 
 
+def _so_far(kind: str, column: str, by: list[str], order: list[str], others: bool) -> Column:
+    """The value of a window up to this row, or for ``next`` up to it from the end: both grow row by row."""
+    keys = [F.col(c).desc() for c in order] if kind == "next" else order
+    w = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1 if others else 0)
+    return KINDS[kind][0](column).over(w)
+
+
 def running(rows: DataFrame, by: list[str], order: list[str], values: dict[str, tuple[str, Column]], others: bool = False) -> DataFrame:
     """Adds running values: ``{name: (kind, value)}`` with a kind of :data:`KINDS`.
 
@@ -37,19 +47,18 @@ def running(rows: DataFrame, by: list[str], order: list[str], values: dict[str,
     rows of equal order stand in any order.
     """
     tmp = {name: f"__v_{name}" for name in values}
-    laid = in_ranges(rows.select("*", *[v.alias(tmp[n]) for n, (_, v) in values.items()]), by, order)
-    edge = 1 if others else 0
-    far = Window.unboundedPreceding, Window.unboundedFollowing
-    frame = lambda w, kind, step: w.rowsBetween(step, far[1]) if kind == "next" else w.rowsBetween(far[0], -step)
-    piece = Window.partitionBy(*by, "__part").orderBy(*order)
+    given = cut(rows.select("*", *[v.alias(tmp[n]) for n, (_, v) in values.items()]))
+    if given.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > LONG).isEmpty():
+        alone = given.select(*rows.columns, *[_so_far(k, tmp[n], by, order, others).alias(n) for n, (k, _) in values.items()])
+        return alone.withColumns({n: F.coalesce(n, F.lit(0)) for n, (k, _) in values.items() if k == "sum"})
+    laid = in_ranges(given, by, order)
     place = F.struct(*order)
     whole = laid.groupBy(*by, "__part").agg(*[KINDS[k][1](tmp[n], place).alias(tmp[n]) for n, (k, _) in values.items()])
-    pieces = Window.partitionBy(*by).orderBy("__part")  # a row for each range at most
-    carried = whole.select(
+    carried = whole.select(  # of each group a row for each range at most
         *[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], F.col("__part").alias("__p"),
-        *[KINDS[k][0](tmp[n]).over(frame(pieces, k, 1)).alias(f"__c_{n}") for n, (k, _) in values.items()],
+        *[_so_far(k, tmp[n], by, ["__part"], True).alias(f"__c_{n}") for n, (k, _) in values.items()],
     )
-    within = laid.select("*", *[KINDS[k][0](tmp[n]).over(frame(piece, k, edge)).alias(f"__w_{n}") for n, (k, _) in values.items()])
+    within = laid.select("*", *[_so_far(k, tmp[n], [*by, "__part"], order, others).alias(f"__w_{n}") for n, (k, _) in values.items()])
     on = [F.col("__part") == F.col("__p"), *[F.col(c).eqNullSafe(F.col(f"__b{i}")) for i, c in enumerate(by)]]
     joined = within.join(carried, on)
     return joined.select(*rows.columns, *[KINDS[k][2](F.col(f"__c_{n}"), F.col(f"__w_{n}")).alias(n) for n, (k, _) in values.items()])

@@ -3,11 +3,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quern.operators import running as module
 from quern.operators.running import running
 
 
-@pytest.mark.parametrize("others", [False, True])
-def test_running_values_against_a_loop(spark, others):
+@pytest.mark.parametrize("others, long", [(False, 10), (True, 10), (False, 10_000), (True, 10_000)])
+def test_running_values_against_a_loop(spark, monkeypatch, others, long):
+    monkeypatch.setattr(module, "LONG", long)
     rng = random.Random(5)
     rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.choice([None, rng.randrange(50)])) for i in range(900)]
     rng.shuffle(rows)
