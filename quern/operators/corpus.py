@@ -108,6 +108,13 @@ def duplicate_groups(
     return group_by_shared_keys(texts.unionByName(ids))
 
 
+def group_ends(records: DataFrame, roots: DataFrame, id_col: str = "id") -> DataFrame:
+    """``(root, first, last)``: of each group its first and last member by (id, text), as structs of both."""
+    order = F.struct(F.col(id_col).alias("id"), F.col("text"))
+    rows = records.join(roots, records[id_col] == roots["rec"])
+    return rows.groupBy("root").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+
+
 def merge_groups(records: DataFrame, roots: DataFrame, id_col: str = "id", key: Column | None = None) -> DataFrame:
     """One row for each group: ``root, id, language, source_ids, text, n_records``.
 

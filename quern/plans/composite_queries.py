@@ -23,7 +23,24 @@ def f23_relation_pick(spark, sf):
     return e.select("vec_id", C.pick_relation(F.col("s"), _LABELS, F.col("head")).alias("relation"))
 
 
-@query(None)
+_LAST = "list_filter(border, lambda y: y <= {x})[-1]"
+
+
+def _end(s: str) -> str:
+    full = f"least({s} + 510, total)"
+    return f"CASE WHEN {_LAST.format(x=full)} > {s} THEN {_LAST.format(x=full)} ELSE {full} END"
+
+
+_WORD = _LAST.format(x="greatest(f.s + 1, f.e - 64)")
+_BEHIND = "list_filter(border, lambda y: y > f.s)[1]"
+_NEXT = f"(CASE WHEN {_WORD} > f.s THEN {_WORD} WHEN {_BEHIND} < f.e THEN {_BEHIND} ELSE greatest(f.s + 1, f.e - 64) END)"
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}]+'), 1) AS i FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT doc_id, i, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM d), b AS (SELECT doc_id, list_concat([0::BIGINT], list(e ORDER BY i)) AS border, max(e) AS total FROM e GROUP BY doc_id),
+    f AS (SELECT doc_id, 0 AS win, 0::BIGINT AS s, ({_end('0')})::BIGINT AS e FROM b
+      UNION ALL SELECT doc_id, win + 1, s, ({_end('s')})::BIGINT FROM (SELECT f.doc_id, f.win, {_NEXT}::BIGINT AS s, border, total FROM f JOIN b USING (doc_id) WHERE f.e < total))
+    SELECT doc_id, win::INT AS "window", s::INT AS start, e::INT AS "end" FROM f""")
 def w8_encoder_windows(spark, sf):
     d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1), lambda w: F.length(w)).alias("sizes"))
     return C.window_table(d, 510, 64, ["doc_id"])

@@ -175,6 +175,15 @@ def a3_duplicate_groups(spark, sf):
     return corpus.duplicate_groups(_records(spark, sf), "rec_no", key=T.canonical("text"))
 
 
+@query(f"""WITH RECURSIVE {_GROUPS}, m AS (SELECT root, min(rec) AS a, max(rec) AS b FROM roots GROUP BY root)
+    SELECT root, a AS first_id, x.text AS first_text, b AS last_id, y.text AS last_text FROM m JOIN corpus_records x ON x.rec_no = a JOIN corpus_records y ON y.rec_no = b""")
+def o2_group_ends(spark, sf):
+    """The members of each group in the order of id and text: the first and the last."""
+    r = _records(spark, sf)
+    ends = corpus.group_ends(r, corpus.duplicate_groups(r, "rec_no", key=T.canonical("text")), "rec_no")
+    return ends.select("root", F.col("first.id").alias("first_id"), F.col("first.text").alias("first_text"), F.col("last.id").alias("last_id"), F.col("last.text").alias("last_text"))
+
+
 @query(f"WITH RECURSIVE {_MERGED} SELECT root, id, language, source_ids, text, n_records FROM groups")
 def a4_merged_groups(spark, sf):
     return _merged(spark, sf)

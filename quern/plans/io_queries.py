@@ -10,6 +10,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions.hashing import file_hash
 from ..operators import annotation as A
 from ..operators import treebank as S
@@ -218,6 +219,34 @@ def s19_staged_apply(spark, sf):
     return spark.createDataFrame([("changed", changed), ("refused", refused), ("backed up", saved == [before])], "step string, ok boolean")
 
 
+@query("""SELECT mix, language, CASE WHEN weight > 0 AND weight <= 1 AND max_repeats >= 1 THEN true ELSE false END AS valid FROM mix_targets""")
+def c26_valid_options(spark, sf):
+    """Each target of a mix as the options of a run."""
+    rows = table(spark, sf, "mix_targets").select("mix", "language", "weight", "max_repeats").collect()  # a few targets
+
+    def valid(r) -> bool:
+        try:
+            config.validate({"mask_probability": r["weight"], "count": r["max_repeats"]})
+            return True
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(r["mix"], r["language"], valid(r)) for r in rows], "mix string, language string, valid boolean")
+
+
+@query("SELECT unnest(['cores', 'platform', 'pyspark', 'python', 'spark', 'time']) AS name, true AS known")
+def c27_environment(spark, sf):
+    found = config.environment(spark)
+    return spark.createDataFrame([(k, bool(v)) for k, v in found.items()], "name string, known boolean")
+
+
+@query("SELECT true AS utc, true AS not_before")
+def f21_utc_time(spark, sf):
+    """A time stamp is in UTC and not before the latest one taken earlier."""
+    first, second = config.utc_now(), config.utc_now()
+    return spark.createDataFrame([(second.endswith("+00:00"), first <= second)], "utc boolean, not_before boolean")
+
+
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
 def f2_file_hashes(spark, sf):
     """Hashes of files' bytes, one file for each text: written, listed and hashed natively."""

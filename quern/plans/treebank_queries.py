@@ -360,6 +360,31 @@ def f15_boilerplate(spark, sf):
     return done.select("sent", F.when(F.col("b.lines").isNotNull(), n).alias("n_tokens"), F.col("b.problem").alias("problem"))
 
 
+def _trees_sql(n: int) -> str:
+    """All trees of words 1 to n under one root child, as rows of heads h1 to hn, and their scores by ``m[head + 1][word + 1]``."""
+    heads = [f"h{i}" for i in range(1, n + 1)]
+    follow = lambda x: f"(CASE {x} WHEN 0 THEN 0 {' '.join(f'WHEN {i} THEN h{i}' for i in range(1, n + 1))} END)"
+    reach = []
+    for h in heads:
+        for _ in range(n - 1):
+            h = follow(h)
+        reach.append(f"{h} = 0")
+    digits = ", ".join(f"((i // {(n + 1) ** k}) % {n + 1})::INT AS h{k + 1}" for k in range(n))
+    score = " + ".join(f"m[h{i} + 1][{i + 1}]" for i in range(1, n + 1))
+    single = " + ".join(f"(h{i} = 0)::INT" for i in range(1, n + 1))
+    return f"""a AS (SELECT {digits} FROM range({(n + 1) ** n}) t(i)), t AS (SELECT * FROM a WHERE {single} = 1 AND {' AND '.join(f'h{i} <> {i}' for i in range(1, n + 1))} AND {' AND '.join(reach)}),
+    s AS (SELECT vec_id, [{', '.join(heads)}] AS h, {score} AS score FROM x, t)"""
+
+
+@query(f"""WITH x AS (SELECT vec_id, list_transform(range(0, 5), lambda r: list_transform(embedding[5 * r + 1:5 * r + 5], lambda v: v::DOUBLE)) AS m FROM embeddings WHERE len(embedding) >= 25), {_trees_sql(4)}
+    SELECT vec_id, list_concat([0], arg_max(h, score))::INT[] AS heads FROM s GROUP BY vec_id""")
+def f22_trees_of_four_words(spark, sf):
+    """Score matrices of four words and the root from the embeddings; SQL looks at every tree."""
+    e = table(spark, sf, "embeddings").where(F.size("embedding") >= 25)
+    m = e.select("vec_id", F.array(*[F.slice("embedding", 5 * r + 1, 5) for r in range(5)]).cast("array<array<double>>").alias("m"))
+    return m.select("vec_id", TB.decode_single_root("m").alias("heads"))
+
+
 @query(None)
 def f22_decoded_trees(spark, sf):
     """Score matrices of six nodes from the embeddings, decoded to trees."""
@@ -553,6 +578,30 @@ def a14_paired_bootstrap(spark, sf):
     return scoring.paired_difference(a, a.withColumn("head_ok", F.col("tokens")).withColumn("both_ok", F.col("tokens")))
 
 
+_DRAWS = f"""{_ARTICLES}, o AS (SELECT *, row_number() OVER (ORDER BY source_id) - 1 AS k FROM a), c AS (SELECT count(*) AS n FROM a),
+    i AS (SELECT unnest(range(0, 1000 * n)) AS i, n FROM c), d AS (SELECT i // n AS rep, ('0x' || substr(md5('1729:' || i), 1, 15))::BIGINT % n AS k FROM i)"""
+
+
+@query(f"""WITH {_DRAWS}, r AS (SELECT rep, sum(head_ok) / sum(tokens) AS u, sum(both_ok) / sum(tokens) AS l FROM d JOIN o USING (k) GROUP BY rep),
+    v AS (SELECT list_sort(list(u)) AS u, list_sort(list(l)) AS l FROM r)
+    SELECT round(u[25], 9) AS uas_low, round(u[975], 9) AS uas_high, round(l[25], 9) AS las_low, round(l[975], 9) AS las_high, n AS articles FROM v, c""")
+def a13_hashed_bootstrap(spark, sf):
+    """The same with hashed draws, as for very many articles."""
+    b = scoring.bootstrap(_articles(spark, sf), gathered=0)
+    return b.select(*[F.round(c, 9).alias(c) for c in ("uas_low", "uas_high", "las_low", "las_high")], "articles")
+
+
+@query(f"""WITH {_DRAWS}, r AS (SELECT rep, sum(head_ok - both_ok) / sum(tokens) AS u, sum(both_ok - both_ok // 2) / sum(tokens) AS l FROM d JOIN o USING (k) GROUP BY rep),
+    v AS (SELECT list_sort(list(u)) AS u, list_sort(list(l)) AS l FROM r), w AS (SELECT sum(head_ok - both_ok) / sum(tokens) AS u, sum(both_ok - both_ok // 2) / sum(tokens) AS l FROM a)
+    SELECT 'uas' AS metric, round(w.u, 9) AS difference, round(v.u[25], 9) AS low, round(v.u[975], 9) AS high FROM v, w
+    UNION ALL SELECT 'las', round(w.l, 9), round(v.l[25], 9), round(v.l[975], 9) FROM v, w""")
+def a14_hashed_paired_bootstrap(spark, sf):
+    a = _articles(spark, sf)
+    other = a.withColumn("head_ok", F.col("both_ok")).withColumn("both_ok", F.floor(F.col("both_ok") / 2))
+    d = scoring.paired_difference(a, other, gathered=0)
+    return d.select("metric", *[F.round(c, 9).alias(c) for c in ("difference", "low", "high")])
+
+
 @query(f"WITH {_ARTICLES} SELECT source_id FROM a WHERE both_ok % 2 = 1")
 def j12_paired_articles(spark, sf):
     a = _articles(spark, sf)
