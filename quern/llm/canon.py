@@ -6,23 +6,32 @@ All work on whole strings; null stays null.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 
-_TABLES: dict[str, dict[int, int | None]] = {}
+class Translation(dict):
+    """A table for ``str.translate`` that asks a rule for each character once, when it first meets it.
 
+    It holds only characters that occur, so a worker needs no table of all code points.
+    """
 
-def _table(kinds: str) -> dict[int, int | None]:
-    """Translation that deletes every character whose category starts with one of ``kinds``.
+    def __init__(self, rule):
+        super().__init__()
+        self.rule = rule
 
-    Built once for each process from the categories of all code points.
-    """
+    def __missing__(self, c: int):
+        found = self[c] = self.rule(chr(c))
+        return found
+
+
+_TABLES: dict[str, Translation] = {}
+
+
+def _table(kinds: str) -> Translation:
+    """Translation that deletes every character whose category starts with one of ``kinds``."""
     found = _TABLES.get(kinds)
     if found is None:
         starts = tuple(kinds.split())
-        found = _TABLES[kinds] = {
-            c: None for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)).startswith(starts)
-        }
+        found = _TABLES[kinds] = Translation(lambda ch: None if unicodedata.category(ch).startswith(starts) else ch)
     return found
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut
-from .canon import _table, fold
+from .canon import Translation, fold
 
 MIN_WORDS = 12
 EDITS_PER = 8
@@ -44,17 +44,23 @@ SEED = 4
 SHARD_WORDS = 1_000_000
 #: Matches that are looked at together.
 HITS = 2_000_000
-_STRIP: dict[int, str | None] = {}
+
+
+def _mark(ch: str) -> str | None:
+    """White space stays, dashes and dots part words, other punctuation and invisible characters go."""
+    kind = unicodedata.category(ch)
+    if ch.isspace() or kind[0] not in "CP":
+        return ch
+    return " " if ch == "\u2026" or (kind == "Pd" and ch not in "-\u2010\u2011") else None
+
+
+_STRIP = Translation(_mark)
 
 
 def item_words(text: str | None) -> list[str]:
     """Words of a text without case, punctuation and invisible characters; dashes part words."""
     if not text:
         return []
-    if not _STRIP:
-        _STRIP.update({c: None for c in _table("C P") if not chr(c).isspace()})
-        _STRIP.update({c: " " for c in _STRIP if unicodedata.category(chr(c)) == "Pd" and c not in (0x2D, 0x2010, 0x2011)})
-        _STRIP[0x2026] = " "
     return fold(text).translate(_STRIP).split()
 
 
