@@ -93,7 +93,7 @@ def _select(a, spark):
     sinks.write_jsonl(selection.select_batch(rows, a.language, a.round, a.count, a.seed), a.output)
 
 
-def _clean_target(a, spark):
+def _clean_rows(a, spark):
     preferred = readers.read_jsonl(spark, a.preferred, "text string, sent_id string") if a.preferred else None
     rows, audit = cleaning.clean_rows(spark.read.parquet(a.rows), spark.read.parquet(a.dictionary), preferred=preferred)
     sinks.write_jsonl(rows, f"{a.output}/rows")
@@ -158,8 +158,8 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("select", help="a new batch of sentences of training articles")
     selecting(c), c.add_argument("--round", required=True), c.add_argument("--count", type=int, default=200), c.add_argument("--min-words", type=int, default=5), c.add_argument("--max-words", type=int, default=50)
     c.add_argument("--used"), c.add_argument("--dev-articles"), c.set_defaults(run=_select)
-    c = sub.add_parser("clean-target", help="boilerplate, language filter and duplicates of target rows")
-    c.add_argument("rows"), c.add_argument("dictionary"), c.add_argument("output"), c.add_argument("--preferred"), c.set_defaults(run=_clean_target)
+    c = sub.add_parser("clean-rows", help="boilerplate, language filter and duplicates of target rows")
+    c.add_argument("rows"), c.add_argument("dictionary"), c.add_argument("output"), c.add_argument("--preferred"), c.set_defaults(run=_clean_rows)
     c = sub.add_parser("treebank", help="internal split of a treebank without one")
     c.add_argument("path"), c.add_argument("output"), c.add_argument("--language", required=True), c.add_argument("--seed", type=int, default=42), c.set_defaults(run=_treebank)
     c = sub.add_parser("gold", help="check a gold treebank file")

@@ -166,7 +166,7 @@ def test_commands(spark, tmp_path, capsys):
     rows = spark.createDataFrame([("s1", 1, "mhr", "Ола", ["mhr"], [0.9]), ("s2", 2, "mhr", "Ола", ["mhr"], [0.9])], "sent_id string, pos int, language string, text string, labels array<string>, probs array<double>")
     rows.write.parquet(out("rows"))
     spark.createDataFrame([("дом",)], "word string").write.parquet(out("words"))
-    cli.main(["clean-target", out("rows"), out("words"), out("cleaned")], spark)
+    cli.main(["clean-rows", out("rows"), out("words"), out("cleaned")], spark)
     assert spark.read.json(f"{out('cleaned')}/rows").count() == 1 == spark.read.json(f"{out('cleaned')}/audit").count()
 
     review = tmp_path / "review"
