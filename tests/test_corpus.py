@@ -132,6 +132,19 @@ def test_dev_batches(spark):
     assert sum(r.split == "dev" for r in got if r.batch == 0) == 1 and sum(v == {"dev"} for v in by.values()) == 2
 
 
+def test_dev_batches_past_the_cap(spark):
+    from quern.functions.hashing import fingerprint_value
+
+    mk = lambda n, o: spark.createDataFrame([(f"s{o + i}", f"{o + i}-{k}") for i in range(n) for k in range(4)], "source_id string, source_sent_id string")
+    batches = [mk(10, 0), mk(10, 5), mk(10, 30)]
+    got = selection.assign_dev_batches(batches, "mhr", dev_cap=5)
+    rows = got.collect()
+    first = sorted(range(10), key=lambda i: fingerprint_value([42, "mhr", f"s{i}"]))[:4]  # 40 rows allow four articles: 16 rows, more than the cap
+    assert len(rows) == 120 and {r.source_id for r in rows if r.split == "dev"} == {f"s{i}" for i in first}
+    dev = 4 * (len(first) + sum(i >= 5 for i in first))
+    assert [r.dev_rows for r in selection.over_cap(got, 5).collect()] == [dev] and selection.over_cap(got, dev).isEmpty()
+
+
 def test_draws_follow_weights(spark):
     df = spark.range(300).select(F.when(F.col("id") < 30, "a").otherwise("b").alias("language"), F.col("id").cast("string").alias("id"))
     w = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "language string, weight double")
