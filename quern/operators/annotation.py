@@ -66,13 +66,15 @@ def correction_violations(draft: DataFrame, corrected: DataFrame, splits: DataFr
     """
     keys = key_differences(draft, corrected, ["sent_id"]).select("sent_id", F.when(F.col("n_left") == 0, "unknown").when(F.col("n_right") == 0, "missing").otherwise("repeated").alias("problem"))
     d = draft.select("sent_id", F.col("source_id").alias("s0"), F.col("source_sent_id").alias("ss0"), F.col("text").alias("t0"))
-    j = corrected.join(d, "sent_id").join(splits.where("split = 'train'").select("source_id", F.lit(True).alias("train")).distinct(), "source_id", "left")
     open_lemma = F.exists("words", lambda w: (w["upos"] == "_") | (((w["lemma"] == "_") | w["lemma"].contains("?")) & T.lexical(w["form"])))
     bad_feats = F.exists("words", lambda w: ~TB.feats_valid(w["feats"]))
+    # words are looked at before the join, so that they stay where they are
+    c = corrected.select("sent_id", "source_id", "source_sent_id", "text", "status", open_lemma.alias("open_lemma"), bad_feats.alias("bad_feats"))
+    j = c.join(d, "sent_id").join(splits.where("split = 'train'").select("source_id", F.lit(True).alias("train")).distinct(), "source_id", "left")
     checks = [
         (~F.col("source_id").eqNullSafe(F.col("s0")) | ~F.col("source_sent_id").eqNullSafe(F.col("ss0")), "source_identity"),
         (~F.col("text").eqNullSafe(F.col("t0")), "text_changed"), (F.coalesce(F.col("text"), F.lit("")) == "", "text_missing"),
-        (~F.col("status").eqNullSafe(F.lit("GOLD_ADJUDICATED")), "status"), (F.col("train").isNull(), "split"), (open_lemma, "unresolved"), (bad_feats, "features"),
+        (~F.col("status").eqNullSafe(F.lit("GOLD_ADJUDICATED")), "status"), (F.col("train").isNull(), "split"), (F.col("open_lemma"), "unresolved"), (F.col("bad_feats"), "features"),
     ]
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in checks]), lambda x: x.isNotNull())
     return keys.unionByName(j.select("sent_id", F.explode(found).alias("problem")))

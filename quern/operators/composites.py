@@ -63,7 +63,10 @@ def prepare_treebank(sentences: DataFrame, language: str, seed: int = 42, parall
 
 
 def prepare_targets(batches: list[tuple[DataFrame, DataFrame]], splits: DataFrame, language: str, seed: int = 42, dev_cap: int = 500) -> dict[str, DataFrame]:
-    """Cumulative corrected data over (draft, corrected) rounds: rows with their split, and violations."""
+    """Cumulative corrected data over (draft, corrected) rounds: rows with their split, and violations.
+
+    Articles of several rows may take the development set past its cap, which is reported apart (``over_cap``).
+    """
     bad = None
     for draft, corrected in batches:
         v = A.correction_violations(draft, corrected, splits)
@@ -73,7 +76,7 @@ def prepare_targets(batches: list[tuple[DataFrame, DataFrame]], splits: DataFram
         every = corrected.select("source_id", "source_sent_id") if every is None else every.unionByName(corrected.select("source_id", "source_sent_id"))
     twice = A.repeated_sources(every).select(F.concat_ws(" ", "source_id", "source_sent_id").alias("sent_id"), F.lit("repeated_source").alias("problem"))
     rows = selection.assign_dev_batches([c for _, c in batches], language, seed, dev_cap)
-    return {"rows": rows, "violations": bad.unionByName(twice)}
+    return {"rows": rows, "violations": bad.unionByName(twice), "over_cap": selection.over_cap(rows, dev_cap)}
 
 
 def select_form_only(sentences: DataFrame, language: str, splits: DataFrame, count: int, seed: int, low: int, high: int) -> DataFrame:

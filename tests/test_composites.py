@@ -72,6 +72,16 @@ def test_rounds(spark):
     del word
 
 
+def test_targets_past_the_cap(spark):
+    schema = "sent_id string, source_id string, source_sent_id string, text string, status string, words array<struct<id:int,form:string,lemma:string,upos:string,feats:string>>"
+    mk = lambda st: spark.createDataFrame([(f"x{i}", f"a{i // 5}", f"q{i}", "t", st, [(1, "мый", "мый", "PRON", "_")]) for i in range(40)], schema)
+    splits = spark.createDataFrame([(f"a{i}", "train") for i in range(8)], "source_id string, split string")
+    prepare = lambda cap: C.prepare_targets([(mk("D"), mk("GOLD_ADJUDICATED"))], splits, "mhr", dev_cap=cap)
+    out, roomy = prepare(3), prepare(500)  # three of four articles of five rows, and all four
+    assert out["violations"].isEmpty() and out["rows"].where("split = 'dev'").count() == 15 and out["rows"].count() == 40
+    assert [r.dev_rows for r in out["over_cap"].collect()] == [15] and roomy["over_cap"].isEmpty() and roomy["rows"].where("split = 'dev'").count() == 20
+
+
 def test_selection_and_refill(spark):
     cand = spark.createDataFrame([(f"a{i}", f"q{i}", ["мый", "толам", str(i)], f"мый толам {i}", [False] * 3) for i in range(12)], "source_id string, sent_id string, forms array<string>, text string, adjacent array<boolean>")
     kept = spark.createDataFrame([("k1", "a0", "x"), ("k2", "a1", "y")], "sent_id string, source_id string, text string")
